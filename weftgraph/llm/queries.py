@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash_pivots as p
+
+    return p.cluster(_documents(spark, sf_dir)).select("doc_id", p.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import cover_dedup
 
@@ -18,7 +25,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_substring_dedup,)}
+    return {f.__name__: f for f in (op4_simhash_near_dedup, op6_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
