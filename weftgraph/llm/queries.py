@@ -24,8 +24,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.digests(cover_dedup.deduplicate(_documents(spark, sf_dir)))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_files
+
+    return token_files.encode(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_near_dedup, op6_substring_dedup)}
+    return {f.__name__: f for f in (op4_simhash_near_dedup, op6_substring_dedup, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
