@@ -12,6 +12,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import source_mix
+
+    return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash_pivots as p
 
@@ -31,8 +37,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_near_dedup, op6_substring_dedup, op9_token_files)}
+    return {f.__name__: f for f in (op2_mix_sources, op4_simhash_near_dedup, op6_substring_dedup, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import source_mix
+
+    return {"op2_mix_sources": source_mix.ORACLE_SQL}
