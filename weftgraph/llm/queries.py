@@ -18,6 +18,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_rules
+
+    return line_rules.judge(_documents(spark, sf_dir)).drop("clean_text")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash_pivots as p
 
@@ -37,10 +43,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op4_simhash_near_dedup, op6_substring_dedup, op9_token_files)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op6_substring_dedup, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import source_mix
+    from . import line_rules, source_mix
 
-    return {"op2_mix_sources": source_mix.ORACLE_SQL}
+    return {"op2_mix_sources": source_mix.ORACLE_SQL, "op3_line_rules": line_rules.ORACLE_SQL}
