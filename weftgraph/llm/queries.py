@@ -42,8 +42,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode(_documents(spark, sf_dir))
 
 
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import context_tree
+
+    return context_tree.score(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op6_substring_dedup, op9_token_files)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op6_substring_dedup, op9_token_files, op10_context_tree)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -139,7 +139,44 @@ def document_of(first: np.ndarray) -> np.ndarray:
 
 
 def totals(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` (one per word) per document; exact for integers."""
-    sums = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=sums[1:])
-    return sums[first[1:]] - sums[first[:-1]]
+    """Sums of ``values`` (one per word) per document."""
+    out = np.zeros(len(first) - 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    full = np.flatnonzero(np.diff(first) > 0)
+    if len(full):
+        out[full] = np.add.reduceat(values.astype(out.dtype, copy=False)[: first[-1]], first[full])
+    return out
+
+
+class Index:
+    """Positions of 64-bit keys in an array of distinct keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(8, int(4 * max(1, len(keys))).bit_length())
+        self.shift = U64(64 - bits)
+        self.mask = (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            lost = self.table[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(_BASE)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is; -1 for those that are not there."""
+        out = np.empty(len(keys), np.int32)
+        for lo in range(0, len(keys), BLOCK):
+            k = keys[lo : lo + BLOCK]
+            slot = self._slot(k)
+            at = self.table[slot]
+            wrong = np.flatnonzero((at >= 0) & (self.keys[at] != k)) if len(self.keys) else np.zeros(0, np.int64)
+            while len(wrong):
+                slot[wrong] = (slot[wrong] + 1) & self.mask
+                at[wrong] = self.table[slot[wrong]]
+                wrong = wrong[(at[wrong] >= 0) & (self.keys[at[wrong]] != k[wrong])]
+            out[lo : lo + BLOCK] = at
+        return out
