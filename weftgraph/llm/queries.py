@@ -12,6 +12,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_fm
+
+    return quality_fm.score(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import source_mix
 
@@ -49,7 +59,7 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op6_substring_dedup, op9_token_files, op10_context_tree)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op6_substring_dedup, op9_token_files, op10_context_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
