@@ -46,6 +46,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.digests(cover_dedup.deduplicate(_documents(spark, sf_dir)))
 
 
+def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxic_segments
+
+    scored = toxic_segments.score(_documents(spark, sf_dir), _labels(spark, sf_dir))
+    return scored.withColumn("n_segments", F.size("segments")).drop("segments")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -59,7 +66,7 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_fm, op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op6_substring_dedup, op9_token_files, op10_context_tree)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op6_substring_dedup, op7_toxic_segments, op9_token_files, op10_context_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
