@@ -40,6 +40,15 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.cluster(_documents(spark, sf_dir)).select("doc_id", p.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import template_decontam
+
+    found = template_decontam.matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    ids = F.sort_array(F.transform("items", lambda x: x["item_id"]))
+    changed = F.filter("items", lambda x: x["kind"] == "reparameterised")
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), ids.alias("item_ids"), F.size(changed).alias("n_reparameterised"), F.coalesce(F.array_max(F.transform("items", lambda x: x["similarity"])), F.lit(0.0)).alias("similarity"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import cover_dedup
 
@@ -53,6 +62,12 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("n_segments", F.size("segments")).drop("segments")
 
 
+def op8_line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_neighbourhood
+
+    return line_neighbourhood.judge(_documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -66,10 +81,10 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_fm, op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op6_substring_dedup, op7_toxic_segments, op9_token_files, op10_context_tree)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op5_template_decontamination, op6_substring_dedup, op7_toxic_segments, op8_line_neighbourhood, op9_token_files, op10_context_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_rules, source_mix
+    from . import line_neighbourhood, line_rules, source_mix
 
-    return {"op2_mix_sources": source_mix.ORACLE_SQL, "op3_line_rules": line_rules.ORACLE_SQL}
+    return {"op2_mix_sources": source_mix.ORACLE_SQL, "op3_line_rules": line_rules.ORACLE_SQL, "op8_line_neighbourhood": line_neighbourhood.ORACLE_SQL}

@@ -14,8 +14,10 @@ sizes; only those sizes reach the driver.  Shards are written under another
 name and renamed, and their content depends on their rows only, so a task may
 run twice or be run again.  ``read`` maps the files and returns the ids.
 
-Words are encoded once and remembered: the tokenizer treats white space as a
-boundary, so a text's ids are those of its words one after another.
+Where the tokenizer cuts at white space and between letters and marks
+(``WORDWISE``), words are encoded once and remembered, and a text's ids are
+those of its words one after another; plain Latin words go to the library's
+model directly.  With any other tokenizer whole texts are encoded.
 
 A null or empty text holds the end id alone; null ids come last; rows that
 repeat an id are ordered by a hash of their text; an empty table gives no
@@ -49,8 +51,12 @@ REMEMBERED = 600_000
 _memory: dict[int, "Encoder"] = {}
 
 
+#: fixed values: the cutting rule under which words may be encoded one by one
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
-    """Ids of texts by way of the ids of their words."""
+    """Ids of texts, where the tokenizer allows it by way of the ids of their words."""
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
@@ -59,33 +65,52 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
-
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        rules = json.loads(source)
+        cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        lowers = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers") or []]
+        self.wordwise = cuts[0].get("pattern", {}).get("Regex") == WORDWISE and lowers == ["NFC", "Replace", "Lowercase"] and not rules["post_processor"]
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = (b for b in range(256) if b not in set(printable))
+        self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(rest)}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _encode(self, pieces: list[bytes]) -> None:
+        """Remember the ids of ``pieces``."""
+        model, slow = self.tokenizer.model, []
+        for p in pieces:
+            t = p.decode()
+            # what normalisation leaves alone and the cutting rule keeps whole
+            if t.isalpha() and (t.isascii() or max(t) < "\u0250") and t == t.lower():
+                self.stems[p] = self._bytes([x.id for x in model.tokenize(p.decode("latin-1").translate(self.alphabet))])
+            else:
+                slow.append(p)
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in slow], add_special_tokens=False)
+        self.stems.update((p, self._bytes(x.ids)) for p, x in zip(slow, found))
 
     def _learn(self, new: set[bytes]) -> None:
-        """Remember the ids of ``new`` words: letters and closing marks apart.
-
-        The tokenizer lower-cases, and cuts between letters and marks, so the
-        stem and the marks may be looked up by themselves.
-        """
+        """Remember the ids of ``new`` words: letters and closing marks apart."""
         parts: dict[bytes, tuple[bytes, ...]] = {}
         for w in new:
             low = w if b"<|" in w else w.lower()
             stem = low.rstrip(b".,!?;:")
             parts[w] = (stem, low[len(stem) :]) if 0 < len(stem) < len(low) and stem.decode().isalpha() else (low,)
-        ask = list({p for w in parts.values() for p in w if p not in self.stems})
-        self.stems.update(zip(ask, self._encode(ask)))
+        self._encode(list({p for w in parts.values() for p in w if p not in self.stems}))
         self.words.update((w, b"".join([self.stems[p] for p in ps])) for w, ps in parts.items())
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes, without an end id."""
+        if not self.wordwise:
+            found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [self._bytes(x.ids) for x in found]
         split = [t.split() for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
         if len(self.stems) > REMEMBERED:
             self.stems.clear()
+            self.words.clear()
         known = self.words
         new: set[bytes] = set()
         for s in split:
