@@ -1,11 +1,575 @@
-"""Queries over the reference's operators and their SQL equivalents."""
+"""Queries over the test tables, one or more per operator, with their SQL equivalents.
+
+Each query runs an operator of the package over whole tables.  ``ORACLES`` has
+the same result as SQL for another engine; queries without one are compared
+with brute force in the tests.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .operators import entities, gates, graph, metrics, reasoner, retrieval, rules, segment
+from .sources import html as web
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def part_of(spark: SparkSession, sf: str, customers: bool = False) -> DataFrame:
+    """supplier (and customer) -> nation -> region as part_of edges."""
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target"))
+    e = n.unionByName(table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("target")))
+    if customers:
+        e = e.unionByName(table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("target")))
+    return e.withColumns({"type": F.lit("part_of"), "relevance": F.lit(None).cast("int"), "seq": F.xxhash64("source", "target")})
+
+
+_PART_OF = """
+e AS (SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation
+      UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier"""
+
+
+@query(f"""WITH {_PART_OF} UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+p AS (SELECT source, target FROM e UNION SELECT target, source FROM e)
+SELECT source AS id, count(*) AS degree FROM p GROUP BY source""")
+def graph_degree(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.degree(part_of(spark, sf, customers=True))
+
+
+@query(f"""WITH {_PART_OF}), p AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
+b AS (SELECT 'r' || r_regionkey AS start, target AS node, 1 AS distance FROM region JOIN p ON p.source = 'r' || r_regionkey),
+c AS (SELECT DISTINCT b.start, p.target AS node, 2 AS distance FROM b JOIN p ON p.source = b.node WHERE p.target <> b.start
+      AND NOT EXISTS (SELECT 1 FROM b x WHERE x.start = b.start AND x.node = p.target))
+SELECT a.*, d.degree FROM (SELECT * FROM b UNION ALL SELECT * FROM c) a
+JOIN (SELECT source, count(*) AS degree FROM p GROUP BY source) d ON d.source = a.node""")
+def bfs_two_hop(spark: SparkSession, sf: str) -> DataFrame:
+    edges = part_of(spark, sf)
+    starts = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start"))
+    types = graph.edge_types(spark)
+    reached = graph.bfs(starts, graph.neighbours(edges, types), ["part_of"], 2)
+    return reached.join(graph.degree(edges), reached.node == F.col("id")).select("start", "node", "distance", "degree")
+
+
+def related_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of one type and brand related by how near their sizes are."""
+    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size")
+    a, b = p.alias("a"), p.alias("b")
+    j = a.join(b, (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
+    return j.select(F.col("a.p_partkey").alias("source"), F.col("b.p_partkey").alias("target"), (100 - F.least(F.lit(100), 3 * F.abs(F.col("a.p_size") - F.col("b.p_size")))).cast("int").alias("relevance"))
+
+
+@query("""WITH e AS (SELECT a.p_partkey AS part, b.p_partkey AS other, CAST(100 - least(100, 3 * abs(a.p_size - b.p_size)) AS INTEGER) AS relevance
+  FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY relevance DESC, other) AS k, max(CASE WHEN relevance >= 90 THEN 1 ELSE 0 END) OVER (PARTITION BY part) AS any_ok FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k) AS rank FROM r WHERE relevance >= 90 OR (any_ok = 0 AND k = 1))
+SELECT part, other, relevance, CAST(rank AS INTEGER) AS rank, any_ok = 0 AS relaxed FROM f WHERE rank <= 3""")
+def related_parts_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = related_parts(spark, sf).select(F.col("source").alias("query_id"), F.col("target").alias("nbr"), "relevance", F.col("target").alias("seq"), F.lit(90).alias("floor"))
+    ranked = reasoner._floored(e)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
+    return ranked.withColumn("rank", rank).filter("rank <= 3").select(F.col("query_id").alias("part"), F.col("nbr").alias("other"), "relevance", "rank", "relaxed")
+
+
+def order_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Proposed edges between parts of an order line and its neighbour, some of them bad."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    kind = F.when(F.col("l_linenumber") % 7 == 0, F.lit("unknown")).when(F.col("l_linenumber") % 2 == 0, F.lit("related_to")).otherwise(F.lit("part_of"))
+    to = F.when(F.col("l_suppkey") % 10 == 0, F.col("l_partkey")).when(F.col("l_suppkey") % 11 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey") % 50 + 1)
+    score = F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_quantity") * 2 + 2).cast("int")).when(F.col("l_quantity") == 1, F.lit(5))
+    return li.select(F.col("l_partkey").alias("source"), to.alias("target"), kind.alias("type"), score.alias("relevance"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+
+
+_ORDER_EDGES = """e AS (SELECT l_partkey AS source, CASE WHEN l_suppkey % 10 = 0 THEN l_partkey WHEN l_suppkey % 11 = 0 THEN -l_partkey ELSE l_partkey % 50 + 1 END AS target,
+  CASE WHEN l_linenumber % 7 = 0 THEN 'unknown' WHEN l_linenumber % 2 = 0 THEN 'related_to' ELSE 'part_of' END AS type,
+  CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity * 2 + 2 AS INTEGER) WHEN l_quantity = 1 THEN 5 END AS relevance,
+  l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
+g AS (SELECT e.*, CASE WHEN type = 'unknown' THEN 'out_of_schema'
+  WHEN type = 'related_to' AND (relevance IS NULL OR relevance NOT BETWEEN 0 AND 100) THEN 'relevance' WHEN type = 'part_of' AND relevance IS NOT NULL THEN 'relevance'
+  WHEN source = target THEN 'self_edge'
+  WHEN source NOT IN (SELECT p_partkey FROM part) OR target NOT IN (SELECT p_partkey FROM part) THEN 'dangling' END AS gate FROM e)"""
+
+
+def _part_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+
+
+@query(f"""WITH {_ORDER_EDGES},
+d AS (SELECT *, row_number() OVER (PARTITION BY type, CASE WHEN type = 'related_to' THEN least(source, target) ELSE source END,
+  CASE WHEN type = 'related_to' THEN greatest(source, target) ELSE target END, gate IS NULL ORDER BY seq) AS k FROM g)
+SELECT seq, source, target, type, CASE WHEN gate IS NULL AND k > 1 THEN 'duplicate_edge' ELSE gate END AS gate FROM d""")
+def edge_gates(spark: SparkSession, sf: str) -> DataFrame:
+    types = graph.edge_types(spark, graph.GENERAL)
+    gated = gates.with_duplicates(gates.stateless_gates(order_edges(spark, sf), _part_nodes(spark, sf), types))
+    return gated.select("seq", "source", "target", "type", "gate")
+
+
+@query(f"""WITH {_ORDER_EDGES},
+c AS (SELECT type, CASE WHEN type = 'related_to' THEN least(source, target) ELSE source END AS a, CASE WHEN type = 'related_to' THEN greatest(source, target) ELSE target END AS b,
+  relevance, source, seq, target FROM g WHERE gate IS NULL)
+SELECT type, a AS source, b AS target, arg_min(relevance, {{'s': source, 't': target, 'q': seq}}) FILTER (WHERE relevance IS NOT NULL) AS relevance FROM c GROUP BY type, a, b""")
+def canonical_edges(spark: SparkSession, sf: str) -> DataFrame:
+    types = graph.edge_types(spark, graph.GENERAL)
+    good = gates.stateless_gates(order_edges(spark, sf), _part_nodes(spark, sf), types).filter("gate is null").select("source", "target", "type", "relevance", "seq")
+    return graph.canonical(good, types).select("type", "source", "target", "relevance")
+
+
+@query("""WITH e AS (SELECT p_partkey AS source, p_partkey % 40 + 1 AS target, p_size AS relevance FROM part WHERE p_partkey % 40 + 1 <> p_partkey),
+o AS (SELECT a.source, a.target, b.source IS NULL AS missing, a.relevance IS DISTINCT FROM b.relevance AS unequal
+  FROM e a LEFT JOIN e b ON a.source = b.target AND a.target = b.source)
+SELECT least(source, target) AS a, greatest(source, target) AS b, CASE WHEN bool_or(missing) THEN 'missing' ELSE 'unequal' END AS finding
+FROM o WHERE missing OR unequal GROUP BY 1, 2""")
+def mirror_check(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "part").select(F.col("p_partkey").alias("source"), (F.col("p_partkey") % 40 + 1).alias("target"), F.lit("related_to").alias("type"), F.col("p_size").alias("relevance")).filter("source <> target")
+    return gates.mirror(e, graph.edge_types(spark, graph.GENERAL)).select("a", "b", "finding")
+
+
+@query("""WITH r AS (SELECT c_custkey AS id, c_name AS title, CASE WHEN c_acctbal < 0 THEN 'retired' ELSE 'active' END AS status FROM customer),
+n AS (SELECT DISTINCT o_custkey + 3 AS id, CASE WHEN o_custkey % 5 = 0 THEN 'renamed' ELSE printf('Customer#%09d', o_custkey + 3) END AS title FROM orders),
+j AS (SELECT coalesce(r.id, n.id) AS id, r.title AS rt, r.status, n.title AS nt, n.id IS NOT NULL AS there FROM r FULL JOIN n ON r.id = n.id),
+f AS (SELECT id, CASE WHEN status IS NULL THEN 'not_registered' WHEN status = 'active' AND NOT there THEN 'note_missing' WHEN status = 'retired' AND there THEN 'retired_but_present' WHEN there AND rt <> nt THEN 'title_differs' END AS finding FROM j)
+SELECT id, finding FROM f WHERE finding IS NOT NULL""")
+def registry_drift(spark: SparkSession, sf: str) -> DataFrame:
+    reg = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.when(F.col("c_acctbal") < 0, F.lit("retired")).otherwise(F.lit("active")).alias("status"))
+    title = F.when(F.col("o_custkey") % 5 == 0, F.lit("renamed")).otherwise(F.format_string("Customer#%09d", F.col("o_custkey") + 3))
+    notes = table(spark, sf, "orders").select((F.col("o_custkey") + 3).alias("id"), title.alias("title")).distinct()
+    return gates.registry_drift(reg, notes)
+
+
+@query("""WITH e AS (SELECT DISTINCT n_nationkey AS source, (n_nationkey * 7 + 3) % 25 AS target FROM nation UNION SELECT n_nationkey, (n_nationkey + 1) % 25 FROM nation WHERE n_nationkey % 3 = 0),
+p2 AS (SELECT source AS a, target AS b FROM e WHERE source < target),
+l1 AS (SELECT [source] AS path FROM e WHERE source = target),
+l2 AS (SELECT [a, b] AS path FROM p2 JOIN e ON e.source = b AND e.target = a),
+p3 AS (SELECT a, b, e.target AS c FROM p2 JOIN e ON e.source = b WHERE e.target > a AND e.target <> b),
+l3 AS (SELECT [a, b, c] AS path FROM p3 JOIN e ON e.source = c AND e.target = a),
+p4 AS (SELECT a, b, c, e.target AS d FROM p3 JOIN e ON e.source = c WHERE e.target > a AND e.target NOT IN (b, c)),
+l4 AS (SELECT [a, b, c, d] AS path FROM p4 JOIN e ON e.source = d AND e.target = a)
+SELECT path, CAST(len(path) AS INTEGER) AS length FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4)""")
+def cycle_detect(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").select("n_nationkey")
+    e = n.select(F.col("n_nationkey").alias("source"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("target")).unionByName(n.filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("source"), ((F.col("n_nationkey") + 1) % 25).alias("target")))
+    return graph.cycles(e, 4, None).select("path", "length")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation),
+r(a, b, hops) AS (SELECT a, b, 1 FROM e UNION SELECT r.a, e.b, r.hops + 1 FROM r JOIN e ON r.b = e.a WHERE r.hops < 3)
+SELECT a, b, min(hops) AS hops FROM r GROUP BY a, b""")
+def reachability(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "nation").select(F.col("n_nationkey").alias("source"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("target"))
+    return graph.closure(e, 3)
+
+
+_SING = "CASE WHEN length({0}) > 3 AND regexp_matches({0}, '^[a-z]+$') AND {0} LIKE '%s' AND {0} NOT LIKE '%ss' AND NOT regexp_matches({0}, '[aeiouy]es$') THEN left({0}, length({0}) - 1) ELSE {0} END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, list_filter(string_split(regexp_replace(lower(p_name), '[!-/:-@\\[-`{{-~]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM part),
+s AS (SELECT p_partkey, list_transform(w, lambda x: {_SING.format('x')}) AS w FROM t)
+SELECT array_to_string(CASE WHEN len(w) > 1 AND w[1] IN ('the', 'a', 'an') THEN w[2:] ELSE w END, ' ') AS title_key, count(*) AS n FROM s GROUP BY 1""")
+def norm_title_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").groupBy(tx.norm_title(F.col("p_name")).alias("title_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, ' ')) AS w FROM part),
+p AS (SELECT a.name AS a_id, b.name AS b_id, 2.0::DOUBLE * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) AS score FROM n a JOIN n b ON a.name < b.name)
+SELECT * FROM p WHERE score >= 0.5""")
+def title_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "part").select(F.col("p_name").alias("id"), F.col("p_name").alias("name")).distinct()
+    return entities.candidate_pairs(items, 0.5)
+
+
+@query("""SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1""")
+def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
+    return d.filter("copies > 1")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents),
+m AS (SELECT *, trim(t) = '' AS blank FROM l),
+g AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS grp FROM m)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(no)) AS INTEGER) AS par, CAST(min(no) AS INTEGER) AS first_line, CAST(max(no) AS INTEGER) AS last_line, CAST(sum(length(t)) + count(*) - 1 AS INTEGER) AS n_chars
+FROM g WHERE NOT blank GROUP BY doc_id, grp""")
+def paragraph_units(spark: SparkSession, sf: str) -> DataFrame:
+    p = segment.paragraphs(table(spark, sf, "documents"), "doc_id")
+    return p.select("doc_id", "par", F.col("first").alias("first_line"), F.col("last").alias("last_line"), F.length("text").alias("n_chars"))
+
+
+@query("""SELECT doc_id, CAST(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''),
+  lambda p: (CASE WHEN length(regexp_replace(p, '[^\\x00-\\x7F]', '', 'g')) > 0 THEN 1 + length(regexp_replace(p, '[^\\x00-\\x7F]', '', 'g')) // 8 ELSE 0 END) + length(regexp_replace(p, '[\\x00-\\x7F]', '', 'g')))) AS BIGINT) AS tokens_a,
+  CAST(greatest(1, round_even(len(regexp_extract_all(text, '\\S+')) * CAST(1.3 AS DOUBLE), 0)) AS BIGINT) AS tokens_b FROM documents""")
+def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", tx.estimate_tokens_pieces(F.col("text")).alias("tokens_a"), tx.estimate_tokens_words(F.col("text")).alias("tokens_b"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+f AS (SELECT doc_id, ls, list_reduce(list_transform(ls, lambda x: {'used': CAST(length(x) AS BIGINT), 'grp': 0, 'out': [0]}),
+  lambda a, x: CASE WHEN a.used + x.used <= 1000 OR a.used = 0 THEN {'used': a.used + x.used, 'grp': a.grp, 'out': list_append(a.out, a.grp)}
+    ELSE {'used': x.used, 'grp': a.grp + 1, 'out': list_append(a.out, a.grp + 1)} END) AS r FROM l),
+u AS (SELECT doc_id, unnest(r.out) AS chunk, unnest(ls) AS line FROM f)
+SELECT doc_id, chunk, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM u GROUP BY doc_id, chunk""")
+def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.pack_lines(table(spark, sf, "documents"), 1000, "doc_id")
+
+
+@query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS f FROM benchmark),
+d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS f FROM documents),
+s AS (SELECT item_id, doc_id, CASE WHEN len(q.f) = 0 THEN 0.0 ELSE CAST(len(list_intersect(q.f, d.f)) AS DOUBLE) / len(q.f) END AS score FROM q, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def feature_overlap_topk(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "benchmark").select("item_id", F.array_distinct(tx.latin_features(F.col("text"))).alias("qf"))
+    d = table(spark, sf, "documents").select("doc_id", F.array_distinct(tx.latin_features(F.col("text"))).alias("df"))
+    s = d.join(F.broadcast(q)).select("item_id", "doc_id", tx.overlap(F.col("qf"), F.col("df")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    return s.withColumn("rank", rank).filter("rank <= 3")
+
+
+@query("""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
+SELECT item_id, CASE WHEN count(doc_id) > 0 THEN 'grounded' ELSE 'quote_not_found' END AS verdict, count(doc_id) AS n_documents, min(doc_id) AS first_document
+FROM b LEFT JOIN d ON contains(t, q) GROUP BY item_id""")
+def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "benchmark").select("item_id", tx.squeeze(F.col("text")).alias("q"))
+    d = table(spark, sf, "documents").select("doc_id", tx.squeeze(F.col("text")).alias("t"))
+    hits = d.join(F.broadcast(q), F.col("t").contains(F.col("q"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_document"))
+    j = q.select("item_id").join(hits, "item_id", "left")
+    return j.select("item_id", F.when(F.col("n") > 0, F.lit("grounded")).otherwise(F.lit("quote_not_found")).alias("verdict"), F.coalesce("n", F.lit(0).cast("long")).alias("n_documents"), "first_document")
+
+
+@query("""WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents),
+c AS (SELECT doc_id AS claim_id, doc_id + CASE WHEN doc_id % 10 = 0 THEN 100000000 ELSE 0 END AS src, CASE WHEN doc_id % 3 = 0 THEN 'no such words here' ELSE left(t, 30) END AS quote FROM u WHERE no = 1)
+SELECT claim_id, CASE WHEN d.doc_id IS NULL THEN 'unknown_unit' WHEN contains(trim(regexp_replace(d.t, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'grounded' ELSE 'quote_not_found' END AS verdict
+FROM c LEFT JOIN (SELECT * FROM u WHERE no = 1) d ON d.doc_id = c.src""")
+def unit_grounding(spark: SparkSession, sf: str) -> DataFrame:
+    first = segment.lines(table(spark, sf, "documents"), "doc_id").filter("line_no = 1")
+    units = first.select(F.concat(F.col("doc_id").cast("string"), F.lit(":1")).alias("uid"), F.col("line").alias("text"))
+    src = F.col("doc_id") + F.when(F.col("doc_id") % 10 == 0, F.lit(100000000)).otherwise(F.lit(0))
+    quote = F.when(F.col("doc_id") % 3 == 0, F.lit("no such words here")).otherwise(F.substring("line", 1, 30))
+    claims = first.select(F.col("doc_id").alias("claim_id"), F.concat(src.cast("string"), F.lit(":1")).alias("uid"), quote.alias("quote"))
+    return entities.grounding(claims, units).select("claim_id", "verdict")
+
+
+@query("""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, substr(sha1(url), 1, 8) AS url_hash, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
+  CAST(len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) AS INTEGER) AS n_headings, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS INTEGER) AS n_paragraphs FROM pages""")
+def html_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return web.summary(table(spark, sf, "pages"))
+
+
+@query()
+def html_units(spark: SparkSession, sf: str) -> DataFrame:
+    return web.units(table(spark, sf, "pages").select(F.col("page_id").alias("source"), "html")).select("source", "uid", "locator", "text")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe, label AS ql FROM embeddings WHERE vec_id < 10),
+s AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(qe, CAST(embedding AS DOUBLE[])) AS cosine, CASE WHEN ql = label THEN 1.0::DOUBLE ELSE 0.0 END AS keyword FROM q, embeddings),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS near FROM s),
+b AS (SELECT *, round(CAST(0.75 AS DOUBLE) * cosine + CAST(0.25 AS DOUBLE) * keyword, 6) AS score FROM n WHERE near <= 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, near) AS rank FROM b)
+SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("query_label"))
+    c = e.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    top = retrieval.hybrid_topk(q, c, 5, keyword=F.when(F.col("query_label") == F.col("label"), 1.0).otherwise(0.0))
+    return top.select("query_id", "chunk_id", "score", "rank")
+
+
+@query("""WITH d AS (SELECT quality, CASE WHEN len(regexp_extract_all(text, '[#*$%&|<>]')) * 20 > length(text) THEN 0 ELSE 1 END AS guess FROM documents JOIN labels USING (doc_id))
+SELECT quality, guess, count(*) AS n FROM d GROUP BY ALL""")
+def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.confusion(_guessed(spark, sf), "quality", "guess")
+
+
+def _guessed(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    guess = F.when(F.regexp_count("text", F.lit("[#*$%&|<>]")) * 20 > F.length("text"), F.lit(0)).otherwise(F.lit(1))
+    return d.select("doc_id", "quality", guess.alias("guess"))
+
+
+@query("""WITH d AS (SELECT quality, CASE WHEN len(regexp_extract_all(text, '[#*$%&|<>]')) * 20 > length(text) THEN 0 ELSE 1 END AS guess FROM documents JOIN labels USING (doc_id))
+SELECT count(*) FILTER (WHERE quality = guess) AS hits, count(*) AS total, CAST(count(*) FILTER (WHERE quality = guess) AS DOUBLE) / count(*) AS accuracy,
+  count(*) >= 300 AND CAST(count(*) FILTER (WHERE quality = guess) AS DOUBLE) / count(*) >= 0.85 AS passed FROM d""")
+def label_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.accuracy(_guessed(spark, sf), "quality", "guess", 0.85, 300)
+
+
+_USAGE = """u AS (SELECT event_type AS stage, user_id, ts, event_id AS seq, value AS cost_usd, 'm' || (user_id % 3) AS model,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) % 4 AS a, CAST(event_id % 1000 AS BIGINT) AS input_tokens, CAST(event_id % 100 AS BIGINT) AS output_tokens FROM events)"""
+
+
+def usage(spark: SparkSession, sf: str) -> DataFrame:
+    attempt = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) % 4
+    e = table(spark, sf, "events")
+    return e.select(F.col("event_type").alias("stage"), "user_id", "ts", F.col("event_id").alias("seq"), F.col("value").alias("cost_usd"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), F.greatest(attempt, F.lit(1)).alias("attempt_no"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 100).alias("output_tokens"))
+
+
+@query(f"""WITH {_USAGE}, v AS (SELECT *, greatest(a, 1) AS attempt_no FROM u)
+SELECT stage, count(*) FILTER (WHERE attempt_no = 1) AS calls, count(*) AS attempts, count(*) FILTER (WHERE attempt_no > 1) AS repairs, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  round(sum(cost_usd), 4) AS cost_usd, arg_max(model, seq) AS model FROM v GROUP BY GROUPING SETS ((stage), ())""")
+def ledger_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.ledger(usage(spark, sf)).drop("first_seq").withColumn("cost_usd", F.round("cost_usd", 4))
+
+
+@query("""WITH p(model, i, c, o) AS (VALUES ('m0', 3.0, 0.3, 15.0), ('m1', 1.0, 0.1, 5.0)),
+u AS (SELECT event_id, 'm' || (user_id % 3) AS model, event_id % 1000 AS i_t, event_id % 100 AS o_t, event_id % 10 AS c_t FROM events)
+SELECT model, count(*) AS n, round(sum(CAST((i_t - c_t) * CAST(i AS DOUBLE) + c_t * CAST(c AS DOUBLE) + o_t * CAST(o AS DOUBLE) AS DOUBLE) / 1e6), 6) AS cost FROM u LEFT JOIN p USING (model) GROUP BY model""")
+def priced_usage(spark: SparkSession, sf: str) -> DataFrame:
+    prices = spark.createDataFrame([("m0", 3.0, 0.3, 15.0), ("m1", 1.0, 0.1, 5.0)], "model string, input_price double, cached_price double, output_price double")
+    u = usage(spark, sf).drop("cost_usd").withColumn("cached_tokens", F.col("seq") % 10)
+    return metrics.priced(u, prices).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost_usd"), 6).alias("cost"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, ts, sum(coalesce(value, 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM r WHERE spent > 500)
+SELECT user_id, event_id, round(spent, 4) AS spent FROM k WHERE k = 1""")
+def running_budget(spark: SparkSession, sf: str) -> DataFrame:
+    over = metrics.first_over(table(spark, sf, "events"), 500.0, "user_id", ["ts", "event_id"], "value")
+    return over.select("user_id", "event_id", F.round("spent", 4).alias("spent"))
+
+
+@query("""WITH l AS (SELECT user_id, arg_max({'e': event_id, 't': event_type, 's': ts}, {'s': ts, 'e': event_id}) AS x FROM events GROUP BY user_id)
+SELECT user_id, x.e AS event_id, x.t AS event_type, x.s AS ts FROM l ORDER BY x.s DESC, x.e DESC LIMIT 50""")
+def latest_job_state(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    return metrics.newest(metrics.latest(e, "user_id", ["ts", "event_id"]), ["ts", "event_id"], 50)
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g)
+SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS n_events FROM s GROUP BY user_id, session""")
+def session_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.sessions(table(spark, sf, "events"), "user_id", "ts")
+
+
+@query("""SELECT conv_id, turn, list(text) OVER w AS context, CAST(len(coalesce(list(text) OVER w, [])) AS INTEGER) AS n_context,
+  last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_user_length
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""".replace("list(text) OVER w AS context,", "coalesce(list(text) OVER w, CAST([] AS VARCHAR[])) AS context,"))
+def turn_context(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "conversations").withColumn("user_length", F.when(F.col("role") == "user", F.length("text")).cast("long"))
+    c = rules.sticky(rules.context(t, 6, "conv_id"), "user_length", "conv_id")
+    return c.select("conv_id", "turn", "context", F.size("context").alias("n_context"), F.col("active_user_length").alias("last_user_length"))
+
+
+@query("""SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_words, CAST(len(regexp_extract_all(text, '[?？]')) AS BIGINT) AS n_questions,
+  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 40 * CAST(1.25 AS DOUBLE) AS too_long FROM conversations""")
+def question_word_counts(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "conversations")
+    w = tx.count_words(F.col("text"))
+    return t.select("conv_id", "turn", w.alias("n_words"), tx.count_questions(F.col("text")).alias("n_questions"), rules.over_limit(w, F.lit(40)).alias("too_long"))
+
+
+#: seed rows of the trigger matrix: id, the four keys, primary, supporting, priority
+TRIGGERS = [
+    ("T01", "explain", "any", "any", "none", "S01", ["S02"], 10), ("T02", "explain", "confused", "any", "none", "S03", ["S02", "S01"], 20),
+    ("T03", "hint", "any", "any", "none", "S04", [], 10), ("T04", "hint", "confused", "beginner", "none", "S03", ["S04"], 10),
+    ("T05", "any", "confused", "any", "none", "S03", [], 5), ("T06", "any", "any", "any", "pressure", "S05", ["S04"], 90),
+    ("T07", "solve", "any", "advanced", "none", "S06", ["S02"], 10), ("T08", "solve", "any", "any", "none", "S04", ["S06"], 10),
+]
+_TRIGGERS_SQL = ", ".join(f"('{a}', '{b}', '{c}', '{d}', '{e}', '{f}', [{', '.join(repr(x) for x in g)}]::VARCHAR[], {h})" for a, b, c, d, e, f, g, h in TRIGGERS)
+_FACTS_SQL = """f AS (SELECT conv_id * 100 + turn AS turn_id, CASE length(text) % 4 WHEN 0 THEN 'explain' WHEN 1 THEN 'hint' WHEN 2 THEN 'solve' ELSE 'review' END AS intent,
+  CASE WHEN length(text) % 5 = 0 THEN 'confused' ELSE 'normal' END AS learner_state, CASE conv_id % 3 WHEN 0 THEN 'beginner' WHEN 1 THEN 'intermediate' ELSE 'advanced' END AS student_level,
+  CASE WHEN length(text) % 11 = 0 THEN 'pressure' ELSE 'none' END AS special_handling FROM conversations)"""
+
+
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.length("text")
+    pick = lambda x, names: F.element_at(F.array(*map(F.lit, names)), (x % len(names) + 1).cast("int"))
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), pick(n, ("explain", "hint", "solve", "review")).alias("intent"), F.when(n % 5 == 0, F.lit("confused")).otherwise(F.lit("normal")).alias("learner_state"), pick(F.col("conv_id"), ("beginner", "intermediate", "advanced")).alias("student_level"), F.when(n % 11 == 0, F.lit("pressure")).otherwise(F.lit("none")).alias("special_handling"))
+
+
+def trigger_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TRIGGERS, "id string, intent string, learner_state string, student_level string, special_handling string, primary string, supporting array<string>, priority int")
+
+
+_MATCH_SQL = f"""WITH r(id, i, l, s, h, prim, supp, priority) AS (VALUES {_TRIGGERS_SQL}), {_FACTS_SQL},
+m AS (SELECT turn_id, id AS row_id, prim, supp, priority, CAST((i <> 'any')::INT + (l <> 'any')::INT + (s <> 'any')::INT + (h <> 'any')::INT AS INTEGER) AS specificity
+  FROM f JOIN r ON i IN ('any', intent) AND l IN ('any', learner_state) AND s IN ('any', student_level) AND h IN ('any', special_handling)),
+k AS (SELECT *, row_number() OVER w AS rank, first_value(row_id) OVER w AS top_id, first_value(priority) OVER w AS tp, first_value(specificity) OVER w AS ts FROM m
+  WINDOW w AS (PARTITION BY turn_id ORDER BY priority DESC, specificity DESC, row_id))"""
+
+
+@query(f"""{_MATCH_SQL} SELECT turn_id, row_id, CAST(rank AS INTEGER) AS rank, CASE WHEN rank > 1 THEN top_id END AS lost_to,
+  CASE WHEN rank = 1 THEN NULL WHEN priority < tp THEN 'priority' WHEN specificity < ts THEN 'specificity' ELSE 'id' END AS lost_on FROM k""")
+def trigger_match(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.trigger_matches(facts(spark, sf), trigger_rows(spark)).select("turn_id", "row_id", "rank", "lost_to", "lost_on")
+
+
+@query(f"""{_MATCH_SQL} SELECT f.turn_id, k.row_id IS NOT NULL AS matched, coalesce(k.row_id, 'T99') AS row_id, coalesce(k.prim, 'S00') AS primary_strategy
+FROM f LEFT JOIN k ON k.turn_id = f.turn_id AND k.rank = 1""")
+def trigger_select(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.select_trigger(facts(spark, sf), trigger_rows(spark), ("T99", "S00")).select("turn_id", "matched", "row_id", F.col("primary").alias("primary_strategy"))
+
+
+#: seed rows of the teaching policy: id, intent, special_handling, precedence, solution, hint, attempt_required, prohibited
+POLICIES = [("P01", None, None, 0, True, True, None, []), ("P02", None, "pressure", 90, False, True, True, ["S06"]), ("P03", "hint", None, 50, False, True, None, ["S06", "S05"]), ("P04", "review", "none", 40, True, False, False, ["S01"])]
+_POLICIES_SQL = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else f"{x}::VARCHAR[]" if isinstance(x, list) else str(x) for x in p) + ")" for p in POLICIES)
+
+
+@query(f"""WITH p(id, pi, ph, precedence, solution, hint, attempt, prohibited) AS (VALUES {_POLICIES_SQL}), {_FACTS_SQL},
+j AS (SELECT turn_id, p.* FROM f JOIN p ON (pi IS NULL OR pi = intent) AND (ph IS NULL OR ph = special_handling))
+SELECT turn_id, bool_and(solution) AS solution, bool_and(hint) AS hint, bool_or(CAST(attempt AS BOOLEAN)) AS attempt_required, list_sort(list_distinct(flatten(list(prohibited)))) AS prohibited,
+  arg_max(id, {{'p': precedence, 'i': id}}) AS top_policy, count(*) AS n_policies FROM j GROUP BY turn_id""")
+def policy_fold(spark: SparkSession, sf: str) -> DataFrame:
+    p = spark.createDataFrame(POLICIES, "id string, intent string, special_handling string, precedence int, solution boolean, hint boolean, attempt_required boolean, prohibited array<string>")
+    return rules.fold_policies(rules.applicable(facts(spark, sf), p, ("intent", "special_handling")), ("solution", "hint"))
+
+
+@query()
+def strategy_combination(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = rules.select_trigger(facts(spark, sf), trigger_rows(spark), ("T99", "S00"))
+    allowed = F.array(*map(F.lit, ("S01", "S02", "S03", "S04")))
+    out = rules.combine(F.col("primary"), F.col("supporting"), ["S04"], ["S06"], allowed)
+    return chosen.withColumn("c", out).select("turn_id", F.col("c.primary").alias("primary_strategy"), "c.supporting", F.size("c.actions").alias("n_dropped"))
+
+
+@query("""SELECT source, CAST(sum(len(regexp_extract_all(text, 'token = '))) AS BIGINT) AS labels, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS chars,
+  sum(len(regexp_extract_all(text, 'token = '))) >= 1 AND sum(len(regexp_extract_all(text, 'token = '))) * 200000 >= sum(length(text)) + count(*) - 1 AS refused FROM documents GROUP BY source""")
+def answer_density(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.answer_density(table(spark, sf, "documents"), "token = ", "source", 1, 200000)
+
+
+@query("""SELECT doc_id, CAST(len(regexp_extract_all(text, 'token = "[^"]*"')) AS INTEGER) AS hits, md5(regexp_replace(text, 'token = "[^"]*"', 'token = "[redacted]"', 'g')) AS clean_md5
+FROM documents WHERE regexp_matches(text, 'token = "[^"]*"')""")
+def secret_redaction(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").filter(F.col("text").rlike('token = "[^"]*"'))
+    clean = F.regexp_replace("text", 'token = "[^"]*"', 'token = "[redacted]"')
+    return d.select("doc_id", F.regexp_count("text", F.lit('token = "[^"]*"')).alias("hits"), F.md5(clean).alias("clean_md5"))
+
+
+BANDS = [(0, 3), (4, 6), (7, 10)]
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    rel = F.round(F.col("l_discount") * 100).cast("int")
+    verdict = F.when(F.col("l_returnflag") == "R", F.lit("agree")).when(F.col("l_returnflag") == "A", F.lit("disagree")).otherwise(F.lit("unfilled"))
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), tx.band(rel, BANDS).alias("band"), verdict.alias("verdict"))
+
+
+_JUDGED_SQL = """j AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, CASE WHEN round(l_discount * 100) <= 3 THEN '0-3' WHEN round(l_discount * 100) BETWEEN 4 AND 6 THEN '4-6' WHEN round(l_discount * 100) BETWEEN 7 AND 10 THEN '7-10' END AS band,
+  CASE l_returnflag WHEN 'R' THEN 'agree' WHEN 'A' THEN 'disagree' ELSE 'unfilled' END AS verdict FROM lineitem)"""
+
+
+@query(f"""WITH {_JUDGED_SQL}, b(pos, band) AS (VALUES (0, '0-3'), (1, '4-6'), (2, '7-10')),
+n AS (SELECT pos, b.band, count(*) FILTER (WHERE verdict = 'agree') AS agree, count(*) FILTER (WHERE verdict = 'disagree') AS disagree, count(*) FILTER (WHERE verdict = 'unfilled') AS unfilled, count(*) FILTER (WHERE verdict = 'unrecognised') AS unrecognised FROM b LEFT JOIN j USING (band) GROUP BY pos, b.band),
+r AS (SELECT *, CASE WHEN agree + disagree > 0 THEN CAST(agree AS DOUBLE) / (agree + disagree) END AS rate FROM n),
+u AS (SELECT *, coalesce(rate >= lag(rate) OVER (ORDER BY pos), true) AS up FROM r)
+SELECT pos, band, agree, disagree, unfilled, unrecognised, rate, CASE WHEN min(agree + disagree) OVER () < 5 THEN 'insufficient data' WHEN max(rate) OVER () - min(rate) OVER () <= 0.1 + 1e-9 THEN 'indistinguishable' WHEN bool_and(up) OVER () THEN 'monotonic' ELSE 'not monotonic' END AS verdict FROM u""")
+def relevance_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.band_summary(_judged(spark, sf), BANDS)
+
+
+@query(f"""WITH {_JUDGED_SQL}, k AS (SELECT edge_id, band, row_number() OVER (PARTITION BY band ORDER BY md5('42:' || edge_id), edge_id) AS k FROM j) SELECT edge_id, band FROM k WHERE k <= 20""")
+def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.stratified(_judged(spark, sf).select("edge_id", "band"), "band", "edge_id", 20)
+
+
+@query("""WITH w AS (SELECT doc_id % 2 AS leg, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS name FROM documents),
+a AS (SELECT DISTINCT name FROM w WHERE leg = 0), b AS (SELECT DISTINCT name FROM w WHERE leg = 1),
+j AS (SELECT a.name AS x, b.name AS y FROM a FULL JOIN b ON a.name = b.name),
+n AS (SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS common, count(*) FILTER (WHERE y IS NULL) AS only_in_a, count(*) FILTER (WHERE x IS NULL) AS only_in_b FROM j)
+SELECT *, CAST(common AS DOUBLE) / (common + only_in_a + only_in_b) AS jaccard, CAST(common AS DOUBLE) / (common + only_in_a) AS overlap_a, CAST(common AS DOUBLE) / (common + only_in_b) AS overlap_b FROM n""")
+def stability_sets(spark: SparkSession, sf: str) -> DataFrame:
+    w = table(spark, sf, "documents").select((F.col("doc_id") % 2).alias("leg"), F.explode(F.array_distinct(tx.latin_features(F.col("text")))).alias("name"))
+    return entities.set_agreement(w.filter("leg = 0"), w.filter("leg = 1"))
+
+
+@query("""WITH d AS (SELECT CAST(abs(a.p_size - b.p_size) * 5 AS INTEGER) AS delta FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+h AS (SELECT CAST(least(delta // 20, 4) AS INTEGER) AS bucket, count(*) AS n FROM d GROUP BY 1)
+SELECT CAST(r.range AS INTEGER) AS bucket, coalesce(n, 0) AS n FROM range(5) r LEFT JOIN h ON h.bucket = r.range""")
+def delta_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    d = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_size").alias("other")), "p_partkey").select(((F.col("p_size") - F.col("other")) * 5).alias("delta"))
+    return metrics.histogram(d)
+
+
+@query("""SELECT avg(CAST(length(text) AS DOUBLE)) AS mean, quantile_cont(CAST(length(text) AS DOUBLE), 0.5) AS median FROM documents""")
+def length_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.spread(table(spark, sf, "documents").select(F.length("text").cast("double").alias("n")), "n")
+
+
+@query("""WITH m AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: x) AS ns FROM documents), p(pid, ns) AS (VALUES (1, ['1', '2']), (2, ['5']), (3, ['4', '4', '4']))
+SELECT doc_id, pid FROM m, p WHERE list_reduce(list_prepend(0, list_transform(m.ns, lambda x: 0)), lambda a, b: a) = 0 AND
+  CASE pid WHEN 1 THEN list_position(m.ns, '1') > 0 AND list_contains(m.ns[list_position(m.ns, '1') + 1:], '2') WHEN 2 THEN list_contains(m.ns, '5') ELSE len(list_filter(m.ns, lambda x: x = '4')) >= 3 END""")
+def number_subsequence(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)).alias("ns"))
+    p = spark.createDataFrame([(1, ["1", "2"]), (2, ["5"]), (3, ["4", "4", "4"])], "pid int, want array<string>")
+    return m.join(F.broadcast(p)).filter(tx.is_subsequence(F.col("ns"), F.col("want"))).select("doc_id", "pid")
+
+
+@query()
+def answer_check(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [("x = 3", "x = 3"), ("2x = 6 so x = 6/2", "x = 3"), ("3", "x = 3"), ("y = 3", "x = 3"), ("idk", "x = 3"), ("x = 2/6", "x = 1/3"), ("x = 1/3", "x = 2/6"), ("x = 4", "x = 3"), ("x=3.0", "x = 3")]
+    d = spark.createDataFrame(rows, "attempt string, answer string").withColumn("c", tx.check_answer(F.col("attempt"), F.col("answer")))
+    return d.select("attempt", "answer", "c.verdict", "c.reason")
+
+
+@query()
+def leak_scan(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "conversations").select("conv_id", "turn", tx.find_leaks(F.col("text"), F.lit("x = 3")).alias("forms"))
+    return t.filter(F.size("forms") > 0)
+
+
+@query()
+def consolidate_entities(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    c = p.groupBy("p_name").agg(F.min("p_partkey").alias("pos"), F.array_sort(F.collect_set("p_brand")).alias("sources"))
+    cand = c.select(F.lit("parts").alias("corpus"), "pos", F.initcap("p_name").alias("title"), F.lit("").alias("definition"), F.array(F.concat("p_name", F.lit("s"))).alias("aliases"), "sources")
+    return entities.consolidate(cand)
+
+
+@query()
+def hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", tx.hashed_vector(F.col("text")).alias("vector"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{0E00}-\\x{0E7F}]') THEN 'th' ELSE 'en' END AS detected, substr(sha256(text), 1, 16) AS digest FROM documents""")
+def language_and_hash(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", tx.detect_language(F.col("text")).alias("detected"), tx.short_hash(F.col("text")).alias("digest"))
+
+
+@query("""SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 9)) AS unit FROM embeddings""")
+def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.transform(tx.l2_normalise(F.col("embedding")), lambda x: F.round(x, 9)).alias("unit"))
+
+
+@query("""WITH x AS (SELECT event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY event_type) SELECT event_type, n FROM x ORDER BY n DESC, f LIMIT 1""")
+def majority_value(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.majority(table(spark, sf, "events"), "event_type", "event_id")
+
+
+@query()
+def map_findings(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").filter("p_partkey <= 200")
+    nodes = p.select(F.col("p_partkey").alias("id"))
+    kinds = F.array(*map(F.lit, ("prerequisite_of", "related_to", "bogus")))
+    edges = p.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * F.col("p_size") % 210).alias("target"), F.get(kinds, (F.col("p_partkey") % 3).cast("int")).alias("type"))
+    return gates.validate_map(nodes, edges, graph.RELATIONS)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
