@@ -181,7 +181,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], calibrate: np.ndarray) -
 
     def pooled(label: int, which: int) -> tuple[np.ndarray, np.ndarray]:
         own = [r for r, c in zip(rows, calibrate) if r[0] == label and not c]
-        before = [np.concatenate((np.zeros(1, np.uint64), r[1][:-1])) for r in own]
+        before = [np.concatenate((np.zeros(1, np.uint64), r[1]))[: len(r[1])] for r in own]
         keys = np.concatenate([r[which] for r in own]) if own else np.zeros(0, np.uint64)
         before = np.concatenate(before) if own else keys
         return _contexts(keys[keys != 0], before[keys != 0])
@@ -202,8 +202,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], calibrate: np.ndarray) -
     model.k = share[1]  # segments start at a kept token
     model.rate = _decay(model, raw[0], share[0])
     x, y = [], []
+    both = {c for c in (0, 1) if not any(m for r, m in zip(rows, calibrate) if r[0] == c)}
     for (label, codes, stems), c in zip(rows, calibrate):
-        if c:
+        if c or label in both:
             x.append(model.evidence(np.array([0, len(codes)]), model.token_scores(codes, stems))[0][0])
             y.append(label)
     model.offset, model.slope = _logistic(np.array(x), np.array(y, float))
@@ -262,9 +263,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", hold_out: tu
     if min(n) == 0:
         return float((n[1] + 1) / (sum(n) + 2))
     rows = [(r[0], np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], np.uint64)) for r in got]
-    calibrate = np.array([k % 4 == 0 for k in range(len(rows))])
-    if len({r[0] for r, c in zip(rows, calibrate) if c}) < 2:
-        calibrate[:] = False
+    # every fourth row of a class calibrates; a class of few rows serves for both
+    calibrate = np.zeros(len(rows), bool)
+    for c in (0, 1):
+        own = np.flatnonzero([r[0] == c for r in rows])
+        calibrate[own[::4]] = len(own) >= 8
     return fit(rows, calibrate)
 
 
