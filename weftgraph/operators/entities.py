@@ -163,3 +163,43 @@ def greedy_matching(pairs: list[tuple[str, str, float]], least: float = 0.8) ->
             right.add(y)
             out.append((x, y, s))
     return out
+
+
+def start_nodes(queries: DataFrame, nodes: DataFrame, floor: float = 0.82) -> DataFrame:
+    """``query_id, id, tier``: by name, by id, by containment, else by gestalt similarity of ``floor`` or more.
+
+    Shorter names win ties, then the order of the nodes.  The node table of a
+    course is a small dimension and is broadcast.
+    """
+    n = F.broadcast(nodes.select("id", tx.plain_text(F.col("title")).alias("name"), "pos"))
+    q = queries.select("query_id", tx.plain_text(F.col("topic")).alias("q"))
+    j = q.join(n, on=F.length("name") > 0).withColumn("sim", tx.gestalt(F.col("q"), F.col("name")))
+    inside = F.col("q").contains(F.col("name")) | (F.col("name").contains(F.col("q")) & (F.length("q") > 0))
+    tier = F.when(F.col("q") == F.col("name"), 0).when(F.col("q") == F.lower(F.col("id").cast("string")), 1).when(inside, 2).when(F.col("sim") >= floor, 3)
+    w = Window.partitionBy("query_id").orderBy("tier", F.when(F.col("tier") == 3, -F.col("sim")), F.length("name"), "pos")
+    return j.withColumn("tier", tier).filter("tier is not null").withColumn("k", F.row_number().over(w)).filter("k = 1").select("query_id", "id", "tier")
+
+
+def members(chunks: DataFrame, drafts: DataFrame) -> DataFrame:
+    """``cid, draft_id`` for drafts that name a chunk."""
+    d = drafts.select(F.col("id").alias("draft_id"), F.explode("chunk_ids").alias("cid"))
+    return chunks.select("cid").join(d, "cid")
+
+
+def first_n(df: DataFrame, by: str, order: str, n: int = 25) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` rows of each key, and the rest."""
+    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    return ranked.filter(F.col("_k") <= n).drop("_k"), ranked.filter(F.col("_k") > n).drop("_k")
+
+
+def roster(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows (a prompt's roster) with a flag whether more were left out."""
+    total = df.count()
+    return df.orderBy(order).limit(n).withColumn("truncated", F.lit(total > n))
+
+
+def stability_problems(legs: DataFrame) -> DataFrame:
+    """Why two runs can't be compared: one row per reason. legs: leg, status, corpus, model, n_nodes."""
+    a = legs.agg(F.count(F.lit(1)).alias("n"), F.every(F.col("status") == "ok").alias("ok"), F.countDistinct("corpus").alias("corpora"), F.countDistinct("model").alias("models"), F.min("n_nodes").alias("least"))
+    why = F.array(F.when(F.col("n") != 2, F.lit("two legs are needed")), F.when(~F.col("ok"), F.lit("a leg did not finish")), F.when(F.col("corpora") > 1, F.lit("different corpora")), F.when(F.col("models") > 1, F.lit("different models")), F.when(F.col("least") == 0, F.lit("a leg has no nodes")))
+    return a.select(F.explode(F.array_compact(why)).alias("reason"))

@@ -219,3 +219,17 @@ def related_titles(edges: DataFrame, nodes: DataFrame, key) -> DataFrame:
     names = nodes.select("id", key(F.col("title")).alias("t"))
     e = edges.filter("type = 'related_to'").join(names.select(F.col("id").alias("source"), F.col("t").alias("s")), "source").join(names.select(F.col("id").alias("target"), F.col("t").alias("u")), "target")
     return e.groupBy(F.least("s", "u").alias("a"), F.greatest("s", "u").alias("b")).agg(F.min_by("relevance", "seq").alias("relevance"))
+
+
+def relations_of(edges: DataFrame, nodes: DataFrame, node) -> DataFrame:
+    """A node's edges in both directions, strongest first, then by title."""
+    out = edges.filter(F.col("source") == node).select(F.col("target").alias("id"), "type", "relevance", F.lit("out").alias("direction"))
+    into = edges.filter(F.col("target") == node).select(F.col("source").alias("id"), "type", "relevance", F.lit("in").alias("direction"))
+    return out.unionByName(into).join(nodes.select("id", "title"), "id").orderBy(F.coalesce("relevance", F.lit(-1)).desc(), "title")
+
+
+def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with an unknown end."""
+    ids = nodes.select("id").distinct()
+    lost = [edges.join(ids.withColumnRenamed("id", c), c, "left_anti") for c in ("source", "target")]
+    return lost[0].unionByName(lost[1]).distinct()

@@ -150,3 +150,30 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes") -> D
     new = F.coalesce(F.col(ts) > F.lag(ts).over(w) + F.expr(f"interval {gap}"), F.lit(True))
     s = events.withColumn("_n", new.cast("int")).withColumn("session", F.sum("_n").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return s.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count(F.lit(1)).alias("n_events"))
+
+
+def band_gaps(bands: DataFrame) -> DataFrame:
+    """Bands (low, high) that overlap the next one or leave a gap before it."""
+    w = Window.orderBy("low")
+    nxt = F.lead("low").over(w)
+    return bands.withColumn("next", nxt).filter(F.col("next").isNotNull() & (F.col("next") != F.col("high") + 1)).withColumn("problem", F.when(F.col("next") <= F.col("high"), F.lit("overlap")).otherwise(F.lit("gap")))
+
+
+def mapped_percent(percent: Column, low: int, high: int) -> Column:
+    """A stage's percent within its share of the whole bar, rounded half to even."""
+    return F.bround(low + (high - low) * percent / F.lit(100.0)).cast("int")
+
+
+def run_id(ts: Column) -> Column:
+    """A run's id from its start (UTC session)."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH-mm-ss'Z'")
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    return F.unix_millis(end) - F.unix_millis(start)
+
+
+def folded_progress(events: DataFrame) -> DataFrame:
+    """Per file the latest percent of each stage and the newest event, newest file first. Input: file_id, stage, percent, seq."""
+    s = events.groupBy("file_id", "stage").agg(F.max_by("percent", "seq").alias("percent"), F.max("seq").alias("seq"))
+    return s.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "percent")))).alias("stages"), F.max("seq").alias("seq")).orderBy(F.desc("seq"))

@@ -201,3 +201,60 @@ def problem_for(messages: DataFrame, problems: DataFrame) -> DataFrame:
     line = (F.size("p.numbers") >= 2) & tx.is_subsequence(F.col("m.numbers"), F.col("p.numbers"))
     j = messages.alias("m").join(F.broadcast(problems.alias("p")), inside | line)
     return j.groupBy("m.message_id").agg(F.max_by("p.problem_id", F.struct(F.length("p.folded"), -F.col("p.pos"))).alias("problem_id"))
+
+
+def coverage(secret_numbers: Column, prose: Column) -> Column:
+    """What a leak scan of a key can see: exact and folded text always, numbers only where it has any."""
+    base = F.array(F.lit("exact"), F.lit("normalised"))
+    return F.when(F.coalesce(F.length(F.trim(prose)), F.lit(0)) == 0, F.expr("cast(array() as array<string>)")).when(F.size(secret_numbers) > 0, F.concat(base, F.array(F.lit("final_answer"), F.lit("numeric_token")))).otherwise(base)
+
+
+def reconcile(model: Column, checker: Column) -> Column:
+    """The checker's verdict where it has one, else the model's; who decided is told."""
+    return F.struct(F.coalesce(checker, model, F.lit("cannot_evaluate")).alias("evaluation"), F.when(checker.isNotNull(), F.lit("checker")).when(model.isNotNull(), F.lit("model")).otherwise(F.lit("nobody")).alias("decided_by"), (checker.isNotNull() & model.isNotNull() & (checker != model)).alias("overruled"))
+
+
+#: fixed values: phrases that press for a verdict
+PRESSURE = (r"i('m| am) (pretty |quite |very )?sure", r"just (say|tell me) (it is|it's) (right|correct)", r"everyone (says|agrees)", r"my teacher said( so)?", r"please agree", r"trust me", r"you have to (agree|accept)")
+
+
+def strip_pressure(text: Column) -> Column:
+    """The text without phrases that press for a verdict, and those phrases."""
+    pattern = "(?i)(" + "|".join(PRESSURE) + ")"
+    return F.struct(tx.squeeze(F.regexp_replace(text, pattern, " ")).alias("text"), F.regexp_extract_all(F.lower(text), F.lit(pattern.removeprefix("(?i)")), F.lit(0)).alias("removed"))
+
+
+def plan_problems(plans: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Plans that break an invariant (none should): ``turn_id, problem``. plans: turn_id, blocks, solution, max_words."""
+    kind = lambda b: F.coalesce(*[F.when(b == n, F.lit(v)) for n, v in kinds.items()], F.lit("text"))
+    shows = F.exists("blocks", lambda b: kind(b) == "solution")
+    asks = F.size(F.filter("blocks", lambda b: kind(b) == "question"))
+    why = F.array(F.when(shows & ~F.col("solution"), F.lit("solution withheld but planned")), F.when(asks > 1, F.lit("more than one question")), F.when(F.size("blocks") == 0, F.lit("empty plan")), F.when(F.col("max_words") <= 0, F.lit("no words allowed")))
+    return plans.select("turn_id", F.explode(F.array_compact(why)).alias("problem"))
+
+
+def may_state_solution(blocks: Column, kinds: dict[str, str], allowed: Column) -> Column:
+    """Whether policy allows a solution and a solution block is left."""
+    return allowed & F.exists(blocks, lambda b: F.coalesce(*[F.when(b == n, F.lit(v == "solution")) for n, v in kinds.items()], F.lit(False)))
+
+
+def recent_topics(turns: DataFrame, session: str = "session_id", turn: str = "turn", topic: str = "topic") -> DataFrame:
+    """The topics of the turns before, the most recent first, each once."""
+    w = Window.partitionBy(session).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    return turns.withColumn("recent_topics", F.array_distinct(F.reverse(F.collect_list(topic).over(w))))
+
+
+def live_map(versions: DataFrame) -> DataFrame:
+    """Per course the version that holds: live, else draft, else seed; drafts with errors can't go live."""
+    rank = F.when(F.col("kind") == "live", 0).when(F.col("kind") == "draft", 1).otherwise(2)
+    w = Window.partitionBy("course_id").orderBy(rank)
+    return versions.withColumn("approvable", (F.col("kind") == "draft") & (F.col("errors") == 0)).withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+
+
+def turn_events(turns: DataFrame) -> DataFrame:
+    """A turn's stream as rows: traces, text pieces of 24 characters, then done or error."""
+    pieces = F.transform(tx.chunks_of(F.col("text")), lambda p: F.struct(F.lit("token").alias("event"), p.alias("data")))
+    trace = F.transform("steps", lambda s: F.struct(F.lit("trace").alias("event"), s.alias("data")))
+    end = F.array(F.struct(F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("error")).alias("event"), F.coalesce("error", F.lit("")).alias("data")))
+    rows = F.concat(trace, F.when(F.col("error").isNull(), pieces).otherwise(F.slice(pieces, 1, 0)), end)
+    return turns.select("turn_id", F.posexplode(rows).alias("event_seq", "e")).select("turn_id", "event_seq", "e.event", "e.data")

@@ -87,3 +87,36 @@ def import_edges(edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataF
     j = edges.join(F.broadcast(mapping), "type", "left")
     good = j.filter("relation is not null").select("source", "target", F.col("relation").alias("type"), "seq")
     return first_direction(good), j.filter("relation is null").select("source", "target", "type")
+
+
+def write_map(path: str, nodes: list[dict], edges: list[dict]) -> None:
+    """A course map as YAML, replaced in one step."""
+    import yaml
+
+    write_files({path: yaml.safe_dump({"nodes": nodes, "edges": [{"from": e["source"], "to": e["target"], "relation": e["type"]} for e in edges]}, allow_unicode=True, sort_keys=False)})
+
+
+def rag_rows(nodes: DataFrame, course: str) -> DataFrame:
+    """A graph's nodes as chunks of a course."""
+    return nodes.filter("definition <> ''").select(F.lit(course).alias("course_id"), F.col("id").alias("chunk_id"), F.concat("title", F.lit("\n"), "definition").alias("text"), F.concat(F.lit("graph#"), F.col("id").cast("string")).alias("source_ref"))
+
+
+def deep_replace(value, pairs: dict[str, str]):
+    """Strings replaced everywhere in a nested value."""
+    if isinstance(value, str):
+        for a, b in pairs.items():
+            value = value.replace(a, b)
+        return value
+    if isinstance(value, dict):
+        return {k_: deep_replace(v, pairs) for k_, v in value.items()}
+    return [deep_replace(v, pairs) for v in value] if isinstance(value, list) else value
+
+
+def safe_name(name: str) -> bool:
+    """Whether a name is one path segment that stays where it is put."""
+    return bool(re.fullmatch(r"[\w][\w.\- ]{0,127}", name)) and ".." not in name and not name.endswith((".", " "))
+
+
+def reason_line(text: str, most: int = 300) -> str:
+    """One printable line of at most ``most`` characters."""
+    return re.sub(r"\s+", " ", re.sub(r"[\x00-\x1f\x7f]", " ", text)).strip()[:most]
