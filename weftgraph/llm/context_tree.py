@@ -318,7 +318,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hold_out: tuple[int, int] = HOLD_
         if kind == _WORD:
             values = np.minimum(counts, 2.0**53)[index]
         else:
-            values = Tree(keys, counts, depth).log_probability(keys, shared.value)[index]
+            values = Tree(keys, counts, depth).log_probability(keys, shared.value).astype(np.float32)[index]
         rows = [(kind, r, c, values[a:b].tobytes()) for c, a, b in zip(table["chunk"].to_pylist(), at[:-1], at[1:])]
         return _as_table(rows, _BACK)
 
@@ -328,7 +328,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hold_out: tuple[int, int] = HOLD_
     def told(replies: pa.Table, kind: int, bins: np.ndarray) -> np.ndarray:
         """A chunk's answers, put back into the order of its sorted keys."""
         mine = replies.filter(pa.array(replies["kind"].to_numpy() == kind))
-        values = exchange.answers(mine, "values", np.float64)
+        values = exchange.answers(mine, "values", np.float64 if kind == _WORD else np.float32)
         out = np.empty(len(bins))
         out[np.argsort(bins, kind="stable")] = values
         return out
