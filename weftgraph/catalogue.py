@@ -236,11 +236,9 @@ s AS (SELECT item_id, doc_id, CASE WHEN len(q.f) = 0 THEN 0.0 ELSE CAST(len(list
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def feature_overlap_topk(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "benchmark").select("item_id", F.array_distinct(tx.latin_features(F.col("text"))).alias("qf"))
-    d = table(spark, sf, "documents").select("doc_id", F.array_distinct(tx.latin_features(F.col("text"))).alias("df"))
-    s = d.join(F.broadcast(q)).select("item_id", "doc_id", tx.overlap(F.col("qf"), F.col("df")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return s.withColumn("rank", rank).filter("rank <= 3")
+    items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(tx.latin_features(F.col("text"))).alias("fs"))
+    docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(tx.latin_features(F.col("text"))).alias("fs"))
+    return retrieval.overlap_topk(items, docs, "item_id", "doc_id", 3)
 
 
 @query("""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)

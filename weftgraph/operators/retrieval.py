@@ -36,6 +36,22 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, over: int = 4
     return blended.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("near")
 
 
+def overlap_topk(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
+    """The ``k`` documents with the largest share of each query's distinct features ``fs``; ties by id.
+
+    Shared features come from a join on the feature, counted before anything is
+    shuffled by pair.  Among the ``2 * k`` least ids there are ``k`` that share
+    nothing whenever fewer than ``k`` documents share something, so these
+    stand in for all documents with score 0.
+    """
+    words = queries.select(query_id, F.size("fs").alias("_n"), F.explode("fs").alias("_f"))
+    shared = docs.select(doc_id, F.explode("fs").alias("_f")).join(words, "_f").groupBy(query_id, doc_id).agg((F.count(F.lit(1)) / F.max("_n")).alias("score"))
+    none = queries.select(query_id).join(F.broadcast(docs.select(doc_id).orderBy(doc_id).limit(2 * k))).withColumn("score", F.lit(0.0))
+    best = shared.unionByName(none).groupBy(query_id, doc_id).agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def upsert(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Chunks keyed by chunk_id, the batch wins; a batch with an empty source is refused whole."""
     if not batch.filter("source_ref is null or source_ref = ''").isEmpty():
