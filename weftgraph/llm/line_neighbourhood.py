@@ -7,7 +7,9 @@ left out or exchanged (an edit in five words at most: similarity 0.8).
 
 1. Equal lines are summed up by a 128-bit hash to their first occurrence.
 2. Within one edit of each other, two lines share their first or their last
-   half.  Lines whose halves occur in no other line emit nothing further.
+   half.  Lines whose halves occur in no other line emit nothing further; the
+   rest are read again through a bitmap of fixed size, so that the text of
+   other lines is never shuffled.
 3. The others emit all variants with one word deleted, and themselves, as
    hashed keys.  Lines that exchange a word share a variant at the same place;
    a line with a word more has a variant that equals the shorter line.  So a
@@ -24,35 +26,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 SPACE = r"[\x20\x09-\x0D]+"
 LEAST_WORDS = 5
+#: Lines that are looked up apart because they are the most common.
+COMMON = 1000
+#: Bits of the filter through which lines are read again: at most 2**20 rows of 64 bits, whatever the input.
+FILTER_BITS = 26
+
+
+def _spaced(line: Column) -> Column:
+    """One space between words, none at the ends; lines that are so already are only searched."""
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row per line with words (one without a line for a document that has none).
+    """A row per line with words, and one for each text's first line in any case (``line`` null if blank).
 
-    Lines are written with one space between words; equal ones have equal hashes.
+    Lines are written with one space between words; equal ones have equal
+    hashes.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
-    plain = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), F.trim(F.regexp_replace(x, SPACE, " ")).alias("line")))
-    row = row.select("doc_id", "text_key", F.filter(plain, lambda x: x["line"] != "").alias("lines"))
-    each = row.select("doc_id", "text_key", F.size("lines").alias("n_lines"), F.explode_outer("lines").alias("x"))
-    return each.select("doc_id", "text_key", "n_lines", "x.line_no", "x.line", F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(1), "x.line").alias("h2"))
+    each = row.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    each = each.select("doc_id", "text_key", "line_no", F.nullif(_spaced(F.col("raw")), F.lit("")).alias("line")).filter("line is not null or line_no = 0")
+    return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _halves() -> Column:
-    """Keys of which a line shares one with every line within one edit: three of the four differ."""
+def _place() -> Column:
+    """A number that orders lines: ids from 0 up, null above all, then 31 bits of the text's hash and 30 of the line number."""
+    shifted = "coalesce(cast(doc_id as decimal(38,0)) + 9223372036854775808BD, 18446744073709551616BD)"
+    return F.expr(f"cast(({shifted} * 2147483648BD + pmod(text_key, 2147483648)) * 1073741824BD + line_no as decimal(38,0))")
 
-    def of(a: Column) -> list[Column]:
-        p = F.floor(a / 2).cast("int")
-        return [F.xxhash64(F.lit(0), F.slice("codes", F.lit(1), p)), F.xxhash64(F.lit(1), F.slice("codes", F.col("n") - (a - p) + 1, a - p))]
 
-    return F.array(*of(F.col("n")), *of(F.col("n") - 1))
+def _halves() -> list[Column]:
+    """Keys of which a line of ``n`` words shares one with every line within one edit."""
 
+    def of(a: str) -> list[Column]:
+        head, tail = f"cast(floor(({a}) / 2) as int)", f"cast(({a}) - floor(({a}) / 2) as int)"
+        return [F.xxhash64(F.lit(0), F.expr(f"substring_index(line, ' ', {head})")), F.xxhash64(F.lit(1), F.expr(f"substring_index(line, ' ', -{tail})"))]
 
-def _without(codes: Column, i: Column) -> Column:
-    return F.concat(F.slice(codes, F.lit(1), i), F.slice(codes, i + 2, F.size(codes)))
+    return [*of("n"), *of("n - 1")]
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -68,30 +84,51 @@ def one_edit(a: Column, b: Column) -> Column:
     return near & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
-def near_lines(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``h1, h2`` of distinct lines (``h1, h2, n, codes, first``) that an earlier one is within one edit of."""
-    long_enough = lines.filter(F.col("n") >= least_words)
-    # one hash will do here: a collision only proposes more
-    halves = long_enough.select("h1", F.explode(F.array_distinct(_halves())).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("half")
-    chosen = halves.join(shared, "half", "left_semi").select("h1").distinct()
-    some = long_enough.join(chosen, "h1", "left_semi")
-    places = F.sequence(F.lit(0), F.col("n") - 1)
-    # place -1: the line itself, with which longer lines' variants are compared
-    swapped = F.transform(places, lambda i: F.struct(F.lit(0).alias("kind"), i.alias("place"), F.xxhash64(F.lit(0), i, _without(F.col("codes"), i)).alias("key")))
-    dropped = F.transform(places, lambda i: F.struct(F.lit(1).alias("kind"), i.alias("place"), F.xxhash64(F.lit(1), _without(F.col("codes"), i)).alias("key")))
-    itself = F.array(F.struct(F.lit(1).alias("kind"), F.lit(-1).alias("place"), F.xxhash64(F.lit(1), F.col("codes")).alias("key")))
-    who = F.struct("first", "h1", "h2")
-    variants = some.select(who.alias("who"), F.explode(F.concat(swapped, dropped, itself)).alias("v")).select("who", "v.kind", "v.place", "v.key")
-    whole = F.col("place") < 0
-    least = variants.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.when((F.col("kind") == 0) | whole, F.col("who"))).alias("low"), F.min(F.when((F.col("kind") == 1) & ~whole, F.col("who"))).alias("longer")).filter("members > 1")
+def _filtered(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose ``h1`` may be in ``chosen``, by a bitmap of ``2**FILTER_BITS`` bits.
+
+    The bitmap is built in SQL and broadcast; its size does not depend on the
+    input, and rows that pass by accident are dropped by a later join.
+    """
+    bit = F.pmod("h1", F.lit(1 << FILTER_BITS))
+    word = lambda b: F.shiftright(b, 6)
+    mask = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
+    bits = chosen.select(bit.alias("_bit")).withColumn("_word", word(F.col("_bit"))).groupBy("_word").agg(F.bit_or(mask).alias("_mask"))
+    found = lines.withColumn("_bit", bit).join(F.broadcast(bits), word(F.col("_bit")) == F.col("_word"))
+    return found.filter(F.col("_mask").bitwiseAND(mask) != 0).drop("_bit", "_word", "_mask")
+
+
+def near_lines(occurrences: DataFrame, lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``h1, h2`` of distinct lines that an earlier one is within one edit of."""
+    # k0 and k2 are of first halves, k1 and k3 of last ones; one hash will do here: a collision only proposes more
+    keys = F.array_distinct(F.array(*[F.struct(F.lit(i % 2 == 0).alias("head"), F.col(f"k{i}").alias("half")) for i in range(4)]))
+    halves = lines.filter(F.col("n") >= least_words).select("h1", F.explode(keys).alias("k")).select("h1", "k.head", "k.half")
+    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("half")
+    chosen = cut(halves.join(shared, "half", "left_semi").groupBy("h1").agg(F.max("head").alias("heads"), F.min("head").alias("tails")).select("h1", "heads", (~F.col("tails")).alias("tails")))
+    again = _filtered(occurrences, chosen).filter(F.col("n") >= least_words).select("h1", "h2", F.struct(_place().alias("place"), "n", "line").alias("x"))
+    first = again.join(chosen, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("x").alias("x")).join(chosen, "h1")
+    # chained hashes of the first and of the last words, so that a variant's key costs the same at any length
+    chain = lambda words: F.aggregate(words, F.array(F.lit(0).cast("long")), lambda a, w: F.concat(a, F.array(F.xxhash64(F.get(a, F.size(a) - 1), w))))
+    words = F.split("x.line", " ")
+    some = cut(first.select("h1", "h2", F.col("x.place").alias("first"), "x.n", "x.line", "heads", "tails", chain(words).alias("up"), chain(F.reverse(words)).alias("down")))
+    # kind 0: a word exchanged at a place; 1: that word left out; 2: the line itself cut there, to meet
+    # a longer line's variant.  Lines that share a first half differ behind it, and the reverse.
+    each = some.select("first", "h1", "n", "heads", "tails", "up", "down", F.explode(F.sequence(F.lit(0), 3 * F.col("n") + 2)).alias("j"))
+    each = each.withColumn("kind", F.floor(F.col("j") / (F.col("n") + 1)).cast("int")).withColumn("at", F.col("j") % (F.col("n") + 1))
+    last = F.when(F.col("kind") < 2, F.col("n") - 1).otherwise(F.col("n"))
+    half = F.floor((F.col("n") - 1) / 2).cast("int")
+    inside = (F.col("at") <= last) & (F.col("tails") | (F.col("at") >= half)) & (F.col("heads") | (F.col("at") <= last - (F.col("n") - 1 - half)))
+    key = F.xxhash64(F.col("kind") > 0, "at", F.get("up", "at"), F.get("down", last - F.col("at")))
+    variants = each.filter(inside).select("first", "h1", (F.col("kind") > 0).cast("int").alias("kind"), (F.col("kind") == 2).alias("whole"), key.alias("key"))
+    low, longer = (F.col("kind") == 0) | F.col("whole"), (F.col("kind") == 1) & ~F.col("whole")
+    least = variants.groupBy("kind", "key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min(F.when(low, F.col("first"))).alias("low"), F.min(F.when(longer, F.col("first"))).alias("longer")).filter("a <> b").drop("a", "b")
     met = variants.join(least, ["kind", "key"])
     # an exchanged word: the earliest of all; a word more: the whole line; a word less: the earliest longer line
-    earliest = F.when((F.col("kind") == 1) & whole, F.col("longer")).otherwise(F.col("low"))
-    pairs = met.withColumn("other", earliest).filter(F.col("other.first") < F.col("who.first")).select(F.col("who.h1").alias("h1"), F.col("who.h2").alias("h2"), F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2")).distinct()
-    own = some.select("h1", "h2", F.col("codes").alias("a"))
-    others = some.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("codes").alias("b"))
-    verified = pairs.join(own, ["h1", "h2"]).join(others, ["o1", "o2"]).filter(one_edit(F.col("a"), F.col("b")))
+    earliest = F.when((F.col("kind") == 1) & F.col("whole"), F.col("longer")).otherwise(F.col("low"))
+    pairs = met.select("first", earliest.alias("other")).filter("other < first").distinct()
+    own = some.select("first", "h1", "h2", F.split("line", " ").alias("a"))
+    others = some.select(F.col("first").alias("other"), F.split("line", " ").alias("b"))
+    verified = pairs.join(own, "first").join(others, "other").filter(one_edit(F.col("a"), F.col("b")))
     return verified.select("h1", "h2").distinct()
 
 
@@ -102,20 +139,26 @@ def judge(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id
     repeats are counted before near ones.
     """
     every = _occurrences(docs, id_col, text_col)
-    place = [F.col("doc_id").isNull().alias("unset"), "doc_id", "text_key", "line_no"]
-    codes = F.transform(F.split("line", " "), lambda w: F.hash(w))
-    # one column, so that all that read it share one exchange; the order is that of the place
-    kept = every.filter("line_no is not null").select("h1", "h2", F.struct(*place, codes.alias("codes")).alias("x"))
-    lines = kept.groupBy("h1", "h2").agg(F.min("x").alias("x"))
-    first = F.struct(*[F.col(f"x.{c}").alias(c) for c in ("unset", "doc_id", "text_key", "line_no")])
-    distinct = lines.select("h1", "h2", F.col("x.codes").alias("codes"), F.size("x.codes").alias("n"), first.alias("first"))
-    near = near_lines(distinct, least_words).withColumn("near", F.lit(True))
-    marked = lines.select("h1", "h2", first.alias("first")).join(near, ["h1", "h2"], "left")
-    here = every.drop("line").join(marked, ["h1", "h2"], "left")
-    exact = F.col("first").isNotNull() & (F.col("first") != F.struct(*place))
-    close = F.coalesce("near", F.lit(False)) & (F.col("first") == F.struct(*place))
+    words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    real = every.filter("line is not null").withColumn("n", words)
+    keyed = real.select("h1", "h2", _place().alias("place"), "n", *[k.alias(f"k{i}") for i, k in enumerate(_halves())])
+    mins = [F.min(c).alias(c) for c in ("place", "n", "k0", "k1", "k2", "k3")]
+    lines = keyed.groupBy("h1", "h2").agg(*mins)
+    near = cut(near_lines(real, lines, least_words)).withColumn("near", F.lit(True))
+    times = real.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
+    marked = times.join(near, ["h1", "h2"], "left")
+    here = every.select("doc_id", "text_key", "line_no", F.when(F.col("line").isNotNull(), 1).alias("real"), "h1", "h2", _place().alias("place"))
+    # the most common lines are looked up in a table of at most COMMON rows; their rows then go
+    # anywhere, so that no task of the join with all other lines gets more than one in COMMON of them
+    common = marked.orderBy(F.desc("times"), "h1", "h2").limit(COMMON).select("h1", "h2", F.col("first").alias("c_first"), F.col("near").alias("c_near"))
+    here = here.join(F.broadcast(common), ["h1", "h2"], "left")
+    here = here.withColumn("h1", F.when(F.col("c_first").isNull(), F.col("h1")).otherwise(F.xxhash64("text_key", "line_no")))
+    here = here.join(marked.drop("times"), ["h1", "h2"], "left").withColumns({"first": F.coalesce("c_first", "first"), "near": F.when(F.col("c_first").isNull(), F.col("near")).otherwise(F.col("c_near"))})
+    exact = F.col("first").isNotNull() & (F.col("first") != F.col("place"))
+    close = F.coalesce("near", F.lit(False)) & (F.col("first") == F.col("place"))
     out = here.groupBy("doc_id", "text_key").agg(
-        F.max("n_lines").cast("long").alias("n_lines"),
+        # a row that is repeated counts each line as often as its first
+        (F.count("real") / F.count_if(F.col("line_no") == 0)).cast("long").alias("n_lines"),
         F.collect_set(F.when(exact, F.col("line_no"))).alias("exact"),
         F.collect_set(F.when(close, F.col("line_no"))).alias("close"),
     )
