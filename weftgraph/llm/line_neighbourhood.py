@@ -50,8 +50,9 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
-    each = row.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    each = each.select("doc_id", "text_key", "line_no", F.nullif(_spaced(F.col("raw")), F.lit("")).alias("line")).filter("line is not null or line_no = 0")
+    # spaced before they are dealt out: a filter on the line then doesn't do that work again
+    spaced = F.transform(F.split("text", "\n"), lambda x: F.nullif(_spaced(x), F.lit("")))
+    each = row.select("doc_id", "text_key", F.posexplode(spaced).alias("line_no", "line")).filter("line is not null or line_no = 0")
     return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -153,7 +154,8 @@ def judge(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id
     common = marked.orderBy(F.desc("times"), "h1", "h2").limit(COMMON).select("h1", "h2", F.col("first").alias("c_first"), F.col("near").alias("c_near"))
     here = here.join(F.broadcast(common), ["h1", "h2"], "left")
     here = here.withColumn("h1", F.when(F.col("c_first").isNull(), F.col("h1")).otherwise(F.xxhash64("text_key", "line_no")))
-    here = here.join(marked.drop("times"), ["h1", "h2"], "left").withColumns({"first": F.coalesce("c_first", "first"), "near": F.when(F.col("c_first").isNull(), F.col("near")).otherwise(F.col("c_near"))})
+    # times is read in both uses, so that they share one exchange
+    here = here.join(marked, ["h1", "h2"], "left").withColumns({"first": F.coalesce("c_first", F.when(F.col("times") > 0, F.col("first"))), "near": F.when(F.col("c_first").isNull(), F.col("near")).otherwise(F.col("c_near"))})
     exact = F.col("first").isNotNull() & (F.col("first") != F.col("place"))
     close = F.coalesce("near", F.lit(False)) & (F.col("first") == F.col("place"))
     out = here.groupBy("doc_id", "text_key").agg(
