@@ -283,13 +283,28 @@ b AS (SELECT *, round(CAST(0.75 AS DOUBLE) * cosine + CAST(0.25 AS DOUBLE) * key
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, near) AS rank FROM b)
 SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _hybrid(spark, sf, "vec_id < 10")
+
+
+def _hybrid(spark: SparkSession, sf: str, queries: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("query_label"))
+    q = e.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("query_label"))
     c = e.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
     top = retrieval.hybrid_topk(q, c, 5, keyword=F.when(F.col("query_label") == F.col("label"), 1.0).otherwise(0.0))
     return top.select("query_id", "chunk_id", "score", "rank")
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe, label AS ql FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(qe, CAST(embedding AS DOUBLE[])) AS cosine, CASE WHEN ql = label THEN 1.0::DOUBLE ELSE 0.0 END AS keyword FROM q, embeddings),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS near FROM s),
+b AS (SELECT *, round(CAST(0.75 AS DOUBLE) * cosine + CAST(0.25 AS DOUBLE) * keyword, 6) AS score FROM n WHERE near <= 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, near) AS rank FROM b)
+SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def hybrid_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row whose id is divisible by 100 against all rows (``hybrid_topk`` has ten queries, as its SQL)."""
+    return _hybrid(spark, sf, "vec_id % 100 = 0")
+
+
 @query("""WITH d AS (SELECT quality, CASE WHEN len(regexp_extract_all(text, '[#*$%&|<>]')) * 20 > length(text) THEN 0 ELSE 1 END AS guess FROM documents JOIN labels USING (doc_id))
 SELECT quality, guess, count(*) AS n FROM d GROUP BY ALL""")
 def label_confusion(spark: SparkSession, sf: str) -> DataFrame:

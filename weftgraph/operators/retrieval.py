@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+#: queries that are broadcast at once: some 5 MB of 64 floats
+BLOCK = 20_000
+
 
 def scan(chunks: DataFrame, lang: str | None = None, topic: str | None = None) -> DataFrame:
     """Chunks under a metadata filter, which reaches the file scan."""
@@ -16,15 +21,24 @@ def scan(chunks: DataFrame, lang: str | None = None, topic: str | None = None) -
     return chunks
 
 
-def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, over: int = 4, vector: float = 0.75, keyword: Column | None = None) -> DataFrame:
+def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, over: int = 4, vector: float = 0.75, keyword: Column | None = None, block: int = BLOCK) -> DataFrame:
     """``query_id, chunk_id, cosine, keyword, score, rank``.
 
     The ``over * k`` nearest vectors of each query are ranked again by
     ``vector * cosine + (1 - vector) * keyword`` rounded to 6 places; ties keep
-    the vector order.  Queries are few and are broadcast; only ``over * k`` rows
-    a query and task leave the scan (the rank filter is pushed below the
+    the vector order.  Queries are broadcast in blocks of about ``block``, dealt
+    by a hash of their id; each block scans the chunks once and only ``over * k``
+    rows a query and task leave the scan (the rank filter is pushed below the
     exchange as a group limit).
     """
+    blocks = -(-queries.count() // block)
+    if blocks > 1:
+        b = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [_topk(queries.filter(b == i), chunks, k, over, vector, keyword) for i in range(blocks)])
+    return _topk(queries, chunks, k, over, vector, keyword)
+
+
+def _topk(queries: DataFrame, chunks: DataFrame, k: int, over: int, vector: float, keyword: Column | None) -> DataFrame:
     pairs = chunks.join(F.broadcast(queries))
     cosine = tx.dot(F.col("query_embedding"), F.col("embedding"))
     word = keyword if keyword is not None else tx.overlap(F.col("query_features"), F.col("features"))
