@@ -265,6 +265,21 @@ def unit_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return entities.grounding(claims, units).select("claim_id", "verdict")
 
 
+@query("""WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents),
+c AS (SELECT doc_id || ':' || no AS claim_id, no, doc_id + CASE WHEN doc_id % 10 = 0 THEN 100000000 ELSE 0 END AS src, CASE WHEN doc_id % 3 = 0 THEN 'no such words here' ELSE left(t, 30) END AS quote FROM u)
+SELECT claim_id, CASE WHEN d.doc_id IS NULL THEN 'unknown_unit' WHEN contains(trim(regexp_replace(d.t, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'grounded' ELSE 'quote_not_found' END AS verdict
+FROM c LEFT JOIN u d ON d.doc_id = c.src AND d.no = c.no""")
+def unit_grounding_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line is a unit and a claim (``unit_grounding`` has first lines only, as its SQL)."""
+    every = segment.lines(table(spark, sf, "documents"), "doc_id")
+    uid = lambda doc: F.concat(doc.cast("string"), F.lit(":"), F.col("line_no").cast("string"))
+    units = every.select(uid(F.col("doc_id")).alias("uid"), F.col("line").alias("text"))
+    src = F.col("doc_id") + F.when(F.col("doc_id") % 10 == 0, F.lit(100000000)).otherwise(F.lit(0))
+    quote = F.when(F.col("doc_id") % 3 == 0, F.lit("no such words here")).otherwise(F.substring("line", 1, 30))
+    claims = every.select(uid(F.col("doc_id")).alias("claim_id"), uid(src).alias("uid"), quote.alias("quote"))
+    return entities.grounding(claims, units).select("claim_id", "verdict")
+
+
 @query("""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, substr(sha1(url), 1, 8) AS url_hash, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
   CAST(len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) AS INTEGER) AS n_headings, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS INTEGER) AS n_paragraphs FROM pages""")
 def html_summary(spark: SparkSession, sf: str) -> DataFrame:
