@@ -114,10 +114,11 @@ def validate_map(nodes: DataFrame, edges: DataFrame, relations: tuple[str, ...],
     """``code, severity, location``: every problem of a course map.
 
     KL003 duplicate node, KL005 unknown relation, KL006 unknown end, KL007 self
-    edge, KL008 both directions, KL009 prerequisite cycle; KL100 duplicate edge
-    and KL101 isolated node warn.
+    edge, KL008 both directions, KL009 prerequisite cycle of any length (up to
+    five are reported, those of at most ``longest + 1`` nodes first); KL100
+    duplicate edge and KL101 isolated node warn.
     """
-    from .graph import cycles
+    from .graph import reported_cycles
 
     where = F.concat_ws(" ", "source", "type", "target")
     ids = nodes.select("id").distinct()
@@ -136,7 +137,7 @@ def validate_map(nodes: DataFrame, edges: DataFrame, relations: tuple[str, ...],
         found(ends.join(ids, "id", "left_anti").distinct(), "KL006", where),
         found(edges.filter("source = target"), "KL007", where),
         found(both.join(flipped, ["source", "type", "target"]).filter("source < target"), "KL008", where),
-        found(cycles(valid.filter("type = 'prerequisite_of'"), longest), "KL009", F.concat_ws(" > ", "path")),
+        found(reported_cycles(valid.filter("type = 'prerequisite_of'"), longest), "KL009", F.concat_ws(" > ", "path")),
         found(edges.groupBy("source", "type", "target").count().filter("count > 1"), "KL100", where, "warning"),
         found(ids.join(ends.select("id").distinct(), "id", "left_anti"), "KL101", F.col("id").cast("string"), "warning"),
     ]

@@ -7,7 +7,11 @@ edge_types: type, symmetric boolean, scored boolean, dag boolean
 
 from __future__ import annotations
 
+import tempfile
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 #: fixed values: the edge vocabularies (type, symmetric, scored, dag)
 EDUCATION = (("prerequisite_of", False, False, True), ("part_of", False, False, True), ("example_of", False, False, False), ("refines", False, False, False), ("supersedes", False, False, False), ("same_as", True, False, False))
 GENERAL = (("part_of", False, False, True), ("related_to", True, True, False))
+#: edges that one process peels or layers in memory; larger tables take a join a round until they are as small
+LOCAL = 200_000
 RELATIONS = ("prerequisite_of", "related_to", "next_topic", "part_of", "uses")
 
 
@@ -142,6 +148,145 @@ def cycles(edges: DataFrame, longest: int = 4, limit: int | None = 5) -> DataFra
     return out.limit(limit) if limit else out
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` materialised, so that plans don't grow with the rounds of a loop."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftgraph-"))
+    return df.checkpoint(eager=True)
+
+
+def cyclic_core(edges: DataFrame, local: int | None = None) -> list[tuple]:
+    """Edges left when sources and sinks are peeled until nothing changes; none if acyclic.
+
+    Above ``local`` edges a round is a join; what stays when nothing changes
+    there is taken whole, whatever its size.
+    """
+    local = LOCAL if local is None else local
+    e = _cut(edges.select("source", "target").distinct())
+    n = e.count()
+    while n > local:
+        sources, targets = e.select(F.col("source").alias("target")).distinct(), e.select(F.col("target").alias("source")).distinct()
+        e = _cut(e.join(targets, "source", "left_semi").join(sources, "target", "left_semi").select("source", "target"))
+        was, n = n, e.count()
+        if n == was:
+            break
+    after, before = defaultdict(set), defaultdict(set)
+    for a, b in e.collect():
+        after[a].add(b)
+        before[b].add(a)
+    for go, back in ((after, before), (before, after)):
+        ends = [x for x in back if not go.get(x)]
+        while ends:
+            x = ends.pop()
+            for y in back.pop(x, ()):
+                go[y].discard(x)
+                if not go[y]:
+                    ends.append(y)
+    return [(a, b) for a, bs in after.items() for b in bs]
+
+
+def _strong(after: dict, nodes: Iterable) -> list[set]:
+    """Strongly connected components of more than one node among ``nodes``."""
+    nodes = set(nodes)
+    before, order, seen = defaultdict(set), [], set()
+    for root in sorted(nodes):
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(sorted(after.get(root, ()))))]
+        while stack:
+            node, rest = stack[-1]
+            for x in rest:
+                if x in nodes:
+                    before[x].add(node)
+                    if x not in seen:
+                        seen.add(x)
+                        stack.append((x, iter(sorted(after.get(x, ())))))
+                        break
+            else:
+                order.append(node)
+                stack.pop()
+    out, taken = [], set()
+    for root in reversed(order):
+        if root in taken:
+            continue
+        taken.add(root)
+        group, stack = {root}, [root]
+        while stack:
+            for x in before[stack.pop()] - taken:
+                taken.add(x)
+                group.add(x)
+                stack.append(x)
+        if len(group) > 1:
+            out.append(group)
+    return out
+
+
+def simple_cycles(edges: Iterable[tuple]) -> Iterator[list]:
+    """Simple cycles of two nodes or more, of any length, from their least node (Johnson).
+
+    The time between two cycles is linear in the edges.
+    """
+    after = defaultdict(set)
+    for a, b in edges:
+        after[a].add(b)
+    groups = _strong(after, list(after))
+    while groups:
+        groups.sort(key=min, reverse=True)
+        group = groups.pop()
+        start = min(group)
+        steps = lambda x: iter(sorted(after[x] & group))  # noqa: B023, E731
+        path, blocked, closed, waits = [start], {start}, set(), defaultdict(set)
+        stack = [(start, steps(start))]
+        while stack:
+            node, rest = stack[-1]
+            nxt = next(rest, None)
+            if nxt is None:
+                stack.pop()
+                path.pop()
+                if node in closed:
+                    free = [node]
+                    while free:
+                        x = free.pop()
+                        if x in blocked:
+                            blocked.discard(x)
+                            free.extend(waits.pop(x, ()))
+                    if path:
+                        closed.add(path[-1])
+                else:
+                    for x in after[node] & group:
+                        waits[x].add(node)
+            elif nxt == start:
+                if len(path) > 1:
+                    closed.add(node)
+                    yield list(path)
+            elif nxt not in blocked:
+                path.append(nxt)
+                blocked.add(nxt)
+                closed.discard(nxt)
+                stack.append((nxt, steps(nxt)))
+        groups += _strong(after, group - {start})
+
+
+def reported_cycles(edges: DataFrame, longest: int = 4, limit: int = 5) -> DataFrame:
+    """``path, length`` of ``limit`` simple cycles, fewer only if there are fewer.
+
+    The shortest come first as in ``cycles``; where those are fewer than
+    ``limit``, cycles of any length fill up.
+    """
+    core = cyclic_core(edges)
+    spark, kind = edges.sparkSession, edges.schema["source"].dataType.simpleString()
+    paths = []
+    if core:
+        paths = [x.path for x in cycles(spark.createDataFrame(core, f"source {kind}, target {kind}"), longest, limit).collect()]
+        if len(paths) < limit:
+            known = set(map(tuple, paths))
+            more = islice((p for p in simple_cycles(core) if tuple(p) not in known), limit - len(paths))
+            paths += sorted(more, key=lambda p: (len(p), p))
+    return spark.createDataFrame([(p, len(p)) for p in paths], f"path array<{kind}>, length int")
+
+
 def cycle_edges(paths: DataFrame) -> DataFrame:
     """The edges that cycle paths run over."""
     e = paths.select("path", F.posexplode("path").alias("k", "source"))
@@ -174,18 +319,40 @@ def back_edges(edges: list[tuple], nodes: list) -> list[tuple]:
     return found
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """Longest-path layer of each node of an acyclic edge table, by relaxation."""
+def layers(nodes: DataFrame, edges: DataFrame, local: int | None = None) -> DataFrame:
+    """Longest-path layer of each node of an acyclic edge table; cycles are refused.
+
+    Up to ``local`` edges are layered in memory, more by relaxation until nothing changes.
+    """
+    local = LOCAL if local is None else local
+    e = _cut(drop_dangling(edges.select("source", "target").distinct(), nodes).select("source", "target"))
     level = nodes.select("id").withColumn("layer", F.lit(0))
-    e = edges.select("source", "target").distinct()
-    for _ in range(most):
+    if e.count() <= local:
+        after, left = defaultdict(list), defaultdict(int)
+        for a, b in e.collect():
+            after[a].append(b)
+            left[b] += 1
+        layer = dict.fromkeys(after, 0)
+        front = [x for x in after if not left.get(x)]
+        while front:
+            x = front.pop()
+            for y in after.get(x, ()):
+                layer[y] = max(layer.get(y, 0), layer[x] + 1)
+                left[y] -= 1
+                if not left[y]:
+                    front.append(y)
+        if any(left.values()):
+            raise ValueError("layers need an acyclic edge table; take out back_edges first")
+        found = nodes.sparkSession.createDataFrame(list(layer.items()), f"id {nodes.schema['id'].dataType.simpleString()}, up int")
+        return level.join(found, "id", "left").select("id", F.coalesce("up", "layer").alias("layer"))
+    if cyclic_core(e, local):
+        raise ValueError("layers need an acyclic edge table; take out back_edges first")
+    while True:
         up = e.join(level.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg((F.max("layer") + 1).alias("up"))
-        new = level.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"))
-        new = new.persist()
-        if new.join(level.withColumnRenamed("layer", "was"), "id").filter("layer <> was").isEmpty():
-            return new
-        level = new
-    return level
+        new = _cut(level.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), (F.col("up") > F.col("layer")).alias("_moved")))
+        level = new.select("id", "layer")
+        if new.filter("_moved").isEmpty():
+            return level
 
 
 def describe(edges: DataFrame, nodes: DataFrame) -> DataFrame:
