@@ -15,8 +15,13 @@ windows; it is ``verbatim`` where no value differs and ``reparameterised``
 otherwise.  An item of fewer words than a window is one window by itself.
 Windows of slots alone are no evidence and are left out.
 
-The items' windows are broadcast, ``SLICE_WINDOWS`` of them at a time (16 bytes
-each); a larger benchmark is dealt with in several passes over the texts, so
+A name slot depends on the text around a word, so items are sought in three
+forms and the first that is found counts: the template; the template with the
+item's first word as a name, for a copy inside a sentence (the word itself must
+be the same there); and the plain lower-cased words, for a copy in other case.
+
+The items' windows are broadcast, ``SLICE_WINDOWS`` of each form at a time (16
+bytes each); a larger benchmark is dealt with in several passes over the texts, so
 nothing is dropped and texts are never shuffled.
 
 Null texts and items have no words and match nothing; a null item id is
@@ -41,6 +46,7 @@ WINDOW = 5
 SIMILARITY = 0.8
 #: Windows of the benchmark that are broadcast at once.
 SLICE_WINDOWS = 2_000_000
+FORMS = ("template", "named", "plain")
 #: fixed values: units that may follow a number
 UNITS = (
     "cents", "centimeters", "cm", "days", "dollars", "euros", "feet", "ft", "g", "gallons", "grams", "hours", "hrs",
@@ -102,30 +108,37 @@ class Templates:
         unit = (_UNIT_CODES[at] == self.values) & np.append(False, number[:-1])[: len(number)]
         self.codes[name], self.codes[unit], self.codes[number] = NAME, UNIT, NUMBER
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows inside one text that hold a word."""
+    def windows(self, size: int, plain: bool = False, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows inside one text that hold a word (``every``: of all).
+
+        ``plain`` windows are of words instead of codes.
+        """
         n = len(self.codes)
         ok = words.within(self.first, n, size)
         slot = np.concatenate(([0], np.cumsum(np.isin(self.codes, _SLOTS))))
-        if len(ok):
+        if len(ok) and not every:
             ok &= slot[size:] - slot[:-size] < size
         at = np.flatnonzero(ok)
-        return at, words.window_hashes(self.codes, size)[at]
+        return at, words.window_hashes(self.values if plain else self.codes, size)[at]
 
 
 class Items:
-    """The windows of some benchmark items, sorted by hash."""
+    """The windows of some benchmark items in one form, sorted by hash."""
 
-    def __init__(self, ids: list, column: pa.Array, size: int):
-        self.ids, self.size = ids, size
+    def __init__(self, ids: list, column: pa.Array, size: int, form: str = "template"):
+        self.ids, self.size, self.form = ids, size, form
         t = Templates(column)
         n = np.diff(t.first)
-        self.codes = [t.codes[a:b] for a, b in zip(t.first[:-1], t.first[1:])]
+        if form == "named":
+            lead = t.first[:-1][n > 0]
+            lead = lead[~np.isin(t.codes[lead], _SLOTS)]
+            t.codes[lead] = NAME
+        self.codes = [(t.values if form == "plain" else t.codes)[a:b] for a, b in zip(t.first[:-1], t.first[1:])]
         self.values = [t.values[a:b] for a, b in zip(t.first[:-1], t.first[1:])]
         hashes, item, place, length = [], [], [], []
         # items shorter than a window are windows of their own length
         for width in sorted({min(int(k), size) for k in n if k > 0}):
-            at, h = t.windows(width)
+            at, h = t.windows(width, plain=form == "plain")
             own = np.searchsorted(t.first, at, "right") - 1
             keep = n[own] >= size if width == size else n[own] == width
             hashes.append(h[keep])
@@ -163,6 +176,9 @@ def _aligned(items: Items, t: Templates, start: int, k: int, places: list[int],
         new: dict[tuple[int, int], int] = {}
         fits = True
         for q in range(p, p + widths):
+            if q == 0 and items.form == "named" and own[0] != theirs[start]:
+                fits = False
+                break
             if codes[q] <= NAME:
                 slot, value = (int(codes[q]), int(own[q])), int(theirs[start + q])
                 if binding.get(slot, new.get(slot, value)) != value:
@@ -176,14 +192,28 @@ def _aligned(items: Items, t: Templates, start: int, k: int, places: list[int],
     return good, changed
 
 
-def _judge(items: Items, column: pa.Array, similarity: float) -> list[list[dict]]:
-    """Each text's items found: id, similarity and kind."""
+def _judge(forms: list[Items], column: pa.Array, similarity: float) -> list[list[dict]]:
+    """Each text's items found in any form: id, similarity and kind."""
     t = Templates(column)
-    found: list[list[dict]] = [[] for _ in range(len(t.first) - 1)]
+    each = [_found(items, t, similarity) for items in forms]
+    ids = forms[0].ids
+    out = []
+    for row in zip(*each):
+        first: dict[int, dict] = {}
+        for found in row:
+            for k, x in found:
+                first.setdefault(k, x)
+        out.append([{"item_id": ids[k], **first[k]} for k in sorted(first)])
+    return out
+
+
+def _found(items: Items, t: Templates, similarity: float) -> list[list[tuple[int, dict]]]:
+    """Each text's items found in one form, by their place among the items."""
+    found: list[list[tuple[int, dict]]] = [[] for _ in range(len(t.first) - 1)]
     # text, item -> offset -> places
     met: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
     for width in items.lengths:
-        at, which = items.hits(*t.windows(width))
+        at, which = items.hits(*t.windows(width, items.form == "plain", items.form == "plain"))
         item, place = items.item[which], items.place[which]
         if not len(at):
             continue
@@ -206,7 +236,7 @@ def _judge(items: Items, column: pa.Array, similarity: float) -> list[list[dict]
             changed |= differs and bool(good)
         share = len(seen) / max(1, items.needed[k])
         if share >= similarity:
-            found[d].append({"item_id": items.ids[k], "similarity": share, "kind": "reparameterised" if changed else "verbatim"})
+            found[d].append((k, {"similarity": share, "kind": "reparameterised" if changed else "verbatim"}))
     return found
 
 
@@ -228,8 +258,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similar
     for k in range(passes):
         part = bench if passes == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         rows = sorted(((r.item_id is None, r.item_id or 0, r.text) for r in part.collect()))  # slice_windows windows at most
-        items = Items([None if unset else i for unset, i, _ in rows], pa.array([t for _, _, t in rows], pa.string()), window)
-        shared = spark.sparkContext.broadcast(items)
+        ids, texts = [None if unset else i for unset, i, _ in rows], pa.array([t for _, _, t in rows], pa.string())
+        shared = spark.sparkContext.broadcast([Items(ids, texts, window, form) for form in FORMS])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, more=k > 0) -> Iterator[pa.RecordBatch]:
             for b in batches:
