@@ -1,6 +1,7 @@
 """Each operator against brute force and on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -420,8 +421,23 @@ def test_words_encode_like_whole_texts(parts):
     enc = token_files._encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     assert enc.wordwise
     text = " ".join(parts)
-    want = np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, enc.dtype).tobytes()
-    assert enc.encode([text.encode()]) == [want]
+    texts = [text, None, text.upper() + " tail", "", "".join(parts)]
+    want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    ids, sizes = enc.encode(pa.array(texts), 2)
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    import public_tokenizers
+
+    enc = token_files.Encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    monkeypatch.setattr(token_files, "REMEMBERED", 40)
+    monkeypatch.setattr(token_files, "LOOSE", 10)
+    for seed in (1, 2, 1, 3, 1):
+        r = random.Random(seed)
+        text = " ".join("".join(r.choices("abcdeé", k=6)) for _ in range(200)) + " Größe don't 3.14"
+        assert enc.encode(pa.array([text]), 2)[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    assert len(enc.old) and len(enc.loose) + len(enc.young) < 500
 
 
 # 10
