@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -172,28 +172,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", hold_out:
     return Machine().fit(rows, y, weight)
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality", hold_out: tuple[int, int] = HOLD_OUT, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", keep: list[str] | None = None, **options) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row (or ``keep`` columns, then ``_score``)."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels, label, hold_out, id_col=id_col, text_col=text_col, chars_col=chars_col, **options))
-    carried = docs.select(*(keep or [F.col(id_col).cast("long").alias("doc_id")]), F.col(text_col).cast("string").alias("_text"), _with_length(docs, chars_col).alias("_chars"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema[:-2]) + ", _score double"
-    width = len(carried.columns) - 2
+def _scored(docs: DataFrame, labels: DataFrame, label: str, hold_out: tuple[int, int], id_col: str, text_col: str, chars_col: str, **options) -> Column:
+    """The score as a column of ``docs``: Python gets the text and its length and gives a number back."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, hold_out, id_col=id_col, text_col=text_col, chars_col=chars_col, **options))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         machine = model.value
-        for b in batches:
-            for lo, hi in words.slices(b.column(width), words.BLOCK):
-                part = b.slice(lo, hi - lo)
-                s = np.full(hi - lo, machine) if isinstance(machine, float) else machine.score(part.column(width), _chars(part.column(width + 1)))
-                yield pa.record_batch([*part.columns[:width], pa.array(s)], names=[*b.schema.names[:width], "_score"])
+        for text, chars in batches:
+            if isinstance(machine, float):
+                yield pa.array(np.full(len(text), machine))
+                continue
+            parts = [machine.score(text.slice(lo, hi - lo), _chars(chars.slice(lo, hi - lo))) for lo, hi in words.slices(text, words.BLOCK)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return run(F.col(text_col).cast("string"), _with_length(docs, chars_col))
+
 
-    scored = carried.mapInArrow(run, schema)
-    if keep:
-        return scored
-    return scored.select("doc_id", (labelled.remainder(F.col("doc_id"), hold_out[0]) == hold_out[1]).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", hold_out: tuple[int, int] = HOLD_OUT, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for each row."""
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), _scored(docs, labels, label, hold_out, id_col, text_col, chars_col, **options).alias("score"))
+    return scored.select("doc_id", (labelled.remainder(F.col("doc_id"), hold_out[0]) == hold_out[1]).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label: str = "quality", hold_out: tuple[int, int] = HOLD_OUT, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, columns unchanged."""
-    return score(docs, labels, keep=docs.columns, **options).filter(F.col("_score") >= threshold).select(*docs.columns)
+    return docs.filter(_scored(docs, labels, label, hold_out, id_col, text_col, chars_col, **options) >= threshold)

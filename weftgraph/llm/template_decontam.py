@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -240,42 +240,42 @@ def _found(items: Items, t: Templates, similarity: float) -> list[list[tuple[int
     return found
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, slice_windows: int = SLICE_WINDOWS, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, items`` for each row: the items found, with similarity and kind.
+_ITEMS = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("kind", pa.string())]))
+_ITEMS_SQL = "array<struct<item_id: bigint, similarity: double, kind: string>>"
 
-    With ``keep`` these columns come instead of ``doc_id``, and the items as ``_items``.
-    """
+
+def _items(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int = WINDOW, similarity: float = SIMILARITY, slice_windows: int = SLICE_WINDOWS, item_col: str = "item_id", item_text_col: str = "text") -> Column:
+    """The items found as a column of ``docs``: Python gets the text and gives only them back."""
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text.alias("text"))
     total = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-int(total) // 2 // slice_windows))  # a word has two characters at least
-    carried = docs.select(*(keep or [F.col(id_col).cast("long").alias("doc_id")]), F.col(text_col).cast("string").alias("_text"))
-    width = len(carried.columns) - 1
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("kind", pa.string())]))
-    sql = "array<struct<item_id: bigint, similarity: double, kind: string>>"
+    found = []
     for k in range(passes):
         part = bench if passes == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         rows = sorted(((r.item_id is None, r.item_id or 0, r.text) for r in part.collect()))  # slice_windows windows at most
         ids, texts = [None if unset else i for unset, i, _ in rows], pa.array([t for _, _, t in rows], pa.string())
-        shared = spark.sparkContext.broadcast([Items(ids, texts, window, form) for form in FORMS])
+        found.append(_finder(spark.sparkContext.broadcast([Items(ids, texts, window, form) for form in FORMS]), similarity)(F.col(text_col).cast("string")))
+    return found[0] if passes == 1 else F.concat(*found)
+
+
+def _finder(shared, similarity: float):
+    @F.arrow_udf(_ITEMS_SQL)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            parts = [_judge(shared.value, text.slice(lo, hi - lo), similarity) for lo, hi in words.slices(text, words.BLOCK)]
+            yield pa.array([x for part in parts for x in part], _ITEMS)
+
+    return run
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, more=k > 0) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo, hi in words.slices(b.column(width), words.BLOCK):
-                    piece = b.slice(lo, hi - lo)
-                    found = _judge(shared.value, piece.column(width), similarity)
-                    if more:
-                        found = [x + y for x, y in zip(piece.column(width + 1).to_pylist(), found)]
-                    yield pa.record_batch([*piece.columns[: width + 1], pa.array(found, kind)], names=[*b.schema.names[: width + 1], "_items"])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema[: width + 1]) + f", _items {sql}"
-        carried = carried.mapInArrow(run, schema)
-    out = carried.drop("_text")
-    return out if keep else out.withColumnRenamed("_items", "items")
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``doc_id, items`` for each row: the items found, with similarity and kind."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _items(docs, benchmark, text_col, **options).alias("items"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no item is found, columns unchanged."""
-    return matches(docs, benchmark, keep=docs.columns, **options).filter(F.size("_items") == 0).select(*docs.columns)
+    return docs.filter(F.size(_items(docs, benchmark, text_col, **options)) == 0)
