@@ -7,18 +7,22 @@ left out or exchanged (an edit in five words at most: similarity 0.8).
 
 1. Equal lines are summed up by a 128-bit hash to their first occurrence.
 2. Within one edit of each other, two lines share their first or their last
-   half.  Lines whose halves occur in no other line emit nothing further; the
-   rest are read again through a bitmap of fixed size, so that the text of
-   other lines is never shuffled.
+   half.  Lines whose halves occur in no other line emit nothing further; of the
+   rest the first occurrence is read again, through a bitmap of fixed size, so
+   that the text of other lines is never shuffled.
 3. The others emit all variants with one word deleted, and themselves, as
    hashed keys.  Lines that exchange a word share a variant at the same place;
    a line with a word more has a variant that equals the shorter line.  So a
    key's group needs no pairs: its members are all compared with its earliest.
 4. The proposed pairs are verified on their words.
 
+Documents are split, spaced and hashed once: numbers only, a row per line, are
+written to the shared folder, and all later steps but 2 read those.
+
 Lines are judged on the input, not on what is left.  Rows that repeat both id
 and text are one document and give one row.  Null and empty texts give a row
-with no lines; an empty table gives none; extra columns are ignored.
+with no lines; an empty table gives none; extra columns are ignored.  A very long
+line costs three variants per word; a very long text is split by one task.
 """
 
 from __future__ import annotations
@@ -26,12 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .components import join_hubs
+from .storage import cut, kept
 
 SPACE = r"[\x20\x09-\x0D]+"
 LEAST_WORDS = 5
-#: Lines that are looked up apart because they are the most common.
-COMMON = 1000
 #: Bits of the filter through which lines are read again: at most 2**20 rows of 64 bits, whatever the input.
 FILTER_BITS = 26
 
@@ -42,18 +45,30 @@ def _spaced(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
+
+
+def _spot() -> Column:
+    """A hash of where a line is."""
+    return F.xxhash64("doc_id", "text_key", "line_no")
+
+
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row per line with words, and one for each text's first line in any case (``line`` null if blank).
+    """A row of numbers per line with words, and one for each text's first line in any case (``h1`` null if blank).
 
-    Lines are written with one space between words; equal ones have equal
-    hashes.
+    Lines are taken with one space between words; equal ones have equal
+    hashes.  The rows are written and read back.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
+    row = _rows(docs, id_col, text_col)
     # spaced before they are dealt out: a filter on the line then doesn't do that work again
     spaced = F.transform(F.split("text", "\n"), lambda x: F.nullif(_spaced(x), F.lit("")))
     each = row.select("doc_id", "text_key", F.posexplode(spaced).alias("line_no", "line")).filter("line is not null or line_no = 0")
-    return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    there = F.col("line").isNotNull()
+    sized = each.withColumns({"h1": F.when(there, F.xxhash64("line")), "h2": F.when(there, F.xxhash64(F.lit(1), "line")), "n": words})
+    return kept(sized.select("doc_id", "text_key", "line_no", _spot().alias("spot"), _place().alias("place"), "h1", "h2", "n", *[F.when(there, k).alias(f"k{i}") for i, k in enumerate(_halves())]), "lines")
 
 
 def _place() -> Column:
@@ -85,13 +100,13 @@ def one_edit(a: Column, b: Column) -> Column:
     return near & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
-def _filtered(lines: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``lines`` whose ``h1`` may be in ``chosen``, by a bitmap of ``2**FILTER_BITS`` bits.
+def _filtered(lines: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """The rows of ``lines`` whose ``key`` may be in ``chosen``, by a bitmap of ``2**FILTER_BITS`` bits.
 
     The bitmap is built in SQL and broadcast; its size does not depend on the
     input, and rows that pass by accident are dropped by a later join.
     """
-    bit = F.pmod("h1", F.lit(1 << FILTER_BITS))
+    bit = F.pmod(key, F.lit(1 << FILTER_BITS))
     word = lambda b: F.shiftright(b, 6)
     mask = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
     bits = chosen.select(bit.alias("_bit")).withColumn("_word", word(F.col("_bit"))).groupBy("_word").agg(F.bit_or(mask).alias("_mask"))
@@ -99,19 +114,26 @@ def _filtered(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     return found.filter(F.col("_mask").bitwiseAND(mask) != 0).drop("_bit", "_word", "_mask")
 
 
-def near_lines(occurrences: DataFrame, lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``h1, h2`` of distinct lines that an earlier one is within one edit of."""
+def near_lines(rows: DataFrame, lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``h1, h2`` of distinct lines that an earlier one is within one edit of.
+
+    ``rows`` has the texts (``_rows``), ``lines`` the distinct lines with their first ``spot`` and ``place``.
+    """
     # k0 and k2 are of first halves, k1 and k3 of last ones; one hash will do here: a collision only proposes more
     keys = F.array_distinct(F.array(*[F.struct(F.lit(i % 2 == 0).alias("head"), F.col(f"k{i}").alias("half")) for i in range(4)]))
-    halves = lines.filter(F.col("n") >= least_words).select("h1", F.explode(keys).alias("k")).select("h1", "k.head", "k.half")
+    long = lines.filter(F.col("n") >= least_words)
+    halves = long.select("h1", F.explode(keys).alias("k")).select("h1", "k.head", "k.half")
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("half")
-    chosen = cut(halves.join(shared, "half", "left_semi").groupBy("h1").agg(F.max("head").alias("heads"), F.min("head").alias("tails")).select("h1", "heads", (~F.col("tails")).alias("tails")))
-    again = _filtered(occurrences, chosen).filter(F.col("n") >= least_words).select("h1", "h2", F.struct(_place().alias("place"), "n", "line").alias("x"))
-    first = again.join(chosen, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("x").alias("x")).join(chosen, "h1")
+    sides = halves.join(shared, "half", "left_semi").groupBy("h1").agg(F.max("head").alias("heads"), F.min("head").alias("tails")).select("h1", "heads", (~F.col("tails")).alias("tails"))
+    chosen = cut(long.select("h1", "h2", "spot", F.col("place").alias("first"), "n").join(sides, "h1"))
+    each = rows.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("spot", _spot())
+    again = _filtered(each, chosen, "spot").select("spot", _spaced(F.col("line")).alias("line")).withColumn("h", F.xxhash64("line"))
+    first = chosen.join(again, (chosen.spot == again.spot) & (F.col("h1") == F.col("h"))).select("h1", "h2", "first", "n", "line", "heads", "tails")
     # chained hashes of the first and of the last words, so that a variant's key costs the same at any length
     chain = lambda words: F.aggregate(words, F.array(F.lit(0).cast("long")), lambda a, w: F.concat(a, F.array(F.xxhash64(F.get(a, F.size(a) - 1), w))))
-    words = F.split("x.line", " ")
-    some = cut(first.select("h1", "h2", F.col("x.place").alias("first"), "x.n", "x.line", "heads", "tails", chain(words).alias("up"), chain(F.reverse(words)).alias("down")))
+    words = F.split("line", " ")
+    # a row that is repeated has its first line at one spot twice
+    some = cut(first.dropDuplicates(["h1", "h2"]).withColumns({"up": chain(words), "down": chain(F.reverse(words))}))
     # kind 0: a word exchanged at a place; 1: that word left out; 2: the line itself cut there, to meet
     # a longer line's variant.  Lines that share a first half differ behind it, and the reverse.
     each = some.select("first", "h1", "n", "heads", "tails", "up", "down", F.explode(F.sequence(F.lit(0), 3 * F.col("n") + 2)).alias("j"))
@@ -140,22 +162,13 @@ def judge(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id
     repeats are counted before near ones.
     """
     every = _occurrences(docs, id_col, text_col)
-    words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    real = every.filter("line is not null").withColumn("n", words)
-    keyed = real.select("h1", "h2", _place().alias("place"), "n", *[k.alias(f"k{i}") for i, k in enumerate(_halves())])
     mins = [F.min(c).alias(c) for c in ("place", "n", "k0", "k1", "k2", "k3")]
-    lines = keyed.groupBy("h1", "h2").agg(*mins)
-    near = cut(near_lines(real, lines, least_words)).withColumn("near", F.lit(True))
-    times = real.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times"))
-    marked = times.join(near, ["h1", "h2"], "left")
-    here = every.select("doc_id", "text_key", "line_no", F.when(F.col("line").isNotNull(), 1).alias("real"), "h1", "h2", _place().alias("place"))
-    # the most common lines are looked up in a table of at most COMMON rows; their rows then go
-    # anywhere, so that no task of the join with all other lines gets more than one in COMMON of them
-    common = marked.orderBy(F.desc("times"), "h1", "h2").limit(COMMON).select("h1", "h2", F.col("first").alias("c_first"), F.col("near").alias("c_near"))
-    here = here.join(F.broadcast(common), ["h1", "h2"], "left")
-    here = here.withColumn("h1", F.when(F.col("c_first").isNull(), F.col("h1")).otherwise(F.xxhash64("text_key", "line_no")))
-    # times is read in both uses, so that they share one exchange
-    here = here.join(marked, ["h1", "h2"], "left").withColumns({"first": F.coalesce("c_first", F.when(F.col("times") > 0, F.col("first"))), "near": F.when(F.col("c_first").isNull(), F.col("near")).otherwise(F.col("c_near"))})
+    lines = cut(every.filter("h1 is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min_by("spot", "place").alias("spot"), *mins))
+    near = cut(near_lines(_rows(docs, id_col, text_col), lines, least_words)).withColumn("near", F.lit(True))
+    marked = lines.select("h1", "h2", F.col("place").alias("first"), "times").join(near, ["h1", "h2"], "left")
+    here = every.select("doc_id", "text_key", "line_no", "h1", "h2", "place")
+    real = join_hubs(here.filter("h1 is not null"), marked, ["h1", "h2"], "times").withColumn("real", F.lit(1))
+    here = real.unionByName(here.filter("h1 is null"), allowMissingColumns=True)
     exact = F.col("first").isNotNull() & (F.col("first") != F.col("place"))
     close = F.coalesce("near", F.lit(False)) & (F.col("first") == F.col("place"))
     out = here.groupBy("doc_id", "text_key").agg(
