@@ -4,16 +4,19 @@ Fingerprints: the whole text, A-Z lower-cased, as 3-word shingles (repeats
 included; fewer words: the whole sequence; none: zero); each shingle's XXH64
 votes per bit and a bit is one where over half the votes are.
 
-Search: the distinct fingerprints get a table of Hamming distances to
-reference fingerprints (pivots).  By the triangle inequality a pair within
-``radius`` bits differs by at most ``radius`` in every coordinate.
-
-* The pivots of a *block table* are zero and the one-bit fingerprints.  The
-  difference of two of these coordinates is that bit, so a set of them equals
-  the fingerprint under a mask, and a pair within 3 bits agrees on 3 of 6 such
-  sets: equal keys propose pairs, of which all others are never formed.
-* Pairs proposed are discarded when any of 16 scattered pivots' coordinates
-  differ by more than ``radius``; survivors are verified bit by bit.
+Search: each distinct fingerprint gets its row of the *pivot distance table*, the
+Hamming distances to ``PIVOTS`` scattered reference fingerprints, once; the row
+goes with it wherever it goes.  By the triangle inequality a pair within
+``radius`` bits differs by ``radius`` at most in every coordinate, so
+
+* pairs are proposed by equal keys: a pair within 3 bits agrees on 3 of 6 blocks
+  of bits.  (Coordinates alone could propose pairs by neighbouring cells only: a
+  cell of ``radius + 1`` holds a third of all fingerprints and each would be in
+  two of them per pivot.)
+* a proposed pair is discarded where the maximum difference of the stored
+  coordinates is over ``radius``, and
+* survivors are verified bit by bit.  ``filter_counts`` tells how many pairs
+  each step left.
 
 A bucket with more than ``bucket`` fingerprints does not form its pairs: its
 members are keyed again with the remaining bits in four parts, one of which
@@ -22,7 +25,9 @@ must be equal too, until buckets are small or only ``radius`` bits are left
 
 Null texts have no words; null ids sort after all others; rows of one id are
 documents of their own; an empty table gives no rows; other columns are
-ignored.
+ignored.  A very long text takes 24 bytes a word while its task hashes it.
+Fingerprints, keys and components of which very many rows have the same one are
+spread over tasks.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .components import connected_components
+from .components import connected_components, join_hubs, join_spread
 from .storage import cut
 
 RADIUS = 3
@@ -117,29 +122,61 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _near(radius: int) -> Column:
-    """The pivot filter and the verification of a proposed pair (l.fp, r.fp)."""
-    left, right = F.col("l.fp"), F.col("r.fp")
-    keep = F.lit(True)
-    for p in pivots():
-        at = F.lit(_signed(p))
-        keep = keep & (F.abs(_apart(left, at) - _apart(right, at)) <= radius)
-    return keep & (_apart(left, right) <= radius)
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """``fp`` and its distances to all pivots, eight to a long: columns ``c0, c1, ...``."""
+    away = [_apart(F.col("fp"), F.lit(_signed(p))).cast("long") for p in pivots()]
+    packed = []
+    for k in range(0, len(away), 8):
+        long = away[k]
+        for i, x in enumerate(away[k + 1 : k + 8], 1):
+            long = long.bitwiseOR(F.shiftleft(x, 8 * i))
+        packed.append(long.alias(f"c{k // 8}"))
+    return fps.select("fp", *packed)
+
+
+_COORDINATES = [f"c{k}" for k in range(-(-PIVOTS // 8))]
+
+
+def _largest_difference() -> Column:
+    """The maximum difference of the stored coordinates of a pair (l, r)."""
+    each = [F.abs(F.shiftrightunsigned(f"l.{c}", 8 * i).bitwiseAND(F.lit(127)) - F.shiftrightunsigned(f"r.{c}", 8 * i).bitwiseAND(F.lit(127))) for c in _COORDINATES for i in range(8)]
+    return F.greatest(*each)
+
+
+def _proposed(small: DataFrame) -> DataFrame:
+    """Pairs ``l, r`` of members of one bucket."""
+    own = small.select("mask", "key", "fp", *_COORDINATES)
+    return own.alias("l").join(own.alias("r"), (F.col("l.mask") == F.col("r.mask")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")))
+
+
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """Members of keys that two fingerprints or more have, with their number and the least."""
+    keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low")).filter("n > 1")
+    return join_spread(keyed, sizes, ["mask", "key"])
+
+
+def _first_keys(table: DataFrame, radius: int) -> DataFrame:
+    return table.select("fp", *_COORDINATES, F.explode(F.array(*[F.lit(_signed(m)) for m in first_masks(radius=radius)])).alias("mask"))
+
+
+def filter_counts(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> dict[str, int]:
+    """How many pairs (one per key that they share) small buckets propose, the pivots leave, and are within ``radius``."""
+    pairs = _proposed(_buckets(_first_keys(pivot_table(fps), radius)).filter(F.col("n") <= bucket))
+    near, verified = _largest_difference() <= radius, _apart(F.col("l.fp"), F.col("r.fp")) <= radius
+    return pairs.agg(F.count(F.lit(1)).alias("proposed"), F.count_if(near).alias("left_by_pivots"), F.count_if(verified).alias("verified"), F.count_if(verified & ~near).alias("lost")).first().asDict()
 
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Edges ``a, b`` that connect what pairs of distinct ``fp`` within ``radius`` connect."""
     spark = fps.sparkSession
-    keyed = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in first_masks(radius=radius)])).alias("mask"))
+    keyed = _first_keys(cut(pivot_table(fps)), radius)
     found = None
     while True:
-        keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low")).filter("n > 1")
-        members = cut(keyed.join(sizes, ["mask", "key"]))
+        members = cut(_buckets(keyed))
         last = F.bit_count(F.col("mask")) >= 64 - radius
         small = members.filter((F.col("n") <= bucket) & ~last)
-        pair = (F.col("l.mask") == F.col("r.mask")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
-        pairs = small.select("mask", "key", "fp").alias("l").join(small.select("mask", "key", "fp").alias("r"), pair & _near(radius))
+        pairs = _proposed(small).filter(_largest_difference() <= radius).filter(_apart(F.col("l.fp"), F.col("r.fp")) <= radius)
         new = pairs.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).unionByName(members.filter(last & (F.col("fp") != F.col("low"))).select(F.col("fp").alias("a"), F.col("low").alias("b")))
         found = new if found is None else found.unionByName(new)
         crowded = members.filter((F.col("n") > bucket) & ~last)
@@ -148,7 +185,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
         # at most 20 * 4**level masks, whatever the input
         used = sorted(r.mask for r in crowded.select("mask").distinct().collect())
         table = spark.createDataFrame([(m, [_signed(f) for f in finer_masks(m % (1 << 64), radius)]) for m in used], "mask long, finer array<long>")
-        keyed = crowded.join(F.broadcast(table), "mask").select("fp", F.explode("finer").alias("mask")).distinct()
+        keyed = crowded.join(F.broadcast(table), "mask").select("fp", *_COORDINATES, F.explode("finer").alias("mask")).distinct()
 
 
 def _clustered(docs: DataFrame, radius: int, bucket: int, id_col: str, text_col: str) -> DataFrame:
@@ -156,12 +193,15 @@ def _clustered(docs: DataFrame, radius: int, bucket: int, id_col: str, text_col:
     marked = cut(fingerprints(docs, id_col, text_col))
     # a null id comes after all others
     first = F.struct(F.col("doc_id").isNull().alias("unset"), "doc_id", "row_key")
-    classes = marked.groupBy("fp").agg(F.min(first).alias("first"))
+    classes = cut(marked.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(links(classes.select("fp"), radius, bucket))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    owner = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    named = rooted.select("fp", "root").join(owner, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("head"))
-    return marked.join(named, "fp").select("doc_id", "row_key", "fp", "component_id", "head")
+    rooted = cut(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", "n", "root"))
+    alone = rooted.filter("root is null").select("fp", "n", "first")
+    linked = rooted.filter("root is not null")
+    owner = linked.groupBy("root").agg(F.min("first").alias("owner"))
+    joined = join_spread(linked.select("fp", "n", "root"), owner, ["root"]).select("fp", "n", F.col("owner").alias("first"))
+    named = alone.unionByName(joined).select("fp", "n", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("head"))
+    return join_hubs(marked, named, ["fp"]).select("doc_id", "row_key", "fp", "component_id", "head")
 
 
 def cluster(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
