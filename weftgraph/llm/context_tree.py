@@ -397,8 +397,8 @@ def score(docs: DataFrame, depth: int = DEPTH, hold_out: tuple[int, int] = HOLD_
         chunk = table["chunk"][0].as_py()
         return _as_table(_rows(_WORD, chunk, _word_bins(wk, ranges), wk, wc, ranges, slice_chunks) + _rows(_GRAM, chunk, _bins(gk, depth, ranges), gk, gc, ranges, slice_chunks), _SENT)
 
-    # written once in groups, for the sums and for the answers
-    asked = cut(text.groupBy("chunk").applyInArrow(ask, _SENT_SQL).repartition("kind", "range", "slice"))
+    # written once, for the sums and for the answers
+    asked = cut(text.groupBy("chunk").applyInArrow(ask, _SENT_SQL))
     sums = cut(add_up(asked))
     top, n_words, n_distinct = tops(sums, depth)
     n, v = n_words + n_ends, n_distinct + (n_ends > 0)

@@ -151,7 +151,7 @@ def _with_length(docs: DataFrame, chars_col: str):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", hold_out: tuple[int, int] = HOLD_OUT, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> Machine | float:
     """A fitted machine, or the constant score where one class has no rows."""
     ship(docs.sparkSession)
-    chosen = labelled.sample(docs, labels, label, *hold_out, per_class, id_col)
+    chosen = labelled.sample(docs, labels, label, *hold_out, per_class, id_col, text_col)
     plain = chosen.select(F.col(text_col).cast("string").alias("text"), _with_length(docs, chars_col), "_label")
     out = pa.schema([("label", pa.int32()), ("index", pa.binary()), ("value", pa.binary()), ("stats", pa.binary())])
 
