@@ -162,7 +162,7 @@ def test_topics_levels_and_items(spark):
     labels = frame(spark, [("t1", 0, "linear equations", "name"), ("t2", 1, "quadratic equations", "name"), ("t1", 0, "lines", "alias")], "topic_id string, seq int, label string, kind string")
     m = frame(spark, [(1, "linear equations"), (2, "help with lines please"), (3, "equations"), (4, "dogs")], "message_id int, text string")
     r = {x.message_id: (x.topic_id, x.confidence, x.ambiguous) for x in rules.resolve_topics(m, labels).collect()}
-    assert r == {1: ("t1", 1.0, False), 2: ("t1", 0.6, False), 3: ("t1", 0.2, True)}
+    assert r == {1: ("t1", 1.0, False), 2: ("t1", 0.9, False), 3: ("t1", 0.3, True)}
     items = frame(spark, [("s", "a", "i1", 1), ("s", "a", "i2", 2)], "session_id string, topic string, item_id string, pos int")
     seen, none = frame(spark, [("s", "i1")], "session_id string, item_id string"), frame(spark, [], "session_id string, item_id string")
     assert rules.pick_item(items, seen, none).first().item_id == "i2" and rules.pick_item(items, seen, frame(spark, [("s", "i2")], "session_id string, item_id string")).first().item_id == "i1"

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import kernels as k
 from .functions import text as tx
 from .operators import entities, gates, graph, metrics, reasoner, retrieval, rules, segment
 from .sources import html as web
@@ -247,7 +248,7 @@ FROM b LEFT JOIN d ON contains(t, q) GROUP BY item_id""")
 def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "benchmark").select("item_id", tx.squeeze(F.col("text")).alias("q"))
     d = table(spark, sf, "documents").select("doc_id", tx.squeeze(F.col("text")).alias("t"))
-    hits = d.join(F.broadcast(q), F.col("t").contains(F.col("q"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_document"))
+    hits = entities.quotes_in_texts(q, d, "item_id", "doc_id").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_document"))
     j = q.select("item_id").join(hits, "item_id", "left")
     return j.select("item_id", F.when(F.col("n") > 0, F.lit("grounded")).otherwise(F.lit("quote_not_found")).alias("verdict"), F.coalesce("n", F.lit(0).cast("long")).alias("n_documents"), "first_document")
 
@@ -543,17 +544,86 @@ def number_subsequence(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(F.broadcast(p)).filter(tx.is_subsequence(F.col("ns"), F.col("want"))).select("doc_id", "pid")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('x = 3', 'x = 3', 'correct', 'final value matches'), ('2x = 6 so x = 6/2', 'x = 3', NULL, 'no finished final answer'), ('3', 'x = 3', 'correct', 'final value matches'),
+('y = 3', 'x = 3', NULL, 'another variable'), ('idk', 'x = 3', NULL, 'no attempt'), ('No clue!', 'x = 3', NULL, 'no attempt'), ('x = 2/6', 'x = 1/3', NULL, 'no finished final answer'), ('x = 1/3', 'x = 2/6', NULL, 'key is not one number'),
+('x = 4', 'x = 3', 'incorrect', 'final value differs'), ('x=3.0', 'x = 3', 'correct', 'final value matches'), ('help', 'x = 3', NULL, 'no finished final answer')) t(attempt, answer, verdict, reason)""")
 def answer_check(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("x = 3", "x = 3"), ("2x = 6 so x = 6/2", "x = 3"), ("3", "x = 3"), ("y = 3", "x = 3"), ("idk", "x = 3"), ("x = 2/6", "x = 1/3"), ("x = 1/3", "x = 2/6"), ("x = 4", "x = 3"), ("x=3.0", "x = 3")]
+    rows = [("x = 3", "x = 3"), ("2x = 6 so x = 6/2", "x = 3"), ("3", "x = 3"), ("y = 3", "x = 3"), ("idk", "x = 3"), ("No clue!", "x = 3"), ("help", "x = 3"), ("x = 2/6", "x = 1/3"), ("x = 1/3", "x = 2/6"), ("x = 4", "x = 3"), ("x=3.0", "x = 3")]
     d = spark.createDataFrame(rows, "attempt string, answer string").withColumn("c", tx.check_answer(F.col("attempt"), F.col("answer")))
     return d.select("attempt", "answer", "c.verdict", "c.reason")
 
 
-@query()
+@query("""SELECT d.doc_id, b.item_id, ['exact'] AS forms FROM documents d JOIN benchmark b ON contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g')))""")
 def leak_scan(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "conversations").select("conv_id", "turn", tx.find_leaks(F.col("text"), F.lit("x = 3")).alias("forms"))
-    return t.filter(F.size("forms") > 0)
+    """Benchmark items as secrets: the texts that have one inside, and the form in which it leaks."""
+    q = table(spark, sf, "benchmark").select("item_id", tx.squeeze(F.col("text")).alias("q"))
+    d = table(spark, sf, "documents").select("doc_id", tx.squeeze(F.col("text")).alias("t"))
+    met = entities.quotes_in_texts(q, d, "item_id", "doc_id").join(d, "doc_id").join(q, "item_id")
+    return met.select("doc_id", "item_id", tx.find_leaks(F.col("t"), F.col("q")).alias("forms"))
+
+
+def _nested(inner: str, steps: list[tuple[str, str]], call: str) -> str:
+    for a, b in steps:
+        inner = call.format(inner, a.replace("'", "''"), b)
+    return inner
+
+
+_FOLDED_SQL = _nested(_nested("lower(text)", k.THAI_NUMBERS, "replace({}, '{}', '{}')"), list(k.NUMBER_WORDS.items()), "regexp_replace({}, '\\b{}\\b', '{}', 'g')")
+_MESSAGES = "one apple and Twenty pears, twelve-ten|ได้สิบสองบาท ยี่สิบ|money none someone|I'm sure it's right, trust me: x = 17.|My teacher said so. x is 3, isn't it?|ผมมั่นใจมาก x = 4 แน่นอน|idk|Not sure!|??|x = 3|help"
+
+
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversation turns, and messages in which something is found."""
+    more = spark.createDataFrame([(-1, i, t) for i, t in enumerate(_MESSAGES.split("|"))], "conv_id long, turn int, text string")
+    return table(spark, sf, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("int"), "text").unionByName(more)
+
+
+_MESSAGES_SQL = "m AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1, i - 1, s[i] FROM (SELECT string_split('" + _MESSAGES.replace("'", "''") + "', '|') AS s, unnest(range(1, " + str(_MESSAGES.count("|") + 2) + ")) AS i))"
+
+
+@query(f"WITH {_MESSAGES_SQL} SELECT conv_id, CAST(turn AS INTEGER) AS turn, {_FOLDED_SQL} AS folded FROM m")
+def number_words(spark: SparkSession, sf: str) -> DataFrame:
+    return _messages(spark, sf).select("conv_id", "turn", tx.fold_number_words(F.col("text")).alias("folded"))
+
+
+@query(f"WITH {_MESSAGES_SQL} SELECT conv_id, CAST(turn AS INTEGER) AS turn, list_transform(regexp_extract_all(text, '{'|'.join(rules.PRESSURE).replace(chr(39), chr(39) * 2)}', 0, 'i'), lambda x: trim(x)) AS removed FROM m")
+def pressure_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return _messages(spark, sf).select("conv_id", "turn", rules.strip_pressure(F.col("text"))["removed"].alias("removed"))
+
+
+@query(f"""WITH {_MESSAGES_SQL} SELECT conv_id, CAST(turn AS INTEGER) AS turn, regexp_replace(lower(trim(trim(text), ' ' || chr(9) || chr(10) || '.,;:!?—–-…()[]"''`')), '\\s+', ' ', 'g') NOT IN
+  ('', '?', '??', 'idk', 'i dont know', 'i don''t know', 'dunno', 'no idea', 'not sure', 'no clue', 'ไม่รู้', 'ไม่ทราบ', 'ไม่รู้ครับ', 'ไม่รู้ค่ะ', 'ไม่รู้เลย') AS attempt FROM m""")
+def attempt_content(spark: SparkSession, sf: str) -> DataFrame:
+    return _messages(spark, sf).select("conv_id", "turn", tx.has_attempt(F.col("text")).alias("attempt"))
+
+
+@query("""WITH p AS (SELECT p_partkey, lower(p_name) AS text FROM part), l AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS seq FROM (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS label FROM part)),
+s AS (SELECT p_partkey, label, seq, CASE WHEN text = label THEN 1.0 ELSE 0.9 END AS score FROM p, l WHERE text = label OR (length(label) >= 4 AND contains(text, label))),
+b AS (SELECT *, max(score) OVER (PARTITION BY p_partkey) AS top FROM s),
+k AS (SELECT * FROM b WHERE score = top AND NOT EXISTS (SELECT 1 FROM b o WHERE o.p_partkey = b.p_partkey AND o.score = o.top AND o.label <> b.label AND contains(o.label, b.label))),
+r AS (SELECT *, count(*) OVER (PARTITION BY p_partkey) AS n, row_number() OVER (PARTITION BY p_partkey ORDER BY seq) AS i FROM k)
+SELECT p_partkey, label AS topic, round(CASE WHEN n > 1 THEN score * 0.5 ELSE score END, 4)::DOUBLE AS confidence, CASE WHEN score = 1 THEN 'exact' ELSE 'mention' END AS matched_on, n > 1 AS ambiguous FROM r WHERE i = 1""")
+def topic_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of part names as topics, the names as messages."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("message_id"), F.lower("p_name").alias("text"))
+    words = p.select(F.explode(F.split("text", " ")).alias("label")).distinct()
+    # teaching order is that of the words; the vocabulary of names is small
+    labels = words.select(F.col("label").alias("topic_id"), (F.row_number().over(Window.orderBy("label")) - 1).alias("seq"), "label")
+    found = rules.resolve_topics(p, labels)
+    return found.select(F.col("message_id").alias("p_partkey"), F.col("topic_id").alias("topic"), "confidence", "matched_on", "ambiguous")
+
+
+@query("""SELECT source, CAST(sum(len(regexp_extract_all(text, '(?:\\b(?:answers?|solutions?)\\s*[:：]|(?:เฉลย|คำตอบ)\\s*[:：])', 0, 'i'))) AS BIGINT) AS labels, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS chars,
+  sum(len(regexp_extract_all(text, '(?:\\b(?:answers?|solutions?)\\s*[:：]|(?:เฉลย|คำตอบ)\\s*[:：])', 0, 'i'))) >= 3 AND sum(len(regexp_extract_all(text, '(?:\\b(?:answers?|solutions?)\\s*[:：]|(?:เฉลย|คำตอบ)\\s*[:：])', 0, 'i'))) * 800 >= sum(length(text)) + count(*) - 1 AS refused
+  FROM (SELECT CAST(doc_id AS VARCHAR) AS source, text FROM documents UNION ALL SELECT 'key', 'Answer: 3 Solutions : 4 เฉลย: 5 the answer is 6') GROUP BY source""")
+def answer_keys(spark: SparkSession, sf: str) -> DataFrame:
+    more = spark.createDataFrame([("key", "Answer: 3 Solutions : 4 เฉลย: 5 the answer is 6")], "source string, text string")
+    return retrieval.answer_density(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), "text").unionByName(more))
+
+
+@query()
+def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.seeded_sample(_judged(spark, sf).select("edge_id", "band"), "band", "edge_id", 20, [f"{a}-{b}" for a, b in BANDS], 42)
 
 
 @query()

@@ -135,9 +135,12 @@ def hashed_vector(text: Column) -> Column:
 def estimate_tokens_pieces(text: Column) -> Column:
     """Token estimate A: per piece 1 + ASCII characters / 8, and 1 per other character."""
 
+    # a character beyond ASCII takes more than one byte: the other bytes are those of one to four per character
     def of(p: Column) -> Column:
-        plain = F.length(F.regexp_replace(p, "[^\\x00-\\x7F]", ""))
-        return F.when(plain > 0, 1 + F.floor(plain / 8)).otherwise(F.lit(0)) + F.length(p) - plain
+        many = F.length(p)
+        plain = F.when(F.octet_length(p) == many, many).otherwise(F.length(F.regexp_replace(p, "[^\\x00-\\x7F]", "")))
+        # counted once per piece
+        return F.get(F.transform(F.array(F.struct(plain.alias("plain"), many.alias("many"))), lambda x: F.when(x["plain"] > 0, 1 + F.shiftright(x["plain"], 3)).otherwise(F.lit(0)) + x["many"] - x["plain"]), F.lit(0))
 
     return F.aggregate(pieces(text), F.lit(0).cast("long"), lambda a, p: a + of(p).cast("long"))
 
@@ -165,13 +168,13 @@ def count_words(text: Column) -> Column:
 
 
 #: fixed values: Thai question particles
-PARTICLES = ("ไหม", "หรือไม่", "หรือยัง", "อะไร", "ทำไม", "อย่างไร", "เท่าไร", "เท่าไหร่", "ไหน", "ใคร", "เมื่อไร")
+PARTICLES = ("ไหม", "หรือไม่", "อะไร", "ทำไม", "อย่างไร", "เท่าไร")
 
 
 def count_questions(text: Column) -> Column:
     """Question marks; without any, sentences with a Thai question particle."""
     marks = F.regexp_count(text, F.lit("[?\\uFF1F]"))
-    sentences = F.split(F.lower(text), r"[.!?\n]+")
+    sentences = F.split(F.lower(text), r"[\n.!?]+|\s{2,}")
     asked = F.size(F.filter(sentences, lambda s: s.rlike("|".join(PARTICLES))))
     return F.when(marks > 0, marks).otherwise(asked).cast("long")
 
@@ -211,7 +214,10 @@ def safe_prose(text: Column) -> Column:
 
 
 def fold_number_words(text: Column) -> Column:
+    """English number words (whole words) and Thai ones (anywhere, the longest first) as digits."""
     out = F.lower(text)
+    for word, digit in k.THAI_NUMBERS:
+        out = F.replace(out, F.lit(word), F.lit(digit))
     for word, digit in k.NUMBER_WORDS.items():
         out = F.regexp_replace(out, rf"\b{word}\b", digit)
     return out
@@ -257,8 +263,14 @@ def band(value: Column, bands: list[tuple[int, int]]) -> Column:
 
 def verdict_cell(cell: Column) -> Column:
     """agree, disagree, unfilled or unrecognised by the first word."""
-    word = F.regexp_replace(F.lower(F.get(pieces(F.trim(cell)), F.lit(0))), "[.,;:!]+$", "")
-    return F.when(F.coalesce(F.trim(cell), F.lit("")) == "", F.lit("unfilled")).when(word.isin("agree", "yes", "y", "ok"), F.lit("agree")).when(word.isin("disagree", "no", "n"), F.lit("disagree")).otherwise(F.lit("unrecognised"))
+    word = F.regexp_replace(F.lower(F.get(pieces(F.trim(cell)), F.lit(0))), "[.,;:!?\\-–—]+$", "")
+    return F.when(F.coalesce(F.trim(cell), F.lit("")) == "", F.lit("unfilled")).when(word.isin("agree", "disagree"), word).otherwise(F.lit("unrecognised"))
+
+
+def has_attempt(text: Column) -> Column:
+    """Whether a message has anything to grade."""
+    bare = F.lower(F.btrim(F.btrim(text), F.lit(k._EDGE)))
+    return ~F.regexp_replace(bare, r"\s+", " ").isin(*sorted(k.NO_ATTEMPT))
 
 
 def check_answer(attempt: Column, key: Column) -> Column:

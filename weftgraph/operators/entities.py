@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,16 +31,17 @@ def candidate_pairs(items: DataFrame, threshold: float = 0.5, focus: Column | No
     """``a_id, b_id, score`` of names at Dice similarity ``threshold`` or more, equal ones left out.
 
     A positive score needs a shared word or trigram, so pairs come from an
-    equi-join on those: names with spaces by words, others by trigrams.  Keys
-    that name only one item join to nothing.
+    equi-join on those: names with spaces by words, others by trigrams.  Two
+    names at ``threshold`` share ``threshold / (2 - threshold)`` of either's keys,
+    so each is entered under its rarest keys only, as many as leave none of
+    those pairs out; a key that very many names have is hardly ever among them.
     """
     n = items.select("id", "name", (focus if focus is not None else F.lit(True)).alias("new")).filter("name <> ''").distinct()
     n = n.withColumn("words", F.array_distinct(tx.pieces(F.col("name"), " ")))
     compact = F.regexp_replace("name", " ", "")
     at = F.sequence(F.lit(1), F.greatest(F.length(compact) - 2, F.lit(1)))
     n = n.withColumn("grams", F.array_distinct(F.transform(at, lambda i: F.substring(compact, i, F.lit(3))))).withColumn("solid", ~F.col("name").contains(" ") | F.col("name").rlike(tx.THAI))
-    by_word = n.filter("not solid").select("*", F.explode("words").alias("key"), F.lit("w").alias("kind"))
-    by_gram = n.select("*", F.explode("grams").alias("key"), F.lit("g").alias("kind"))
+    by_word, by_gram = _rare_keys(n.filter("not solid"), "words", threshold), _rare_keys(n, "grams", threshold)
     found = []
     for left, right, rule in ((by_word, by_word, "not l.solid and not r.solid"), (by_gram, by_gram, "l.solid or r.solid")):
         j = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.name") != F.col("r.name")) & (F.col("l.new") | F.col("r.new"))).filter(rule)
@@ -47,6 +50,16 @@ def candidate_pairs(items: DataFrame, threshold: float = 0.5, focus: Column | No
     return found[0].unionByName(found[1]).filter(F.col("score") >= threshold).groupBy("a_id", "b_id").agg(F.max("score").alias("score"))
 
 
+def _rare_keys(items: DataFrame, column: str, threshold: float) -> DataFrame:
+    """``items`` with ``key``: each of the rarest elements of ``column`` that two sets at Dice ``threshold`` can't all lack."""
+    each = items.select("id", "name", F.explode(column).alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "key").groupBy("id", "name").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("keys"))
+    shared = F.ceil(F.size("keys") * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
+    kept = ranked.select("id", "name", F.explode(F.slice("keys", 1, F.size("keys") - F.greatest(shared, F.lit(1)) + 1)).alias("k"))
+    return items.join(kept.select("id", "name", "k.key"), ["id", "name"])
+
+
 def capped(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The best ``most`` pairs for judgement, and the overflow."""
     ranked = pairs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "a_id", "b_id")))
@@ -111,6 +124,29 @@ def consolidate(candidates: DataFrame, group: str = "corpus") -> DataFrame:
     return candidates.groupBy(group).applyInPandas(run, schema)
 
 
+def quotes_in_texts(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, window: int = 5) -> DataFrame:
+    """Pairs ``quote_id, text_id`` where the text has the quote inside; columns ``q`` and ``t``, one space between words.
+
+    All words of a quote but the first and the last stand whole in a text that
+    has it, so pairs come from an equi-join on up to ``window`` of them in a row.
+    Quotes of one or two words have none and are looked for in each text.
+    """
+    words = lambda c: F.split(c, " ")
+    q = quotes.select(quote_id, "q", F.greatest(F.lit(0), F.least(F.lit(window), F.size(words(F.col("q"))) - 2)).alias("width"))
+    found = []
+    for width in sorted(r.width for r in q.select("width").distinct().collect()):  # window + 1 values at most
+        own = q.filter(F.col("width") == width)
+        if width == 0:
+            found.append(texts.join(own.select(quote_id, "q"), F.col("t").contains(F.col("q"))).select(quote_id, text_id))
+            continue
+        keyed = own.select(quote_id, F.xxhash64(F.slice(words(F.col("q")), 2, width)).alias("key"))
+        at = F.sequence(F.lit(1), F.size("w") - width + 1)
+        windows = texts.select(text_id, words(F.col("t")).alias("w")).filter(F.size("w") >= width).select(text_id, F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, width))))).alias("key"))
+        pairs = windows.join(keyed, "key").select(quote_id, text_id).distinct()
+        found.append(pairs.join(texts.select(text_id, "t"), text_id).join(own.select(quote_id, "q"), quote_id).filter(F.col("t").contains(F.col("q"))).select(quote_id, text_id))
+    return reduce(DataFrame.unionByName, found) if found else q.join(texts, F.lit(False)).select(quote_id, text_id)
+
+
 def foreign_aliases(registry: DataFrame) -> DataFrame:
     """Aliases that already name another active row: ``id, alias, owner``."""
     titles = registry.filter("status = 'active'").select(F.col("id").alias("owner"), tx.norm_title(F.col("title")).alias("name"))

@@ -7,7 +7,6 @@ edge_types: type, symmetric boolean, scored boolean, dag boolean
 
 from __future__ import annotations
 
-import tempfile
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -16,6 +15,8 @@ from itertools import islice
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: fixed values: the edge vocabularies (type, symmetric, scored, dag)
 EDUCATION = (("prerequisite_of", False, False, True), ("part_of", False, False, True), ("example_of", False, False, False), ("refines", False, False, False), ("supersedes", False, False, False), ("same_as", True, False, False))
 GENERAL = (("part_of", False, False, True), ("related_to", True, True, False))
@@ -148,14 +149,6 @@ def cycles(edges: DataFrame, longest: int = 4, limit: int | None = 5) -> DataFra
     return out.limit(limit) if limit else out
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised, so that plans don't grow with the rounds of a loop."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftgraph-"))
-    return df.checkpoint(eager=True)
-
-
 def cyclic_core(edges: DataFrame, local: int | None = None) -> list[tuple]:
     """Edges left when sources and sinks are peeled until nothing changes; none if acyclic.
 
@@ -163,11 +156,11 @@ def cyclic_core(edges: DataFrame, local: int | None = None) -> list[tuple]:
     there is taken whole, whatever its size.
     """
     local = LOCAL if local is None else local
-    e = _cut(edges.select("source", "target").distinct())
+    e = cut(edges.select("source", "target").distinct())
     n = e.count()
     while n > local:
         sources, targets = e.select(F.col("source").alias("target")).distinct(), e.select(F.col("target").alias("source")).distinct()
-        e = _cut(e.join(targets, "source", "left_semi").join(sources, "target", "left_semi").select("source", "target"))
+        e = cut(e.join(targets, "source", "left_semi").join(sources, "target", "left_semi").select("source", "target"))
         was, n = n, e.count()
         if n == was:
             break
@@ -325,7 +318,7 @@ def layers(nodes: DataFrame, edges: DataFrame, local: int | None = None) -> Data
     Up to ``local`` edges are layered in memory, more by relaxation until nothing changes.
     """
     local = LOCAL if local is None else local
-    e = _cut(drop_dangling(edges.select("source", "target").distinct(), nodes).select("source", "target"))
+    e = cut(drop_dangling(edges.select("source", "target").distinct(), nodes).select("source", "target"))
     level = nodes.select("id").withColumn("layer", F.lit(0))
     if e.count() <= local:
         after, left = defaultdict(list), defaultdict(int)
@@ -349,7 +342,7 @@ def layers(nodes: DataFrame, edges: DataFrame, local: int | None = None) -> Data
         raise ValueError("layers need an acyclic edge table; take out back_edges first")
     while True:
         up = e.join(level.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg((F.max("layer") + 1).alias("up"))
-        new = _cut(level.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), (F.col("up") > F.col("layer")).alias("_moved")))
+        new = cut(level.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), (F.col("up") > F.col("layer")).alias("_moved")))
         level = new.select("id", "layer")
         if new.filter("_moved").isEmpty():
             return level

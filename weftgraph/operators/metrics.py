@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def ledger(usage: DataFrame) -> DataFrame:
     """Per stage and in total (stage null): one pass by grouping sets.
@@ -85,6 +87,33 @@ def stratified(pool: DataFrame, band: str, key: str, n: int, seed: int = 42) ->
     return pool.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
+def seeded_sample(pool: DataFrame, band: str, key: str, n: int, bands: list[str], seed: int) -> DataFrame:
+    """``n`` rows per band as a seeded generator draws them from each band's rows by key, band after band.
+
+    The generator needs the bands' sizes only; which places were drawn is at most
+    ``n`` numbers a band.  Places come from a sort by ranges with the number of
+    rows in the ranges before, so no band is sorted by one task.
+    """
+    import random
+
+    spark = pool.sparkSession
+    ranged = pool.filter(F.col(band).isin(bands)).repartitionByRange(band, key).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged)
+    sizes = sorted((r[band], r["_range"], r["n"]) for r in ranged.groupBy(band, "_range").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per range and band
+    rng, drawn, begin = random.Random(seed), [], {}
+    for b in bands:
+        total = 0
+        for _, part, count in (x for x in sizes if x[0] == b):
+            begin[b, part] = total
+            total += count
+        drawn += [(b, place) for place in (rng.sample(range(total), min(n, total)) if total else [])]
+    starts = spark.createDataFrame([(b, p, x) for (b, p), x in begin.items()], f"{band} string, _range int, _begin long")
+    places = spark.createDataFrame(drawn, f"{band} string, _place long")
+    own = F.row_number().over(Window.partitionBy(band, "_range").orderBy(key)) - 1
+    placed = ranged.withColumn("_own", own).join(F.broadcast(starts), [band, "_range"]).withColumn("_place", F.col("_begin") + F.col("_own"))
+    return placed.join(F.broadcast(places), [band, "_place"], "left_semi").select(*pool.columns)
+
+
 def shortfall(pool: DataFrame, band: str, n: int) -> DataFrame:
     """How many rows each band is short of ``n``."""
     return pool.groupBy(band).agg(F.greatest(F.lit(n) - F.count(F.lit(1)), F.lit(0).cast("long")).alias("short"))

@@ -73,13 +73,22 @@ def upsert(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return existing.join(batch.select("chunk_id"), "chunk_id", "left_anti").unionByName(batch)
 
 
-def answer_density(docs: DataFrame, label: str, by: str, least: int = 3, chars: int = 800, text: str = "text") -> DataFrame:
-    """Sources refused as answer keys: ``least`` labels or more and one per ``chars`` characters."""
+#: fixed values: a labelled answer, and how often labels stand in an answer key
+ANSWER_LABEL = r"(?iu)(?:\b(?:answers?|solutions?)\s*[:：]|(?:เฉลย|คำตอบ)\s*[:：])"
+ANSWER_LABELS, CHARS_PER_LABEL = 3, 800
+#: fixed values: names of answer keys
+ANSWER_KEY_NAMES = (r"answer[-_\s]?keys?", r"canonical[-_\s]?(answer|solution)", r"marking[-_\s]?scheme")
+
+
+def answer_density(docs: DataFrame, label: str = ANSWER_LABEL, by: str = "source", least: int = ANSWER_LABELS, chars: int = CHARS_PER_LABEL, text: str = "text") -> DataFrame:
+    """Sources refused as answer keys: ``least`` labels or more and one per ``chars`` characters.
+
+    A source's parts count as joined by one character each.
+    """
     sums = docs.groupBy(by).agg(F.sum(F.regexp_count(text, F.lit(label))).alias("labels"), (F.sum(F.length(text)) + F.count(F.lit(1)) - 1).alias("chars"))
     return sums.withColumn("refused", (F.col("labels") >= least) & (F.col("labels") * chars >= F.col("chars")))
 
 
-def declares_answer_key(name: Column, text: Column) -> Column:
-    """Whether a file's name or first line says it is an answer key."""
-    said = r"(?i)\b(answer[ _-]?key|solutions?[ _-]?key|เฉลย)"
-    return name.rlike(said) | F.get(F.split(text, "\n"), F.lit(0)).rlike(said)
+def declares_answer_key(name: Column) -> Column:
+    """Whether a source's name says that it is an answer key."""
+    return name.rlike("(?iu)" + "|".join(ANSWER_KEY_NAMES))

@@ -8,6 +8,8 @@ The rule tables are small dimensions; Spark broadcasts them by size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,27 +158,74 @@ def pick_item(items: DataFrame, asked: DataFrame, solved: DataFrame) -> DataFram
     return j.withColumn("k", F.row_number().over(w)).filter("k = 1").select("session_id", "item_id")
 
 
-def resolve_topics(messages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``message_id, topic_id, confidence, matched_on, ambiguous``.
+#: fixed values: confidences of the ways in which a message names a topic
+EXACT, MENTION, FUZZY, FRAGMENT, CONTEXT_ONLY = 1.0, 0.9, 0.75, 0.6, 0.4
+#: fixed values: the least likeness of a misspelt label, and the least length of a label or message that counts inside another
+FUZZY_CUTOFF, FRAGMENT_CHARS = 0.82, 4
+
+
+def _grams(text: str, n: int) -> Column:
+    """The distinct substrings of ``n`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n))))
 
-    Tiers by label: the message is the name (1.0) or an alias (0.9), contains a
-    name (0.75) or alias (0.6); words in common fall to 0.4.  Ties halve the
-    confidence and take the first in teaching order.  labels: topic_id, seq,
-    label, kind (name/alias), both texts normalised.
+
+def _label_pairs(m: DataFrame, names: DataFrame) -> DataFrame:
+    """``text, label`` pairs that may match, by equality, shared starts or shared pairs of letters; none is left out.
+
+    A label inside a message has its first four letters there, and the reverse.
+    Texts as alike as ``FUZZY_CUTOFF`` share two letters in a row and differ in
+    length by less than half.
+    """
+    four = FRAGMENT_CHARS
+    texts, labels = m.select("text").distinct(), names.select("label").distinct()
+    same = texts.join(labels, F.col("text") == F.col("label"))
+    long_texts, long_labels = texts.filter(F.length("text") >= four), labels.filter(F.length("label") >= four)
+    inside = long_texts.select("text", F.explode(_grams("text", four)).alias("g")).join(long_labels.withColumn("g", F.substring("label", 1, four)), "g").filter(F.col("text").contains(F.col("label")))
+    part = long_labels.select("label", F.explode(_grams("label", four)).alias("g")).join(long_texts.withColumn("g", F.substring("text", 1, four)), "g").filter(F.col("label").contains(F.col("text")))
+    least, whole = F.least(F.length("text"), F.length("label")), F.length("text") + F.length("label")
+    most = labels.agg(F.max(F.length("label")).alias("most"))  # one row
+    near = texts.filter(F.length("text") > 1).join(F.broadcast(most), F.length("text") <= F.col("most") * (2 / FUZZY_CUTOFF - 1)).select("text", F.explode(_grams("text", 2)).alias("g"))
+    near = near.join(labels.filter(F.length("label") > 1).select("label", F.explode(_grams("label", 2)).alias("g")), "g").filter(2 * least >= FUZZY_CUTOFF * whole)
+    return reduce(DataFrame.unionByName, [x.select("text", "label") for x in (same, inside, part, near)]).distinct()
+
+
+def resolve_topics(messages: DataFrame, labels: DataFrame, recent: DataFrame | None = None) -> DataFrame:
+    """``message_id, topic_id, confidence, matched_on, ambiguous, resolved_by_context``.
+
+    A label scores by the first that holds: the message is the label (1.0), has
+    it inside (0.9), is as alike as 0.82 (up to 0.75), is inside it (0.6).  Of the
+    topics with the best score those go whose label is inside another's.  Several
+    left: the most recent topic of the conversation among them, else the first in
+    teaching order at half the confidence, ambiguous.  None: the most recent
+    topic at 0.4.  labels: topic_id, seq, label; messages: message_id, text; both
+    normalised; recent: message_id, pos (0 the most recent), topic_id.
     """
-    m = messages.select("message_id", F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("t"))
-    inside = F.col("t").contains(F.concat(F.lit(" "), F.col("label"), F.lit(" ")))
-    same = F.trim("t") == F.col("label")
-    part = F.size(F.array_intersect(tx.pieces(F.col("t"), " "), tx.pieces(F.col("label"), " "))) > 0
-    name = F.col("kind") == "name"
-    score = F.when(same & name, 1.0).when(same, 0.9).when(inside & name, 0.75).when(inside, 0.6).when(part, 0.4)
-    j = m.join(F.broadcast(labels), on=F.length("label") > 0).withColumn("score", score).filter("score is not null")
-    best = j.groupBy("message_id", "topic_id").agg(F.max("score").alias("score"), F.min("seq").alias("seq"))
-    w = Window.partitionBy("message_id").orderBy(F.desc("score"), "seq")
-    ties = F.count(F.lit(1)).over(Window.partitionBy("message_id", "score"))
-    top = best.withColumn("n", ties).withColumn("k", F.row_number().over(w)).filter("k = 1")
-    how = F.element_at(F.create_map(*[F.lit(x) for kv in ((1.0, "name"), (0.9, "alias"), (0.75, "name_inside"), (0.6, "alias_inside"), (0.4, "words")) for x in kv]), F.col("score"))
-    return top.select("message_id", "topic_id", F.when(F.col("n") > 1, F.round(F.col("score") * 0.5, 4)).otherwise(F.col("score")).alias("confidence"), how.alias("matched_on"), (F.col("n") > 1).alias("ambiguous"))
+    m = messages.select("message_id", "text").filter("text <> ''")
+    names = labels.select("topic_id", "seq", "label").filter("label <> ''").distinct()
+    pairs = _label_pairs(m, names)
+    ratio = F.when(F.col("text") == F.col("label"), 1.0).otherwise(tx.gestalt(F.col("text"), F.col("label")))
+    inside = (F.length("label") >= FRAGMENT_CHARS) & F.col("text").contains(F.col("label"))
+    part = (F.length("text") >= FRAGMENT_CHARS) & F.col("label").contains(F.col("text"))
+    rated = pairs.withColumn("ratio", ratio)
+    near = F.col("ratio") >= FUZZY_CUTOFF
+    tier = lambda exact, mention, fuzzy, fragment: F.when(F.col("text") == F.col("label"), exact).when(inside, mention).when(near, fuzzy).when(part, fragment)
+    rated = rated.select("text", "label", tier(F.lit(EXACT), F.lit(MENTION), F.bround(F.col("ratio") * FUZZY, 4), F.lit(FRAGMENT)).alias("score"), tier(*map(F.lit, ("exact", "mention", "fuzzy", "fragment"))).alias("how")).filter("score is not null")
+    scored = m.join(rated, "text").join(names, "label")
+    # of a topic's labels with the best score the longest is the one that was named
+    one = F.row_number().over(Window.partitionBy("message_id", "topic_id").orderBy(F.desc("score"), F.desc(F.length("label")), "label"))
+    best = scored.withColumn("k", one).filter("k = 1").withColumn("top", F.max("score").over(Window.partitionBy("message_id"))).filter("score = top")
+    others = F.collect_set("label").over(Window.partitionBy("message_id"))
+    kept = best.withColumn("others", others).filter(~F.exists("others", lambda o: (o != F.col("label")) & o.contains(F.col("label"))))
+    n = kept.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("message_id")))
+    if recent is None:
+        recent = messages.sparkSession.createDataFrame([], f"message_id {messages.schema['message_id'].dataType.simpleString()}, pos int, topic_id {labels.schema['topic_id'].dataType.simpleString()}")
+    before = recent.groupBy("message_id", "topic_id").agg(F.min("pos").alias("pos"))
+    ranked = n.join(before, ["message_id", "topic_id"], "left").withColumn("k", F.row_number().over(Window.partitionBy("message_id").orderBy(F.asc_nulls_last("pos"), "seq", "topic_id"))).filter("k = 1")
+    helped = (F.col("n") > 1) & F.col("pos").isNotNull()
+    unclear = (F.col("n") > 1) & F.col("pos").isNull()
+    named = ranked.select("message_id", "topic_id", F.when(unclear, F.bround(F.col("score") * 0.5, 4)).otherwise(F.col("score")).alias("confidence"), F.col("how").alias("matched_on"), unclear.alias("ambiguous"), helped.alias("resolved_by_context"))
+    carried = before.join(names.select("topic_id").distinct(), "topic_id", "left_semi").groupBy("message_id").agg(F.min_by("topic_id", "pos").alias("topic_id")).join(messages.select("message_id"), "message_id", "left_semi").join(named, "message_id", "left_anti")
+    return named.unionByName(carried.select("message_id", "topic_id", F.lit(CONTEXT_ONLY).alias("confidence"), F.lit("conversation_context").alias("matched_on"), F.lit(False).alias("ambiguous"), F.lit(True).alias("resolved_by_context")))
 
 
 def level_for(turns: DataFrame, levels: DataFrame, default: str = "beginner") -> DataFrame:
@@ -215,13 +264,42 @@ def reconcile(model: Column, checker: Column) -> Column:
 
 
 #: fixed values: phrases that press for a verdict
-PRESSURE = (r"i('m| am) (pretty |quite |very )?sure", r"just (say|tell me) (it is|it's) (right|correct)", r"everyone (says|agrees)", r"my teacher said( so)?", r"please agree", r"trust me", r"you have to (agree|accept)")
+PRESSURE = (
+    r"i['’]?\s*m\s+(?:absolutely\s+|totally\s+|pretty\s+|quite\s+|very\s+)?(?:sure|certain|positive|confident)",
+    r"i\s+am\s+(?:absolutely\s+|totally\s+|pretty\s+|quite\s+|very\s+)?(?:sure|certain|positive|confident)",
+    r"(?:my|the)\s+(?:notes?|textbook|book|teacher|tutor|professor|friend)\s+(?:says?|said|told\s+me)(?:\s+so)?",
+    r"(?:it|that|this)['’]?s\s+(?:definitely\s+|obviously\s+|certainly\s+)?(?:right|correct)",
+    r"(?:it|that|this)\s+is\s+(?:definitely\s+|obviously\s+|certainly\s+)?(?:right|correct)",
+    r"i\s+(?:know|got)\s+(?:it|this)\s+(?:is\s+)?right",
+    r"trust\s+me",
+    r"believe\s+me",
+    r"for\s+sure",
+    r"100\s*%\s*(?:sure|certain)?",
+    r"\bdefinitely\b",
+    r"\bobviously\b",
+    r"\bsurely\b",
+    r"just\s+(?:confirm|agree|say\s+yes)",
+    r"right\s*\?",
+    r"isn['’]?t\s+it\s*\??",
+    r"(?:ผม|หนู|ฉัน|เรา)?มั่นใจ(?:ว่า|มาก|เลย)?",
+    r"(?:ครู|อาจารย์|ติวเตอร์)บอกว่า",
+    r"ใน(?:สมุด|หนังสือ)เขียนว่า",
+    r"แน่นอน(?:อยู่แล้ว)?",
+    r"ถูกแน่ ?ๆ",
+    r"ต้องถูก(?:แน่ ?ๆ)?",
+    r"เชื่อ(?:ผม|หนู|ฉัน)เถอะ",
+)
+#: A mark whose only neighbour is another mark or the end.
+_STRANDED = r"\s*[.,;:!?—–-]\s*(?=[.,;:!?—–-]|$)"
 
 
 def strip_pressure(text: Column) -> Column:
-    """The text without phrases that press for a verdict, and those phrases."""
-    pattern = "(?i)(" + "|".join(PRESSURE) + ")"
-    return F.struct(tx.squeeze(F.regexp_replace(text, pattern, " ")).alias("text"), F.regexp_extract_all(F.lower(text), F.lit(pattern.removeprefix("(?i)")), F.lit(0)).alias("removed"))
+    """The text without phrases that press for a verdict, and those phrases in their order."""
+    pattern = "(?iu)" + "|".join(PRESSURE)
+    removed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.trim)
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, pattern, " "), r"\s+", " "), _STRANDED, "")
+    clean = F.regexp_replace(clean, r"^[ \t\n.,;:!?—–-]+|[ \t\n.,;:!?—–-]+$", "")
+    return F.struct(F.when(F.size(removed) > 0, clean).otherwise(F.trim(text)).alias("text"), removed.alias("removed"))
 
 
 def plan_problems(plans: DataFrame, kinds: dict[str, str]) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,6 +28,31 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, memory: s
     return builder.getOrCreate()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session's ``spark.checkpoint.dir`` names, set as its checkpoint folder.
+
+    Where the setting is absent a local master gets a temporary folder; on a
+    cluster, whose executors would not see it, that is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
+        return named
+    if context.getCheckpointDir() is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the shared folder, its lineage forgotten."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's sources to the executors, once per application.
 

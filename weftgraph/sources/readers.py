@@ -16,11 +16,13 @@ from ..operators import segment
 
 #: fixed values: input kinds by extension
 KINDS = {
-    "md": "markdown", "markdown": "markdown", "txt": "text", "pdf": "pdf", "pptx": "slides", "docx": "document",
-    "xlsx": "sheet", "html": "web", "htm": "web", "png": "image", "jpg": "image", "jpeg": "image",
+    "txt": "text", "md": "markdown", "markdown": "markdown", "pdf": "pdf", "pptx": "pptx", "docx": "docx",
+    "xlsx": "xlsx", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "webp": "image",
 }
 TEXT_CAP = 20 << 20
 UPLOAD_CAP = 50 << 20
+#: fixed value: pages of a PDF file at most
+PAGE_CAP = 500
 
 
 def kind_of(name: Column) -> Column:
@@ -84,12 +86,17 @@ def convert(items: DataFrame, extract: dict[str, Callable[[bytes], list[str]]])
 
 
 def pdf_pages(content: bytes) -> list[str]:
-    """One unit a page (needs pypdf; pages without text stay as empty units)."""
+    """One unit a page (needs pypdf; pages without text stay as empty units); over ``PAGE_CAP`` pages the file fails."""
     import io
 
     from pypdf import PdfReader  # optional
 
-    return [(p.extract_text() or "") for p in PdfReader(io.BytesIO(content)).pages[:500]]
+    pages = PdfReader(io.BytesIO(content)).pages
+    if len(pages) > PAGE_CAP:
+        raise ValueError(f"{len(pages)} pages, over the limit of {PAGE_CAP}")
+    if not pages:
+        raise ValueError("no pages")
+    return [(p.extract_text() or "") for p in pages]
 
 
 def office_parts(content: bytes, inside: str, tag: str = "t") -> list[str]:
@@ -275,16 +282,78 @@ def map_file(path: str) -> tuple[list[dict], list[dict]]:
     return data.get("nodes") or [], [{"source": e.get("from"), "target": e.get("to"), "type": e.get("relation")} for e in data.get("edges") or []]
 
 
+def map_report(path: str) -> tuple[list[dict], list[dict], list[tuple[str, str, str]]]:
+    """Well-formed nodes and edges of a course map file, and ``code, severity, location`` of what is not.
+
+    KL000 unreadable file, KL001 missing field or no list, KL002 malformed node,
+    KL004 malformed edge.  Nothing is raised; ``gates.validate_map`` finds the rest.
+    """
+    found: list[tuple[str, str, str]] = []
+    try:
+        with open(path, encoding="utf-8") as f:
+            data = yaml.safe_load(f)
+    except (OSError, UnicodeDecodeError, yaml.YAMLError):
+        return [], [], [("KL000", "error", "")]
+    data = {} if data is None else data
+    if not isinstance(data, dict):
+        return [], [], [("KL000", "error", "")]
+    told = lambda x: isinstance(x, str) and bool(x.strip())
+    found += [("KL001", "error", key) for key in ("course_id", "course_name") if not told(data.get(key))]
+    lists = {}
+    for key in ("nodes", "edges"):
+        lists[key] = data.get(key) or []
+        if not isinstance(lists[key], list):
+            found.append(("KL001", "error", key))
+            lists[key] = []
+    nodes, edges = [], []
+    for i, x in enumerate(lists["nodes"]):
+        if isinstance(x, dict) and told(x.get("id")) and isinstance(x.get("name"), str):
+            nodes.append(x)
+        else:
+            found.append(("KL002", "error", f"nodes[{i}]"))
+    for i, x in enumerate(lists["edges"]):
+        if isinstance(x, dict) and isinstance(x.get("from"), str) and isinstance(x.get("to"), str):
+            edges.append({"source": x["from"], "target": x["to"], "type": x.get("relation")})
+        else:
+            found.append(("KL004", "error", f"edges[{i}]"))
+    return nodes, edges, found
+
+
+#: fixed value: normalised characters of an alias at least
+ALIAS_CHARS = 3
+_GLOSS, _JOINED, _OF = r"\(([^()]*)\)", r"(?i)\s+(?:and|vs\.?)\s+|\s*/\s*|\s*&\s*", r"(?i)\s+of\s+"
+
+
+def derived_aliases(name: str) -> list[str]:
+    """What else a label may be called: its glosses, itself without them, the parts of a list and what stands
+    before "of"; parts of a label with "of" only where they have two words or more."""
+    seen, out = {k.plain_text(name)}, []
+
+    def add(part: str, words: int = 1) -> None:
+        part = part.strip(" ,;:-")
+        key = k.plain_text(part)
+        if len(key) >= ALIAS_CHARS and key not in seen and len(key.split(" ")) >= words:
+            seen.add(key)
+            out.append(part)
+
+    for phrase in [*re.findall(_GLOSS, name), re.sub(_GLOSS, " ", name)]:
+        add(phrase)
+        head, *rest = re.split(_OF, phrase, maxsplit=1)
+        least = 2 if rest else 1
+        for part in re.split(_JOINED, phrase):
+            add(part, least)
+        if rest:
+            for part in (head, *re.split(_JOINED, head)):
+                add(part, 2)
+    return out
+
+
 def topic_labels(topics: list[dict]) -> list[tuple[str, int, str, str]]:
-    """``topic_id, seq, label, kind`` with derived aliases: glosses in brackets and parts around "and"."""
+    """``topic_id, seq, label, kind``: names, ids, given and derived aliases, normalised."""
     out = []
     for seq, t in enumerate(topics):
         names = {k.plain_text(t["name"]): "name"}
-        bare = re.sub(r"\([^)]*\)", " ", t["name"])
-        more = [bare, *re.findall(r"\(([^)]*)\)", t["name"]), *(t.get("aliases") or [])]
-        if " and " in bare:
-            more += [p for p in bare.split(" and ") if len(p.split()) > 1]
-        for a in more:
+        for a in [*(t.get("aliases") or []), *filter(None, [t.get("name_th")]), *derived_aliases(t["name"]), t["id"]]:
             names.setdefault(k.plain_text(a), "alias")
         out += [(t["id"], seq, label, kind) for label, kind in names.items() if label]
     return out
