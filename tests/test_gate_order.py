@@ -1,0 +1,54 @@
+"""The ordered gates against a plain pass in input order."""
+
+import random
+from collections import defaultdict
+
+import pytest
+
+from weftgraph.operators import gates, graph
+
+EDGE = "g string, source string, target string, type string, relevance int, seq int"
+
+
+def plain(rows, kinds, ids):
+    after, seen, out = defaultdict(set), set(), {}
+    for g, a, b, t, _, seq in sorted(rows, key=lambda r: r[5]):
+        scored, sym, dag = kinds.get(t, (None, None, None))
+        if scored is None:
+            out[seq] = "out_of_schema"
+            continue
+        if a == b or a not in ids or b not in ids:
+            out[seq] = "self_edge" if a == b else "dangling"
+            continue
+        k = (g, t, *sorted((a, b))) if sym else (g, t, a, b)
+        stack, met = [b], {b}
+        while stack:
+            for x in after[g, t, stack.pop()] - met:
+                met.add(x)
+                stack.append(x)
+        if k in seen:
+            out[seq] = "duplicate_edge"
+        elif dag and a in met:
+            out[seq] = "dag"
+        else:
+            seen.add(k)
+            after[g, t, a].add(b)
+            out[seq] = None
+    return out
+
+
+@pytest.mark.parametrize("local", [0, 1000])
+def test_gates_in_order(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
+    rnd = random.Random(local)
+    kinds = {"before": (False, False, True), "like": (False, True, False), "both": (False, True, True)}
+    rows = [(rnd.choice("xy"), f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}", rnd.choice([*kinds, "before", "before", "odd"]), None, k) for k in range(150)]
+    ids = {f"n{k}" for k in range(8)}
+    types = spark.createDataFrame([(t, *x) for t, x in kinds.items()], "type string, scored boolean, symmetric boolean, dag boolean")
+    nodes = spark.createDataFrame([(x,) for x in ids], "id string")
+    df = spark.createDataFrame(rows, EDGE).repartition(4)
+    got = {r.seq: r.gate for r in gates.gate_edges(df, nodes, types, "g").collect()}
+    assert got == plain(rows, kinds, ids)
+    one = [("x", *r[1:]) for r in rows]
+    got = {r.seq: r.gate for r in gates.gate_edges(spark.createDataFrame(one, EDGE), nodes, types).collect()}
+    assert got == plain(one, kinds, ids)

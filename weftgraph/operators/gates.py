@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def stateless_gates(edges: DataFrame, nodes: DataFrame, types: DataFrame) -> DataFrame:
     """``gate``: the first that an edge fails (null: none), whatever the others are."""
@@ -36,34 +38,50 @@ def with_duplicates(gated: DataFrame) -> DataFrame:
 
 
 def gate_edges(edges: DataFrame, nodes: DataFrame, types: DataFrame, group: str | None = None) -> DataFrame:
-    """All gates in order; an edge that would close a cycle fails ``dag``.
+    """All gates in order; an edge that would close a cycle with edges accepted before it fails ``dag``.
 
-    Acceptance depends on the edges accepted before, so each graph (``group``)
-    is taken in input order by one task.
+    Only an edge on a cycle of all proposed edges can close one, so those alone
+    are taken in input order, each graph (``group``) and relation by itself; the
+    other edges are judged by joins.  A repeat of an accepted edge fails
+    ``duplicate_edge``, one of a refused edge ``dag`` as well.
     """
+    from .graph import core_edges
+
     gated = stateless_gates(edges, nodes, types)
-    key = group or "_all"
-    frame = gated if group else gated.withColumn("_all", F.lit(0))
-    schema = frame.schema
+    by = [group] if group else []
+    low = F.when(F.col("symmetric"), F.least("source", "target")).otherwise(F.col("source"))
+    high = F.when(F.col("symmetric"), F.greatest("source", "target")).otherwise(F.col("target"))
+    ranked = cut(gated.withColumns({"_a": low, "_b": high}).withColumn("_k", F.row_number().over(Window.partitionBy(*by, "type", "_a", "_b", F.col("gate").isNull()).orderBy("seq"))))
+    # a symmetric relation without cycles would look at both directions of a repeat: all its edges are taken in order
+    open_edges = ranked.filter("gate is null and dag and (_k = 1 or symmetric)")
+    name = lambda c: F.to_json(F.struct(*by, "type", F.col(c).alias("_n")))
+    core = core_edges(open_edges.select(name("source").alias("source"), name("target").alias("target"))).select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
+    suspects = open_edges.join(core, (name("source") == F.col("_s")) & (name("target") == F.col("_t")), "left_semi").select(*by, "type", "source", "target", "symmetric", "seq")
+    kind = gated.schema["seq"].dataType.simpleString()
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        after, seen = defaultdict(set), set()
-        df = df.sort_values("seq")
-        out = []
-        for t, a, b, sym, dag, gate in zip(df["type"], df["source"], df["target"], df["symmetric"], df["dag"], df["gate"]):
-            if gate is None:
-                k = (t, *sorted((a, b))) if sym else (t, a, b)
-                if k in seen:
-                    gate = "duplicate_edge"
-                elif dag and _reaches(after, t, b, a):
-                    gate = "dag"
-                else:
-                    seen.add(k)
-                    after[t, a].add(b)
-            out.append(gate)
-        return df.assign(gate=out)
-
-    return frame.groupBy(key).applyInPandas(run, schema).drop("_all")
+        after, seen, refused = defaultdict(set), set(), []
+        for t, a, b, sym, seq in df.sort_values("seq")[["type", "source", "target", "symmetric", "seq"]].itertuples(index=False):
+            k = (t, *sorted((a, b))) if sym else (t, a, b)
+            if k in seen:
+                continue
+            if _reaches(after, t, b, a):
+                refused.append(seq)
+            else:
+                seen.add(k)
+                after[t, a].add(b)
+        return pd.DataFrame({"_refused": refused})
+
+    refused = cut(suspects.groupBy(*by, "type").applyInPandas(run, f"_refused {kind}").distinct())
+    judged = ranked.join(refused, F.col("seq") == F.col("_refused"), "left").withColumn("_dag", F.col("_refused").isNotNull())
+    # the verdict of the first of equal edges holds for its repeats
+    first = F.max(F.when(F.col("_k") == 1, F.col("_dag"))).over(Window.partitionBy(*by, "type", "_a", "_b", F.col("gate").isNull()))
+    odd = F.col("symmetric") & F.col("dag")
+    kept_before = F.min(F.when(~F.col("_dag"), F.col("seq"))).over(Window.partitionBy(*by, "type", "_a", "_b", F.col("gate").isNull()))
+    plain = F.when(first, F.lit("dag")).when(F.col("_k") > 1, F.lit("duplicate_edge"))
+    ordered = F.when(F.col("_dag"), F.lit("dag")).when(F.col("seq") > kept_before, F.lit("duplicate_edge"))
+    gate = F.when(F.col("gate").isNotNull(), F.col("gate")).when(F.coalesce(odd, F.lit(False)), ordered).otherwise(plain)
+    return judged.withColumn("_gate", gate).drop("gate").withColumnRenamed("_gate", "gate").select(*gated.columns)
 
 
 def _reaches(after: dict, kind: str, start, goal) -> bool:

@@ -149,11 +149,11 @@ def cycles(edges: DataFrame, longest: int = 4, limit: int | None = 5) -> DataFra
     return out.limit(limit) if limit else out
 
 
-def cyclic_core(edges: DataFrame, local: int | None = None) -> list[tuple]:
-    """Edges left when sources and sinks are peeled until nothing changes; none if acyclic.
+def core_edges(edges: DataFrame, local: int | None = None) -> DataFrame:
+    """Edges ``source, target`` left when sources and sinks are peeled until nothing changes; none if acyclic.
 
-    Above ``local`` edges a round is a join; what stays when nothing changes
-    there is taken whole, whatever its size.
+    Above ``local`` edges a round is a join; below, the rest is peeled on the
+    driver.  What stays when a join changes nothing is never collected.
     """
     local = LOCAL if local is None else local
     e = cut(edges.select("source", "target").distinct())
@@ -163,9 +163,9 @@ def cyclic_core(edges: DataFrame, local: int | None = None) -> list[tuple]:
         e = cut(e.join(targets, "source", "left_semi").join(sources, "target", "left_semi").select("source", "target"))
         was, n = n, e.count()
         if n == was:
-            break
+            return e
     after, before = defaultdict(set), defaultdict(set)
-    for a, b in e.collect():
+    for a, b in e.collect():  # local edges at most
         after[a].add(b)
         before[b].add(a)
     for go, back in ((after, before), (before, after)):
@@ -176,7 +176,12 @@ def cyclic_core(edges: DataFrame, local: int | None = None) -> list[tuple]:
                 go[y].discard(x)
                 if not go[y]:
                     ends.append(y)
-    return [(a, b) for a, bs in after.items() for b in bs]
+    return edges.sparkSession.createDataFrame([(a, b) for a, bs in after.items() for b in bs], e.schema)
+
+
+def cyclic_core(edges: DataFrame, local: int | None = None) -> list[tuple]:
+    """``core_edges`` as a list: what has cycles and lies between them goes to the driver whole."""
+    return [tuple(r) for r in core_edges(edges, local).collect()]
 
 
 def _strong(after: dict, nodes: Iterable) -> list[set]:
