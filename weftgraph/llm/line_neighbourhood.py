@@ -68,7 +68,7 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     there = F.col("line").isNotNull()
     sized = each.withColumns({"h1": F.when(there, F.xxhash64("line")), "h2": F.when(there, F.xxhash64(F.lit(1), "line")), "n": words})
-    return kept(sized.select("doc_id", "text_key", "line_no", _spot().alias("spot"), _place().alias("place"), "h1", "h2", "n", *[F.when(there, k).alias(f"k{i}") for i, k in enumerate(_halves())]), "lines")
+    return kept(sized.select("doc_id", "text_key", "line_no", _place().alias("place"), "h1", "h2", "n", *[F.when(there, k).alias(f"k{i}") for i, k in enumerate(_halves())]), "lines")
 
 
 def _place() -> Column:
@@ -163,7 +163,7 @@ def judge(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id
     """
     every = _occurrences(docs, id_col, text_col)
     mins = [F.min(c).alias(c) for c in ("place", "n", "k0", "k1", "k2", "k3")]
-    lines = cut(every.filter("h1 is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min_by("spot", "place").alias("spot"), *mins))
+    lines = kept(every.filter("h1 is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min_by(_spot(), "place").alias("spot"), *mins), "distinct-lines")
     near = cut(near_lines(_rows(docs, id_col, text_col), lines, least_words)).withColumn("near", F.lit(True))
     marked = lines.select("h1", "h2", F.col("place").alias("first"), "times").join(near, ["h1", "h2"], "left")
     here = every.select("doc_id", "text_key", "line_no", "h1", "h2", "place")

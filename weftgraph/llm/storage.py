@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_DIR = "spark.checkpoint.dir"
+from ..session import checkpoint_dir, cut
+
+__all__ = ["cut", "kept", "new_folder", "remove", "shared_dir"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (unit tests, a laptop) a local temporary
-    folder is taken and registered, so ``checkpoint()`` works there as well.
-    """
-    named = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    """The folder the cluster names in ``spark.checkpoint.dir`` (a temporary one for a local master without it)."""
+    return checkpoint_dir(spark)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -33,12 +21,6 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def kept(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to a new folder of the shared one and read back, so that later reads take only their columns."""
     path = new_folder(df.sparkSession, label)
