@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import quality_fm, simhash_pivots, source_mix, template_decontam, token_files
-from weftgraph.llm.storage import new_folder
+from weftgraph.llm.storage import new_folder, remove
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder."""
+    """All stages over ``documents``, each written to the shared folder; a stage's rows go when the next one's are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (_, stage) in enumerate(STAGES):
         path = new_folder(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
