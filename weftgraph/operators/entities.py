@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions import text as tx
+from ..session import cut
+from .components import connected_components, join_spread
 
 
 def names(nodes: DataFrame, key=tx.norm_title) -> DataFrame:
@@ -84,9 +86,19 @@ def consolidate(candidates: DataFrame, group: str = "corpus") -> DataFrame:
 
     Merging is in input order: the first definition wins, aliases, sources and
     flags are united in order.  A candidate that meets two earlier ones joins
-    them.  Input: group, pos, title, definition, aliases, sources.
+    them.  Candidates that no chain of such meetings connects never touch, so
+    each connected set is merged by itself; only its members meet in one task.
+    Input: group, pos (unique in its group), title, definition, aliases, sources.
     """
-    schema = f"{group} {candidates.schema[group].dataType.simpleString()}, seq int, title string, definition string, aliases array<string>, sources array<string>, n_merged int"
+    named = cut(candidates.withColumn("_node", F.to_json(F.struct(group, "pos"))))
+    every = named.select(group, "_node", F.explode(F.concat(F.array(F.struct(F.col("title").alias("name"), F.lit(True).alias("is_title"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: F.struct(x.alias("name"), F.lit(False).alias("is_title"))))).alias("n"))
+    keyed = every.select(group, "_node", tx.norm_title(F.col("n.name")).alias("_name"), "n.is_title")
+    # who has a name is linked to the first that has it as a title
+    owner = keyed.filter("is_title").groupBy(group, "_name").agg(F.min("_node").alias("b"))
+    links = join_spread(keyed.select(group, "_name", F.col("_node").alias("a")), owner, [group, "_name"]).select("a", "b")
+    roots = connected_components(links)
+    whole = named.join(roots, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node"))
+    schema = f"{group} {candidates.schema[group].dataType.simpleString()}, _pos {candidates.schema['pos'].dataType.simpleString()}, title string, definition string, aliases array<string>, sources array<string>, n_merged int"
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         drafts: list[dict | None] = []
@@ -100,7 +112,7 @@ def consolidate(candidates: DataFrame, group: str = "corpus") -> DataFrame:
             a["definition"] = a["definition"] or b["definition"]
 
         for row in df.sort_values("pos").to_dict("records"):
-            new = {"title": row["title"], "definition": row["definition"], "aliases": list(row["aliases"] if row["aliases"] is not None else []), "sources": list(row["sources"] if row["sources"] is not None else []), "n_merged": 1}
+            new = {"pos": row["pos"], "title": row["title"], "definition": row["definition"], "aliases": list(row["aliases"] if row["aliases"] is not None else []), "sources": list(row["sources"] if row["sources"] is not None else []), "n_merged": 1}
             key = k.title_key(new["title"])
             met = {titles.get(key), aliases.get(key), *(titles.get(k.title_key(a)) for a in new["aliases"])} - {None}
             at = sorted(met)
@@ -119,9 +131,12 @@ def consolidate(candidates: DataFrame, group: str = "corpus") -> DataFrame:
             for a in d["aliases"]:
                 aliases.setdefault(k.title_key(a), at[0])
         out = [d for d in drafts if d]
-        return pd.DataFrame({group: df[group].iloc[0], "seq": range(1, len(out) + 1), **{c: [d[c] for d in out] for c in ("title", "definition", "aliases", "sources", "n_merged")}})
+        return pd.DataFrame({group: df[group].iloc[0], "_pos": [d["pos"] for d in out], **{c: [d[c] for d in out] for c in ("title", "definition", "aliases", "sources", "n_merged")}})
 
-    return candidates.groupBy(group).applyInPandas(run, schema)
+    merged = cut(whole.select(*candidates.columns, "_root").groupBy(group, "_root").applyInPandas(run, schema))
+    # numbers in input order: a window over places alone
+    seq = merged.select(group, "_pos").withColumn("seq", F.row_number().over(Window.partitionBy(group).orderBy("_pos")))
+    return merged.join(seq, [group, "_pos"]).select(group, "seq", "title", "definition", "aliases", "sources", "n_merged")
 
 
 def quotes_in_texts(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, window: int = 5) -> DataFrame:
