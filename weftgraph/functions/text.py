@@ -203,6 +203,13 @@ def weave(text: Column, targets: dict[str, str]) -> Column:
     return _text_udf(lambda s: k.weave(s, targets), "string")(text)
 
 
+def collection_slug(course: Column) -> Column:
+    """A collection's name: course- and up to 63 letters, digits and .-_ in all, alphanumeric at the end."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(course)), "[^a-z0-9._-]+", "-"), "^[-._]+|[-._]+$", "")
+    name = F.concat(F.lit("course-"), F.when(bare == "", F.lit("default")).otherwise(bare))
+    return F.regexp_replace(F.substring(name, 1, 63), "[-._]+$", "")
+
+
 def redact(text: Column, secrets: Column) -> Column:
     return _pair_udf(lambda t, s: None if t is None else k.redact(t, list(s) if s is not None else []), "string")(text, secrets)
 

@@ -228,6 +228,21 @@ def resolve_topics(messages: DataFrame, labels: DataFrame, recent: DataFrame | N
     return named.unionByName(carried.select("message_id", "topic_id", F.lit(CONTEXT_ONLY).alias("confidence"), F.lit("conversation_context").alias("matched_on"), F.lit(False).alias("ambiguous"), F.lit(True).alias("resolved_by_context")))
 
 
+def topic_by_key(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, topic_id``: the topic whose id is the key, else the first in teaching order with such a label; texts normalised."""
+    named = keys.select("key").distinct()
+    by_id = named.join(labels.select(F.col("topic_id").alias("_id"), "topic_id", "seq", tx.plain_text(F.col("topic_id")).alias("label")).distinct(), F.col("key") == F.col("label")).select("key", "topic_id", "seq", F.lit(0).alias("tier"))
+    by_label = named.join(labels, F.col("key") == F.col("label")).select("key", "topic_id", "seq", F.lit(1).alias("tier"))
+    return by_id.unionByName(by_label).groupBy("key").agg(F.min_by("topic_id", F.struct("tier", "seq", "topic_id")).alias("topic_id"))
+
+
+def onboarding(answers: DataFrame, labels: DataFrame, levels: tuple[str, ...] = ("beginner", "intermediate", "advanced")) -> DataFrame:
+    """``student_id, topic_id, level`` from answers ``student_id, key, level, seq``: the last one about a topic holds;
+    unknown topics and levels are left out."""
+    known = answers.filter(F.col("level").isin(*levels)).join(topic_by_key(answers, labels), "key")
+    return known.groupBy("student_id", "topic_id").agg(F.max_by("level", "seq").alias("level"))
+
+
 def level_for(turns: DataFrame, levels: DataFrame, default: str = "beginner") -> DataFrame:
     """The declared level of a turn's topic, or the default and its source."""
     j = turns.join(levels.select("student_id", "topic", "level"), ["student_id", "topic"], "left")
