@@ -57,14 +57,14 @@ def graph_degree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.degree(part_of(spark, sf, customers=True))
 
 
-@query(f"""WITH {_PART_OF}), p AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
+@query(f"""WITH {_PART_OF} UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), p AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
 b AS (SELECT 'r' || r_regionkey AS start, target AS node, 1 AS distance FROM region JOIN p ON p.source = 'r' || r_regionkey),
 c AS (SELECT DISTINCT b.start, p.target AS node, 2 AS distance FROM b JOIN p ON p.source = b.node WHERE p.target <> b.start
       AND NOT EXISTS (SELECT 1 FROM b x WHERE x.start = b.start AND x.node = p.target))
 SELECT a.*, d.degree FROM (SELECT * FROM b UNION ALL SELECT * FROM c) a
 JOIN (SELECT source, count(*) AS degree FROM p GROUP BY source) d ON d.source = a.node""")
 def bfs_two_hop(spark: SparkSession, sf: str) -> DataFrame:
-    edges = part_of(spark, sf)
+    edges = part_of(spark, sf, customers=True)
     starts = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start"))
     types = graph.edge_types(spark)
     reached = graph.bfs(starts, graph.neighbours(edges, types), ["part_of"], 2)

@@ -50,15 +50,22 @@ def _topk(queries: DataFrame, chunks: DataFrame, k: int, over: int, vector: floa
     return blended.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("near")
 
 
+#: Rows of a table that is broadcast once it has been counted.
+BROADCAST_ROWS = 500_000
+
+
 def overlap_topk(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
     """The ``k`` documents with the largest share of each query's distinct features ``fs``; ties by id.
 
-    Shared features come from a join on the feature, counted before anything is
+    Queries of up to ``BROADCAST_ROWS`` features in all are broadcast after they are
+    counted, so that documents' features meet them where they are; more are joined
+    by shuffling both.  Shared features come from a join on the feature, counted before anything is
     shuffled by pair.  Among the ``2 * k`` least ids there are ``k`` that share
     nothing whenever fewer than ``k`` documents share something, so these
     stand in for all documents with score 0.
     """
     words = queries.select(query_id, F.size("fs").alias("_n"), F.explode("fs").alias("_f"))
+    words = F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
     shared = docs.select(doc_id, F.explode("fs").alias("_f")).join(words, "_f").groupBy(query_id, doc_id).agg((F.count(F.lit(1)) / F.max("_n")).alias("score"))
     none = queries.select(query_id).join(F.broadcast(docs.select(doc_id).orderBy(doc_id).limit(2 * k))).withColumn("score", F.lit(0.0))
     best = shared.unionByName(none).groupBy(query_id, doc_id).agg(F.max("score").alias("score"))
