@@ -13,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.llm import components, context_tree, cover_dedup, exchange, line_neighbourhood, line_rules, quality_fm, simhash_pivots, source_mix, template_decontam, token_files, toxic_segments, words
+from weftgraph.llm import context_tree, cover_dedup, exchange, line_neighbourhood, line_rules, quality_fm, simhash_pivots, source_mix, template_decontam, token_files, toxic_segments, words
+from weftgraph.operators import components
 
 from . import edge
 

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import join_hubs
+from ..operators.components import join_hubs
 from .storage import cut, kept
 
 SPACE = r"[\x20\x09-\x0D]+"

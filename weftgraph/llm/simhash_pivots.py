@@ -41,8 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .components import connected_components, join_hubs, join_spread
-from .storage import cut
+from ..operators.components import connected_components, join_hubs, join_spread
+from .storage import cut, new_folder
 
 RADIUS = 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -171,17 +171,17 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     """Edges ``a, b`` that connect what pairs of distinct ``fp`` within ``radius`` connect."""
     spark = fps.sparkSession
     keyed = _first_keys(cut(pivot_table(fps)), radius)
-    found = None
+    path = new_folder(spark, "links")
     while True:
         members = cut(_buckets(keyed))
         last = F.bit_count(F.col("mask")) >= 64 - radius
         small = members.filter((F.col("n") <= bucket) & ~last)
         pairs = _proposed(small).filter(_largest_difference() <= radius).filter(_apart(F.col("l.fp"), F.col("r.fp")) <= radius)
         new = pairs.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).unionByName(members.filter(last & (F.col("fp") != F.col("low"))).select(F.col("fp").alias("a"), F.col("low").alias("b")))
-        found = new if found is None else found.unionByName(new)
+        new.distinct().write.mode("append").parquet(path)
         crowded = members.filter((F.col("n") > bucket) & ~last)
         if crowded.isEmpty():
-            return found.distinct()
+            return spark.read.parquet(path).distinct()
         # at most 20 * 4**level masks, whatever the input
         used = sorted(r.mask for r in crowded.select("mask").distinct().collect())
         table = spark.createDataFrame([(m, [_signed(f) for f in finer_masks(m % (1 << 64), radius)]) for m in used], "mask long, finer array<long>")
