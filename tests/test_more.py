@@ -31,7 +31,7 @@ def test_entity_helpers(spark):
 def test_rule_helpers(spark):
     one = spark.range(1)
     r = one.select(rules.coverage(F.array(F.lit("1")), F.lit("x")), rules.coverage(F.array().cast("array<string>"), F.lit("x")), rules.reconcile(F.lit("correct"), F.lit("incorrect")), rules.strip_pressure(F.lit("Trust me, x = 3"))).first()
-    assert len(r[0]) == 4 and len(r[1]) == 2 and r[2].overruled and r[2].decided_by == "checker" and r[3].text == ", x = 3" and r[3].removed == ["trust me"]
+    assert len(r[0]) == 4 and len(r[1]) == 2 and r[2].overruled and r[2].decided_by == "checker" and r[3].text == "x = 3" and r[3].removed == ["Trust me"]
     plans = spark.createDataFrame([(1, ["ask", "solve"], False, 10), (2, ["ask", "ask"], True, 10), (3, ["text"], True, 10)], "turn_id int, blocks array<string>, solution boolean, max_words int")
     assert {(x.turn_id, x.problem) for x in rules.plan_problems(plans, KINDS).collect()} == {(1, "solution withheld but planned"), (2, "more than one question")}
     assert [x[0] for x in plans.orderBy("turn_id").select(rules.may_state_solution(F.col("blocks"), KINDS, F.col("solution"))).collect()] == [False, False, False]
