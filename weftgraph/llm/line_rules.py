@@ -17,7 +17,9 @@ and at most 30 % of the words in 8-word windows that occur twice in the text.
 
 A document is one row throughout: lines, words and windows are arrays, so
 nothing is shuffled and a text never leaves its row.  A null text has no words
-(and fails); repeated rows are judged alike; an empty table gives no rows.
+(and fails); repeated rows are judged alike; an empty table gives no rows; extra
+columns are ignored; a share at its limit passes.  A very long text is one row's
+arrays in one task.
 """
 
 from __future__ import annotations

@@ -18,8 +18,10 @@ shuffled.
 Nulls: a null text is an empty one, a null ``n_chars`` is 0, a null id is
 scored and never held out unless crc32 of the empty text says so.  Without
 labelled rows of both classes each score is the smoothed share of label 1.
-Repeated rows are scored alike, an empty table gives no rows, extra columns
-are ignored.
+Repeated rows are scored alike and teach once, an empty table gives no rows, extra
+columns are ignored; the sample takes ids and texts in the order of their hashes,
+so ties can't change it.  A very long text takes some 100 bytes a word while it
+is scored and at most ``BUCKETS`` entries of the sample.
 """
 
 from __future__ import annotations

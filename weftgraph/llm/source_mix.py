@@ -11,11 +11,12 @@ bucket (the hash's leading bits), the running sum finds the bucket in which
 the budget ends, and only that bucket's documents are summed again by the
 next bits, until one hash value is left; that value is taken if this brings
 the sum nearer to the budget.  Thresholds are nested: what a budget takes, a
-larger one takes as well.
+larger one takes as well; documents of equal hashes are taken together or not.
 
 Null texts have no words and are never taken.  Rows that repeat both id and
 text hash alike and are taken alike.  An empty table gives no rows.  Internal
-columns have names of their own, so other columns pass through.
+columns have names of their own, so other columns pass through.  Of a very long
+text only its number of words is kept.
 """
 
 from __future__ import annotations
@@ -140,7 +141,8 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

@@ -22,7 +22,8 @@ With any other tokenizer whole texts are encoded.
 
 A null or empty text holds the end id alone; null ids come last; rows that
 repeat an id are ordered by a hash of their text; an empty table gives no
-shard; extra columns are ignored.
+shard; extra columns are ignored.  A very long text is a block by itself and
+takes some 40 times its bytes while it is encoded.
 """
 
 from __future__ import annotations
