@@ -28,8 +28,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: i
     one = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     ids = reduce(DataFrame.unionByName, [one.filter(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)])
     named = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"]).drop("_id")
-    # an id may have any number of rows: of each class and text one is kept, and per_class texts in all
-    rows = cut(named.withColumn("_key", F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates(["_label", "_key"]))
-    keys = rows.select(F.col("_label").alias("_l"), F.col("_key").alias("_k"))
-    most = reduce(DataFrame.unionByName, [keys.filter(F.col("_l") == c).orderBy("_k").limit(per_class) for c in (0, 1)])
-    return rows.join(F.broadcast(most), (F.col("_label") == F.col("_l")) & (F.col("_key") == F.col("_k"))).drop("_l", "_k", "_key")
+    # an id may have any number of rows: of each class and text one is kept, and per_class texts in all; rows
+    # are numbered as they were written, so that only numbers are grouped and texts stay where they are
+    rows = cut(named.withColumn("_key", F.xxhash64(F.col(text_col).cast("string")))).withColumn("_n", F.monotonically_increasing_id())
+    first = rows.groupBy("_label", "_key").agg(F.min("_n").alias("_first"))
+    most = reduce(DataFrame.unionByName, [first.filter(F.col("_label") == c).orderBy("_key").limit(per_class).select("_first") for c in (0, 1)])
+    return rows.join(F.broadcast(most), F.col("_n") == F.col("_first"), "left_semi").drop("_n", "_key")
