@@ -524,6 +524,7 @@ def test_context_tree(spark, monkeypatch, depth):
     small_chunks(monkeypatch)
     rows = [p for p in pairs() if p[0] != 12]
     monkeypatch.setattr(context_tree, "RANGE_KEYS", 200)
+    monkeypatch.setattr(context_tree, "CHUNK_BYTES", 4000)
     r = context_tree.score(edge.documents(spark).filter("doc_id is null or doc_id <> 12"), depth=depth, slice_chunks=2).collect()
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1 for i, _ in rows]
     tokens = [(t or "").encode().lower().split() + [b"\n"] for _, t in rows]

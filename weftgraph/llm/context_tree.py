@@ -47,6 +47,8 @@ HOLD_OUT = (5, 1)
 END = 10
 #: Nodes of fewer context bytes are shared by all ranges.
 LOW = 2
+#: Bytes of text in a chunk, on average: the larger, the fewer keys are sent twice.
+CHUNK_BYTES = 8 << 20
 #: Chunks that one group adds up and one model's copy answers.
 SLICE = 128
 #: Distinct keys of a range, on average, and the number of ranges at most (the rest is for slices to divide).
@@ -383,7 +385,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hold_out: tuple[int, int] = HOLD_
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_ends = plain.filter(~held_out(F.col("doc_id"), hold_out)).count()
     ranges = _ranges(size)
-    text = exchange.chunked(plain, size).withColumn("held", held_out(F.col("doc_id"), hold_out))
+    text = exchange.chunked(plain, size, chunk_bytes=CHUNK_BYTES).withColumn("held", held_out(F.col("doc_id"), hold_out))
 
     def listed(table: pa.Table):
         table = exchange.in_order(table)
