@@ -80,8 +80,14 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(_documents(spark, sf_dir))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import turn_repair
+
+    return turn_repair.digests(turn_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_fm, op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op5_template_decontamination, op6_substring_dedup, op7_toxic_segments, op8_line_neighbourhood, op9_token_files, op10_context_tree)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op5_template_decontamination, op6_substring_dedup, op7_toxic_segments, op8_line_neighbourhood, op9_token_files, op10_context_tree, op11_turn_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
