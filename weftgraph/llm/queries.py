@@ -86,8 +86,20 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digests(turn_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spelling_variants
+
+    return spelling_variants.group(spelling_variants.dictionary(_documents(spark, sf_dir), damage=97)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan
+
+    return license_scan.summary(license_scan.scan(_documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_fm, op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op5_template_decontamination, op6_substring_dedup, op7_toxic_segments, op8_line_neighbourhood, op9_token_files, op10_context_tree, op11_turn_repair)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_mix_sources, op3_line_rules, op4_simhash_near_dedup, op5_template_decontamination, op6_substring_dedup, op7_toxic_segments, op8_line_neighbourhood, op9_token_files, op10_context_tree, op11_turn_repair, op12_spelling_variants, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
