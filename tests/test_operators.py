@@ -137,7 +137,6 @@ def test_entities(spark):
     drafts = frame(spark, [(10, "graphs", [], 1), (11, "nets", [], 2), (12, "x", ["Net"], 3), (13, "old", [], 4)], "id int, title string, aliases array<string>, pos int")
     assert {x.draft_id: x.id for x in entities.lookup(drafts, reg).collect()} == {10: 1, 11: 1}
     assert [(x.id, x.owner) for x in entities.foreign_aliases(reg).collect()] == [(2, 1)]
-    assert entities.greedy_matching([("a", "x", 0.9), ("a", "y", 0.95), ("b", "x", 0.85), ("c", "y", 0.7)]) == [("a", "y", 0.95), ("b", "x", 0.85)]
     new = entities.allocate(frame(spark, [("Big Data", 1), ("Graph", 2)], "title string, pos int"), 7)
     assert sorted(x.id for x in new.collect()) == ["big-data-0007", "graph-0008"]
 

@@ -674,3 +674,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+from . import catalogue_sets  # noqa: E402, F401  registers its queries

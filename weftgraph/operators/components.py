@@ -79,3 +79,38 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = cut(_small_star(_large_star(now)).filter("a <> b").distinct())
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def extend_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows ``node, root`` to write over a stored ``roots`` when a new batch of ``links(a, b)`` arrives.
+
+    The batch is contracted to the stored roots of its ends before its components are
+    found, so the work grows with the batch; of the stored table only the members of
+    roots that change are read into the result.  Any split of links into batches ends
+    with the table of one batch: root is the least node that is reachable.
+    """
+    ends = cut(links.select("a", "b").distinct())
+    stored = roots.select(F.col("node"), F.col("root"))
+    owner = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(stored, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNull().alias("fresh"))
+    owner = cut(owner)
+    put = lambda df, c: join_spread(df, owner.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), [c])
+    contracted = put(put(ends, "a"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct()
+    moved = cut(connected_components(contracted).filter("node <> root"))
+    touched = join_spread(stored, moved.select(F.col("node").alias("root"), F.col("root").alias("_new")), ["root"]).select("node", F.col("_new").alias("root"))
+    fresh = owner.filter("fresh").select("node").join(moved, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return touched.unionByName(fresh)
+
+
+def last_of(ups: DataFrame) -> DataFrame:
+    """``node, up`` with ``up`` the end of the way that ``up`` begins; ``node`` is unique and no way is a cycle.
+
+    Each round joins the steps taken so far, so rounds are logarithmic in the longest way.
+    """
+    now = cut(ups.select("node", "up"))
+    while True:
+        salted = now.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(COPIES)).cast("int"))
+        onward = now.select(F.col("node").alias("up"), F.col("up").alias("_next"), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("_salt")).hint("merge")
+        moved = cut(salted.join(onward, ["up", "_salt"], "left").select("node", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")))
+        now = moved.select("node", "up")
+        if not moved.filter("_moved").take(1):
+            return now

@@ -12,6 +12,7 @@ from ..functions import kernels as k
 from ..functions import text as tx
 from ..session import cut
 from .components import connected_components, join_spread
+from .ordering import numbered
 
 
 def names(nodes: DataFrame, key=tx.norm_title) -> DataFrame:
@@ -29,16 +30,18 @@ def lookup(drafts: DataFrame, registry: DataFrame) -> DataFrame:
     return met.groupBy("draft_id").agg(F.min_by("id", "row").alias("id"))
 
 
-def candidate_pairs(items: DataFrame, threshold: float = 0.5, focus: Column | None = None) -> DataFrame:
+def candidate_pairs(items: DataFrame, threshold: float = 0.5, focus: Column | None = None, side: str | None = None) -> DataFrame:
     """``a_id, b_id, score`` of names at Dice similarity ``threshold`` or more, equal ones left out.
 
+    With ``side`` only items that differ in that column are paired.
+
     A positive score needs a shared word or trigram, so pairs come from an
     equi-join on those: names with spaces by words, others by trigrams.  Two
     names at ``threshold`` share ``threshold / (2 - threshold)`` of either's keys,
     so each is entered under its rarest keys only, as many as leave none of
     those pairs out; a key that very many names have is hardly ever among them.
     """
-    n = items.select("id", "name", (focus if focus is not None else F.lit(True)).alias("new")).filter("name <> ''").distinct()
+    n = items.select("id", "name", (focus if focus is not None else F.lit(True)).alias("new"), (F.col(side) if side else F.col("id")).alias("side")).filter("name <> ''").distinct()
     n = n.withColumn("words", F.array_distinct(tx.pieces(F.col("name"), " ")))
     compact = F.regexp_replace("name", " ", "")
     at = F.sequence(F.lit(1), F.greatest(F.length(compact) - 2, F.lit(1)))
@@ -46,7 +49,7 @@ def candidate_pairs(items: DataFrame, threshold: float = 0.5, focus: Column | No
     by_word, by_gram = _rare_keys(n.filter("not solid"), "words", threshold), _rare_keys(n, "grams", threshold)
     found = []
     for left, right, rule in ((by_word, by_word, "not l.solid and not r.solid"), (by_gram, by_gram, "l.solid or r.solid")):
-        j = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.name") != F.col("r.name")) & (F.col("l.new") | F.col("r.new"))).filter(rule)
+        j = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.side") != F.col("r.side")) & (F.col("l.name") != F.col("r.name")) & (F.col("l.new") | F.col("r.new"))).filter(rule)
         score = tx.dice(F.col("l.words"), F.col("r.words")) if rule.startswith("not") else tx.dice(F.col("l.grams"), F.col("r.grams"))
         found.append(j.select(F.col("l.id").alias("a_id"), F.col("r.id").alias("b_id"), score.alias("score")))
     return found[0].unionByName(found[1]).filter(F.col("score") >= threshold).groupBy("a_id", "b_id").agg(F.max("score").alias("score"))
@@ -64,7 +67,7 @@ def _rare_keys(items: DataFrame, column: str, threshold: float) -> DataFrame:
 
 def capped(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The best ``most`` pairs for judgement, and the overflow."""
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "a_id", "b_id")))
+    ranked = numbered(pairs, F.desc("score"), "a_id", "b_id", name="rank")
     return ranked.filter(F.col("rank") <= most), ranked.filter(F.col("rank") > most)
 
 
@@ -77,8 +80,7 @@ def judged(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def allocate(new: DataFrame, next_seq: int, order: str = "pos") -> DataFrame:
     """Ids ``slug-0001``: numbers go on from the high-water mark and are never reused."""
-    n = F.row_number().over(Window.orderBy(order)) + (next_seq - 1)
-    return new.withColumn("id", F.format_string("%s-%04d", tx.slug(F.col("title")), n))
+    return numbered(new, order, name="_n", start=next_seq).withColumn("id", F.format_string("%s-%04d", tx.slug(F.col("title")), F.col("_n"))).drop("_n")
 
 
 def consolidate(candidates: DataFrame, group: str = "corpus") -> DataFrame:
@@ -205,17 +207,6 @@ def set_agreement(a: DataFrame, b: DataFrame, key: str = "name") -> DataFrame:
     return n.select("*", F.when(total == 0, F.lit(1.0)).otherwise(F.col("common") / total).alias("jaccard"), share(F.col("common") + F.col("only_in_a")).alias("overlap_a"), share(F.col("common") + F.col("only_in_b")).alias("overlap_b"))
 
 
-def greedy_matching(pairs: list[tuple[str, str, float]], least: float = 0.8) -> list[tuple[str, str, float]]:
-    """One-to-one matches taken from the best pair down (for candidate pairs already cut to the threshold)."""
-    left, right, out = set(), set(), []
-    for x, y, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if s >= least and x not in left and y not in right:
-            left.add(x)
-            right.add(y)
-            out.append((x, y, s))
-    return out
-
-
 def start_nodes(queries: DataFrame, nodes: DataFrame, floor: float = 0.82) -> DataFrame:
     """``query_id, id, tier``: by name, by id, by containment, else by gestalt similarity of ``floor`` or more.
 

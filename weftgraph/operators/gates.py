@@ -40,12 +40,13 @@ def with_duplicates(gated: DataFrame) -> DataFrame:
 def gate_edges(edges: DataFrame, nodes: DataFrame, types: DataFrame, group: str | None = None) -> DataFrame:
     """All gates in order; an edge that would close a cycle with edges accepted before it fails ``dag``.
 
-    Only an edge on a cycle of all proposed edges can close one, so those alone
-    are taken in input order, each graph (``group``) and relation by itself; the
-    other edges are judged by joins.  A repeat of an accepted edge fails
-    ``duplicate_edge``, one of a refused edge ``dag`` as well.
+    Only an edge on a cycle of all proposed edges can close one, and only with
+    edges of its own strongly connected component.  So each component of a graph
+    (``group``) and relation is taken in input order by itself; all other edges
+    are judged by joins.  A repeat of an accepted edge fails ``duplicate_edge``,
+    one of a refused edge ``dag`` as well.
     """
-    from .graph import core_edges
+    from .strong import cycle_edges
 
     gated = stateless_gates(edges, nodes, types)
     by = [group] if group else []
@@ -55,24 +56,23 @@ def gate_edges(edges: DataFrame, nodes: DataFrame, types: DataFrame, group: str
     # a symmetric relation without cycles would look at both directions of a repeat: all its edges are taken in order
     open_edges = ranked.filter("gate is null and dag and (_k = 1 or symmetric)")
     name = lambda c: F.to_json(F.struct(*by, "type", F.col(c).alias("_n")))
-    core = core_edges(open_edges.select(name("source").alias("source"), name("target").alias("target"))).select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
-    suspects = open_edges.join(core, (name("source") == F.col("_s")) & (name("target") == F.col("_t")), "left_semi").select(*by, "type", "source", "target", "symmetric", "seq")
+    core = cycle_edges(open_edges.select(name("source").alias("source"), name("target").alias("target"))).select(F.col("source").alias("_s"), F.col("target").alias("_t"), "root")
+    suspects = open_edges.join(core, (name("source") == F.col("_s")) & (name("target") == F.col("_t"))).select("root", "source", "target", "symmetric", "seq")
     kind = gated.schema["seq"].dataType.simpleString()
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        after, seen, refused = defaultdict(set), set(), []
-        for t, a, b, sym, seq in df.sort_values("seq")[["type", "source", "target", "symmetric", "seq"]].itertuples(index=False):
-            k = (t, *sorted((a, b))) if sym else (t, a, b)
+        order, seen, refused = _Order(), set(), []
+        for a, b, sym, seq in df.sort_values("seq")[["source", "target", "symmetric", "seq"]].itertuples(index=False):
+            k = tuple(sorted((a, b))) if sym else (a, b)
             if k in seen:
                 continue
-            if _reaches(after, t, b, a):
-                refused.append(seq)
-            else:
+            if order.add(a, b):
                 seen.add(k)
-                after[t, a].add(b)
+            else:
+                refused.append(seq)
         return pd.DataFrame({"_refused": refused})
 
-    refused = cut(suspects.groupBy(*by, "type").applyInPandas(run, f"_refused {kind}").distinct())
+    refused = cut(suspects.groupBy("root").applyInPandas(run, f"_refused {kind}").distinct())
     judged = ranked.join(refused, F.col("seq") == F.col("_refused"), "left").withColumn("_dag", F.col("_refused").isNotNull())
     # the verdict of the first of equal edges holds for its repeats
     first = F.max(F.when(F.col("_k") == 1, F.col("_dag"))).over(Window.partitionBy(*by, "type", "_a", "_b", F.col("gate").isNull()))
@@ -84,17 +84,45 @@ def gate_edges(edges: DataFrame, nodes: DataFrame, types: DataFrame, group: str
     return judged.withColumn("_gate", gate).drop("gate").withColumnRenamed("_gate", "gate").select(*gated.columns)
 
 
-def _reaches(after: dict, kind: str, start, goal) -> bool:
-    stack, seen = [start], {start}
-    while stack:
-        node = stack.pop()
-        if node == goal:
-            return True
-        for x in after.get((kind, node), ()):
-            if x not in seen:
-                seen.add(x)
-                stack.append(x)
-    return False
+class _Order:
+    """Accepted edges of one component and an order of its nodes along them, repaired where an edge breaks it."""
+
+    def __init__(self) -> None:
+        self.place: dict = {}
+        self.after: dict = defaultdict(set)
+        self.before: dict = defaultdict(set)
+
+    def _within(self, start, step: dict, ok) -> list | None:
+        """Nodes reached from ``start`` among those whose place is ``ok``; None if one of them is refused outright."""
+        met, stack = {start}, [start]
+        while stack:
+            for x in step[stack.pop()]:
+                verdict = ok(self.place[x])
+                if verdict is None:
+                    return None
+                if verdict and x not in met:
+                    met.add(x)
+                    stack.append(x)
+        return sorted(met, key=self.place.__getitem__)
+
+    def add(self, a, b) -> bool:
+        """Whether the edge closes no cycle; it is kept then."""
+        for x in (a, b):
+            self.place.setdefault(x, len(self.place))
+        low, high = self.place[b], self.place[a]
+        if a == b:
+            return False
+        if low < high:  # only nodes between the two can be out of order
+            forward = self._within(b, self.after, lambda p: None if p == high else p < high)
+            if forward is None:
+                return False
+            backward = self._within(a, self.before, lambda p: p > low)
+            moved = backward + forward
+            for x, p in zip(moved, sorted(self.place[x] for x in moved)):
+                self.place[x] = p
+        self.after[a].add(b)
+        self.before[b].add(a)
+        return True
 
 
 def mirror(edges: DataFrame, types: DataFrame) -> DataFrame:

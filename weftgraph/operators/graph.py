@@ -10,9 +10,8 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -71,8 +70,7 @@ def graph_meta(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def majority(df: DataFrame, value: str, seq: str) -> DataFrame:
     """The most frequent value; the first seen among equals."""
-    w = Window.orderBy(F.desc("n"), "first")
-    return df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("first")).withColumn("_k", F.row_number().over(w)).filter("_k = 1").select(value, "n")
+    return df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("first")).orderBy(F.desc("n"), "first").limit(1).select(value, "n")
 
 
 def bfs(starts: DataFrame, nbrs: DataFrame, types: list[str] | None, depth: int) -> DataFrame:
@@ -271,17 +269,19 @@ def reported_cycles(edges: DataFrame, longest: int = 4, limit: int = 5) -> DataF
     """``path, length`` of ``limit`` simple cycles, fewer only if there are fewer.
 
     The shortest come first as in ``cycles``; where those are fewer than
-    ``limit``, cycles of any length fill up.
+    ``limit``, cycles of any length fill up, ``limit`` of each strongly connected
+    component at most.  Only the paths that are reported reach the driver.
     """
-    core = cyclic_core(edges)
+    from .strong import cycle_edges as on_cycles
+    from .strong import some_cycles
+
+    inside = cut(on_cycles(edges))
     spark, kind = edges.sparkSession, edges.schema["source"].dataType.simpleString()
-    paths = []
-    if core:
-        paths = [x.path for x in cycles(spark.createDataFrame(core, f"source {kind}, target {kind}"), longest, limit).collect()]
-        if len(paths) < limit:
-            known = set(map(tuple, paths))
-            more = islice((p for p in simple_cycles(core) if tuple(p) not in known), limit - len(paths))
-            paths += sorted(more, key=lambda p: (len(p), p))
+    paths = [x.path for x in cycles(inside, longest, limit).collect()]
+    if len(paths) < limit:
+        known = spark.createDataFrame([(p,) for p in paths], f"path array<{kind}>")
+        more = some_cycles(inside, limit).join(known, "path", "left_anti").orderBy(F.size("path"), "path").limit(limit - len(paths))
+        paths += [x.path for x in more.collect()]
     return spark.createDataFrame([(p, len(p)) for p in paths], f"path array<{kind}>, length int")
 
 
@@ -343,7 +343,7 @@ def layers(nodes: DataFrame, edges: DataFrame, local: int | None = None) -> Data
             raise ValueError("layers need an acyclic edge table; take out back_edges first")
         found = nodes.sparkSession.createDataFrame(list(layer.items()), f"id {nodes.schema['id'].dataType.simpleString()}, up int")
         return level.join(found, "id", "left").select("id", F.coalesce("up", "layer").alias("layer"))
-    if cyclic_core(e, local):
+    if core_edges(e, local).take(1):
         raise ValueError("layers need an acyclic edge table; take out back_edges first")
     while True:
         up = e.join(level.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg((F.max("layer") + 1).alias("up"))

@@ -48,9 +48,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared folder, its lineage forgotten."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` materialised in the shared folder, its lineage forgotten.
+
+    Estimates are forgotten as well: a checkpoint keeps the size that was estimated
+    for its plan, a join multiplies its sides' sizes, and a loop of joins over cut
+    tables soon computes with numbers of millions of digits.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    if not hasattr(kept, "_jdf"):
+        return kept
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
 
 
 def ship(spark: SparkSession) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..operators import segment
+from ..operators.ordering import numbered
 
 #: fixed values: input kinds by extension
 KINDS = {
@@ -207,7 +208,7 @@ def notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def note_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables of notes."""
-    nodes = found.select("id", "title", "aliases", "definition", F.exists("sources", lambda s: s["quote"] != "").alias("grounded"), F.row_number().over(Window.orderBy("id")).alias("pos"))
+    nodes = numbered(found.select("id", "title", "aliases", "definition", F.exists("sources", lambda s: s["quote"] != "").alias("grounded")), "id", name="pos")
     e = found.select(F.col("id").alias("source"), F.posexplode("edges").alias("k", "e"))
     return nodes, e.select("source", "e.target", "e.type", "e.relevance", F.xxhash64("source", "k").alias("seq"))
 

@@ -7,10 +7,11 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
+from ..operators.ordering import numbered
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -56,8 +57,7 @@ def render_note(note: dict, targets: dict[str, str]) -> str:
 
 def review_queue(pairs: DataFrame) -> DataFrame:
     """Unsure pairs for review, best first."""
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "a_id", "b_id"))
-    return pairs.filter("verdict = 'unsure'").withColumn("rank", rank)
+    return numbered(pairs.filter("verdict = 'unsure'"), F.desc("score"), "a_id", "b_id", name="rank")
 
 
 def report(totals: dict, secrets: list[str]) -> str:
