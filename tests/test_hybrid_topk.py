@@ -17,10 +17,10 @@ def vectors(n, seed=5):
 def test_every_hundredth_row_is_a_query(spark, tmp_path):
     path = str(tmp_path / "embeddings.parquet")
     spark.createDataFrame(vectors(1250), "vec_id long, embedding array<float>, label int").write.parquet(path)
-    got = sorted(map(tuple, catalogue.QUERIES["hybrid_topk_all"](spark, str(tmp_path)).select("query_id", "chunk_id", "score", "rank").collect()))
+    got = sorted(map(tuple, catalogue.QUERIES["hybrid_topk"](spark, str(tmp_path)).select("query_id", "chunk_id", "score", "rank").collect()))
     c = duckdb.connect()
     c.execute(f"create view embeddings as select * from '{path}/*.parquet'")
-    assert got == sorted(c.execute(catalogue.ORACLES["hybrid_topk_all"]).fetchall())
+    assert got == sorted(c.execute(catalogue.ORACLES["hybrid_topk"]).fetchall())
     assert {x[0] for x in got} == set(range(0, 1250, 100)) and len(got) == 5 * 13
 
 

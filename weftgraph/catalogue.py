@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import kernels as k
 from .functions import text as tx
-from .operators import entities, gates, graph, metrics, reasoner, retrieval, rules, segment
+from .operators import entities, gates, graph, metrics, ordering, reasoner, retrieval, rules, segment
 from .sources import html as web
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,25 +253,12 @@ def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("item_id", F.when(F.col("n") > 0, F.lit("grounded")).otherwise(F.lit("quote_not_found")).alias("verdict"), F.coalesce("n", F.lit(0).cast("long")).alias("n_documents"), "first_document")
 
 
-@query("""WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents),
-c AS (SELECT doc_id AS claim_id, doc_id + CASE WHEN doc_id % 10 = 0 THEN 100000000 ELSE 0 END AS src, CASE WHEN doc_id % 3 = 0 THEN 'no such words here' ELSE left(t, 30) END AS quote FROM u WHERE no = 1)
-SELECT claim_id, CASE WHEN d.doc_id IS NULL THEN 'unknown_unit' WHEN contains(trim(regexp_replace(d.t, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'grounded' ELSE 'quote_not_found' END AS verdict
-FROM c LEFT JOIN (SELECT * FROM u WHERE no = 1) d ON d.doc_id = c.src""")
-def unit_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    first = segment.lines(table(spark, sf, "documents"), "doc_id").filter("line_no = 1")
-    units = first.select(F.concat(F.col("doc_id").cast("string"), F.lit(":1")).alias("uid"), F.col("line").alias("text"))
-    src = F.col("doc_id") + F.when(F.col("doc_id") % 10 == 0, F.lit(100000000)).otherwise(F.lit(0))
-    quote = F.when(F.col("doc_id") % 3 == 0, F.lit("no such words here")).otherwise(F.substring("line", 1, 30))
-    claims = first.select(F.col("doc_id").alias("claim_id"), F.concat(src.cast("string"), F.lit(":1")).alias("uid"), quote.alias("quote"))
-    return entities.grounding(claims, units).select("claim_id", "verdict")
-
-
 @query("""WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents),
 c AS (SELECT doc_id || ':' || no AS claim_id, no, doc_id + CASE WHEN doc_id % 10 = 0 THEN 100000000 ELSE 0 END AS src, CASE WHEN doc_id % 3 = 0 THEN 'no such words here' ELSE left(t, 30) END AS quote FROM u)
 SELECT claim_id, CASE WHEN d.doc_id IS NULL THEN 'unknown_unit' WHEN contains(trim(regexp_replace(d.t, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'grounded' ELSE 'quote_not_found' END AS verdict
 FROM c LEFT JOIN u d ON d.doc_id = c.src AND d.no = c.no""")
-def unit_grounding_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line is a unit and a claim (``unit_grounding`` has first lines only, as its SQL)."""
+def unit_grounding(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line is a unit and a claim."""
     every = segment.lines(table(spark, sf, "documents"), "doc_id")
     uid = lambda doc: F.concat(doc.cast("string"), F.lit(":"), F.col("line_no").cast("string"))
     units = every.select(uid(F.col("doc_id")).alias("uid"), F.col("line").alias("text"))
@@ -292,16 +279,6 @@ def html_units(spark: SparkSession, sf: str) -> DataFrame:
     return web.units(table(spark, sf, "pages").select(F.col("page_id").alias("source"), "html")).select("source", "uid", "locator", "text")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe, label AS ql FROM embeddings WHERE vec_id < 10),
-s AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(qe, CAST(embedding AS DOUBLE[])) AS cosine, CASE WHEN ql = label THEN 1.0::DOUBLE ELSE 0.0 END AS keyword FROM q, embeddings),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS near FROM s),
-b AS (SELECT *, round(CAST(0.75 AS DOUBLE) * cosine + CAST(0.25 AS DOUBLE) * keyword, 6) AS score FROM n WHERE near <= 20),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, near) AS rank FROM b)
-SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid(spark, sf, "vec_id < 10")
-
-
 def _hybrid(spark: SparkSession, sf: str, queries: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     q = e.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("query_label"))
@@ -316,8 +293,8 @@ n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, c
 b AS (SELECT *, round(CAST(0.75 AS DOUBLE) * cosine + CAST(0.25 AS DOUBLE) * keyword, 6) AS score FROM n WHERE near <= 20),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, near) AS rank FROM b)
 SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def hybrid_topk_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row whose id is divisible by 100 against all rows (``hybrid_topk`` has ten queries, as its SQL)."""
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row whose id is divisible by 100 against all rows."""
     return _hybrid(spark, sf, "vec_id % 100 = 0")
 
 
@@ -607,8 +584,8 @@ def topic_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """The words of part names as topics, the names as messages."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("message_id"), F.lower("p_name").alias("text"))
     words = p.select(F.explode(F.split("text", " ")).alias("label")).distinct()
-    # teaching order is that of the words; the vocabulary of names is small
-    labels = words.select(F.col("label").alias("topic_id"), (F.row_number().over(Window.orderBy("label")) - 1).alias("seq"), "label")
+    # teaching order is that of the words
+    labels = ordering.numbered(words, "label", name="seq", start=0).select(F.col("label").alias("topic_id"), "seq", "label")
     found = rules.resolve_topics(p, labels)
     return found.select(F.col("message_id").alias("p_partkey"), F.col("topic_id").alias("topic"), "confidence", "matched_on", "ambiguous")
 

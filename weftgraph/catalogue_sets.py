@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import query, table
-from .operators import components, concepts, entities, matching, ordering, strong
+from .operators import components, concepts, entities, flow, matching, ordering, strong
 
 _KEYED = """n AS (SELECT DISTINCT starts_with(url, 'https:') AS a, trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-zà-ÿ]+', ' ', 'g')) AS name FROM pages),
 r AS (SELECT a, name, contains(name, ' ') AS words FROM n WHERE name <> '' AND name NOT IN (SELECT name FROM n GROUP BY name HAVING count(*) = 2)),
@@ -105,3 +105,23 @@ def concept_consolidation(spark: SparkSession, sf: str) -> DataFrame:
 def global_order(spark: SparkSession, sf: str) -> DataFrame:
     """Each event's place by value, from ranges and counts."""
     return ordering.numbered(table(spark, sf, "events").select("event_id", "value"), F.desc("value"), "event_id", name="place").select("event_id", "place")
+
+
+@query("""WITH e AS (SELECT user_id AS run, event_id AS seq, event_type = 'error' AS limited, value AS wait, CAST(round(value * 100) AS BIGINT) AS cost FROM events),
+p AS (SELECT *, coalesce(sum(CAST(limited AS BIGINT)) OVER w, 0) AS waits, coalesce(sum(cost) OVER w, 0) AS spent FROM e WINDOW w AS (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT *, CASE WHEN spent > 60000 THEN 'budget' WHEN limited AND (wait > 40 OR waits >= 1) THEN 'rate_limit' END AS why FROM p),
+s AS (SELECT run, min(seq) AS at, arg_min(why, seq) AS why, arg_min(spent, seq) AS spent FROM y WHERE why IS NOT NULL GROUP BY run)
+SELECT y.run, y.seq, CASE WHEN y.seq >= s.at THEN 'deferred' WHEN limited THEN 'waited' ELSE 'proceed' END AS decision, CASE WHEN y.seq >= s.at THEN s.why END AS reason, CAST(CASE WHEN y.seq >= s.at THEN s.spent ELSE y.spent END AS BIGINT) AS spent FROM y LEFT JOIN s USING (run)""")
+def call_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events as calls of a run: errors are rate limits, values waits and costs."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("limited"), F.col("value").alias("wait"), F.round(F.col("value") * 100).cast("long").alias("cost"))
+    return flow.call_decisions(e, cap=40, budget=60_000).select("run", "seq", "decision", "reason", "spent")
+
+
+@query("""SELECT f.event_id, v.event_id AS version, v.value AS version_value FROM (SELECT * FROM events WHERE event_type <> 'error') f
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') v ON f.user_id = v.user_id AND f.ts >= v.ts""")
+def newest_version(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event with its user's newest error at or before it, as a turn meets the map of its time."""
+    e = table(spark, sf, "events")
+    versions = e.filter("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("version"), F.col("value").alias("version_value"))
+    return flow.as_of(e.filter("event_type <> 'error'").select("event_id", "user_id", "ts"), versions, "user_id", "ts", ["version", "version_value"]).select("event_id", "version", "version_value")

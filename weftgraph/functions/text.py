@@ -32,13 +32,17 @@ def _pair_udf(f: Callable[[str, str], object], kind: T.DataType | str) -> Callab
     return run
 
 
-def pieces(text: Column, pattern: str = r"\s+") -> Column:
+#: White space as Unicode has it; ``\\s`` alone is that of ASCII.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def pieces(text: Column, pattern: str = SPACE + "+") -> Column:
     return F.filter(F.split(text, pattern), lambda x: x != "")
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
 def _ascii_title(text: Column, plural: bool) -> Column:
@@ -133,22 +137,20 @@ def hashed_vector(text: Column) -> Column:
 
 
 def estimate_tokens_pieces(text: Column) -> Column:
-    """Token estimate A: per piece 1 + ASCII characters / 8, and 1 per other character."""
-
-    # a character beyond ASCII takes more than one byte: the other bytes are those of one to four per character
-    def of(p: Column) -> Column:
-        many = F.length(p)
-        plain = F.when(F.octet_length(p) == many, many).otherwise(F.length(F.regexp_replace(p, "[^\\x00-\\x7F]", "")))
-        # counted once per piece
-        return F.get(F.transform(F.array(F.struct(plain.alias("plain"), many.alias("many"))), lambda x: F.when(x["plain"] > 0, 1 + F.shiftright(x["plain"], 3)).otherwise(F.lit(0)) + x["many"] - x["plain"]), F.lit(0))
+    """Token estimate A: per piece 1 + ASCII characters / 8, and 1 per other character.
 
-    return F.aggregate(pieces(text), F.lit(0).cast("long"), lambda a, p: a + of(p).cast("long"))
+    Without the characters beyond ASCII, each piece that is left counts once, and once
+    more for every eight characters: three passes over the text, whatever its words.
+    """
+    spaced = F.regexp_replace(text, SPACE, " ")
+    plain = F.regexp_replace(spaced, "[^\\x00-\\x7F]", "")
+    return (F.regexp_count(plain, F.lit(r"[^ ]+")) + F.regexp_count(plain, F.lit("[^ ]{8}")) + F.length(spaced) - F.length(plain)).cast("long")
 
 
 def estimate_tokens_words(text: Column) -> Column:
     """Token estimate B: Thai characters / 2.5 and words * 1.3, rounded half to even, 1 at least."""
     thai = F.length(F.regexp_replace(text, "[^\\u0E00-\\u0E7F]", ""))
-    words = F.regexp_count(F.regexp_replace(text, THAI, " "), F.lit(r"\S+"))
+    words = F.regexp_count(F.regexp_replace(F.regexp_replace(text, THAI, " "), SPACE, " "), F.lit("[^ ]+"))
     return F.greatest(F.lit(1), F.bround(thai / F.lit(2.5) + words * F.lit(1.3))).cast("long")
 
 
@@ -276,8 +278,9 @@ def verdict_cell(cell: Column) -> Column:
 
 def has_attempt(text: Column) -> Column:
     """Whether a message has anything to grade."""
-    bare = F.lower(F.btrim(F.btrim(text), F.lit(k._EDGE)))
-    return ~F.regexp_replace(bare, r"\s+", " ").isin(*sorted(k.NO_ATTEMPT))
+    ends = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    bare = F.translate(F.lower(F.btrim(ends, F.lit(k._EDGE))), "ſ", "s")
+    return ~F.regexp_replace(bare, SPACE + "+", " ").isin(*sorted(k.NO_ATTEMPT))
 
 
 def check_answer(attempt: Column, key: Column) -> Column:

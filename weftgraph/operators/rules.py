@@ -304,17 +304,19 @@ PRESSURE = (
     r"ต้องถูก(?:แน่ ?ๆ)?",
     r"เชื่อ(?:ผม|หนู|ฉัน)เถอะ",
 )
-#: A mark whose only neighbour is another mark or the end.
+#: fixed value: what is left of punctuation where a phrase went
 _STRANDED = r"\s*[.,;:!?—–-]\s*(?=[.,;:!?—–-]|$)"
 
 
 def strip_pressure(text: Column) -> Column:
     """The text without phrases that press for a verdict, and those phrases in their order."""
-    pattern = "(?iu)" + "|".join(PRESSURE)
-    removed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.trim)
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, pattern, " "), r"\s+", " "), _STRANDED, "")
-    clean = F.regexp_replace(clean, r"^[ \t\n.,;:!?—–-]+|[ \t\n.,;:!?—–-]+$", "")
-    return F.struct(F.when(F.size(removed) > 0, clean).otherwise(F.trim(text)).alias("text"), removed.alias("removed"))
+    wide = lambda pattern: pattern.replace(r"\s", tx.SPACE)
+    phrases = "(?iU)" + wide("|".join(PRESSURE))
+    ends = lambda c: F.regexp_replace(c, f"^{tx.SPACE}+|{tx.SPACE}+$", "")
+    removed = F.transform(F.regexp_extract_all(text, F.lit(phrases), F.lit(0)), ends)
+    left = F.regexp_replace(F.regexp_replace(text, phrases, " "), tx.SPACE + "+", " ")
+    clean = F.regexp_replace(F.regexp_replace(left, wide(_STRANDED), ""), r"^[ \t\n.,;:!?—–-]+|[ \t\n.,;:!?—–-]+$", "")
+    return F.struct(F.when(F.size(removed) > 0, clean).otherwise(ends(text)).alias("text"), removed.alias("removed"))
 
 
 def plan_problems(plans: DataFrame, kinds: dict[str, str]) -> DataFrame:
