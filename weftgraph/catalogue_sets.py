@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import query, table
-from .operators import components, concepts, entities, flow, matching, ordering, strong
+from .catalogue import facts, query, table, trigger_rows
+from .operators import components, concepts, decisions, entities, flow, matching, ordering, rules, strong
 
 _KEYED = """n AS (SELECT DISTINCT starts_with(url, 'https:') AS a, trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-zà-ÿ]+', ' ', 'g')) AS name FROM pages),
 r AS (SELECT a, name, contains(name, ' ') AS words FROM n WHERE name <> '' AND name NOT IN (SELECT name FROM n GROUP BY name HAVING count(*) = 2)),
@@ -125,3 +125,26 @@ def newest_version(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     versions = e.filter("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("version"), F.col("value").alias("version_value"))
     return flow.as_of(e.filter("event_type <> 'error'").select("event_id", "user_id", "ts"), versions, "user_id", "ts", ["version", "version_value"]).select("event_id", "version", "version_value")
+
+
+#: seed rows of the teaching policy: id, intent, special_handling, precedence, direct, full, attempt, hint_first, allow_hints, allow_check, prohibited, veto_primary
+TEACHING = [
+    ("B01", None, None, 0, True, True, None, False, True, True, [], None), ("B02", None, "pressure", 90, False, False, True, True, True, True, ["S05"], "S04"),
+    ("B03", "solve", None, 50, False, True, False, True, True, False, [], "S06"), ("B04", "review", "none", 40, True, True, None, False, False, True, ["S00", "S01"], None),
+]
+TOGETHER = decisions.Combination(["S03", "S04"], ["S05", "S06"], ["S07"], {"S00": ["S01", "S02"], "S01": ["S02", "S04", "S07"], "S03": ["S01", "S02", "S07"], "S04": ["S02", "S03", "S07"], "S06": ["S01", "S02"], "S07": ["S01", "S02", "S04"]})
+
+
+def decided(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    chosen = rules.select_trigger(turns, trigger_rows(spark), ("T99", "S00"))
+    policies = spark.createDataFrame([(*p[:4], k, *p[4:]) for k, p in enumerate(TEACHING)], "id string, intent string, special_handling string, precedence int, seq int, direct boolean, full boolean, attempt boolean, hint_first boolean, allow_hints boolean, allow_check boolean, prohibited array<string>, veto_primary string")
+    return decisions.decide(chosen, policies, TOGETHER)
+
+
+@query()
+def turn_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation turn through all steps, with its trace."""
+    verdict = F.when(F.col("turn_id") % 4 == 0, F.lit("correct")).when(F.col("turn_id") % 4 == 1, F.lit("cannot_evaluate"))
+    d = decided(spark, facts(spark, sf).withColumn("evaluation", verdict))
+    said = F.transform("trace", lambda e: F.concat_ws(" ", e["step"], e["rule"], F.coalesce(e["source"], F.lit("-")), F.coalesce(e["gone"], F.lit("-")), F.coalesce(e["come"], F.lit("-"))))
+    return d.select("turn_id", F.col("primary").alias("primary_strategy"), "supporting", "evaluation", "direct", "full", "attempt", "prohibited", "policy", said.alias("trace"))
