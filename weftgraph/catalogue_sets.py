@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import facts, query, table, trigger_rows
 from .operators import components, concepts, decisions, entities, flow, matching, ordering, rules, strong
+from .plans import cached
+from .providers import Stub
+from .session import checkpoint_dir
+from .streaming import fanout
 
 _KEYED = """n AS (SELECT DISTINCT starts_with(url, 'https:') AS a, trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-zà-ÿ]+', ' ', 'g')) AS name FROM pages),
 r AS (SELECT a, name, contains(name, ' ') AS words FROM n WHERE name <> '' AND name NOT IN (SELECT name FROM n GROUP BY name HAVING count(*) = 2)),
@@ -148,3 +154,23 @@ def turn_decisions(spark: SparkSession, sf: str) -> DataFrame:
     d = decided(spark, facts(spark, sf).withColumn("evaluation", verdict))
     said = F.transform("trace", lambda e: F.concat_ws(" ", e["step"], e["rule"], F.coalesce(e["source"], F.lit("-")), F.coalesce(e["gone"], F.lit("-")), F.coalesce(e["come"], F.lit("-"))))
     return d.select("turn_id", F.col("primary").alias("primary_strategy"), "supporting", "evaluation", "direct", "full", "attempt", "prohibited", "policy", said.alias("trace"))
+
+
+@query("""WITH l AS (SELECT user_id AS subscriber, event_id AS seq, event_type = 'error' AS reads FROM events),
+p AS (SELECT *, coalesce(sum(CAST(reads AS BIGINT)) OVER w, 0) AS segment FROM l WINDOW w AS (PARTITION BY subscriber ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, row_number() OVER (PARTITION BY subscriber, segment ORDER BY seq DESC) AS back FROM p WHERE NOT reads),
+g AS (SELECT subscriber, segment, list(seq ORDER BY seq) FILTER (WHERE back <= 4) AS delivered, count(*) AS n FROM b GROUP BY ALL)
+SELECT p.subscriber, p.seq AS read_seq, coalesce(g.delivered, []::BIGINT[]) AS delivered, CAST(greatest(coalesce(g.n, 0) - 4, 0) AS BIGINT) AS dropped FROM p LEFT JOIN g USING (subscriber, segment) WHERE reads""")
+def queue_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as subscribers with queues of four: errors read, all else is published."""
+    log = table(spark, sf, "events").select(F.col("user_id").alias("subscriber"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("reads"))
+    return fanout.deliveries(log, 4)
+
+
+@query()
+def cached_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's reply by the stub, from two runs over one result table, the second with new texts only to ask for."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    cached.cached_stage(d.filter(F.length("text") % 2 == 0), path, "atomize", Stub(), "text", "doc_id", ("digest",))
+    return cached.cached_stage(d, path, "atomize", Stub(), "text", "doc_id", ("digest",))[0].select("doc_id", F.get_json_object("result", "$.digest").alias("digest"), "from_version")
