@@ -1,8 +1,9 @@
 """Queries over the test tables, one or more per operator, with their SQL equivalents.
 
 Each query runs an operator of the package over whole tables.  ``ORACLES`` has
-the same result as SQL for another engine; queries without one are compared
-with brute force in the tests.
+the same result as SQL for another engine; of the queries without one the tests
+hold map_findings, seeded_sample, turn_decisions and cached_results against brute
+force and run the others twice.
 """
 
 from __future__ import annotations
