@@ -322,31 +322,32 @@ def map_report(path: str) -> tuple[list[dict], list[dict], list[tuple[str, str,
 
 #: fixed value: normalised characters of an alias at least
 ALIAS_CHARS = 3
+#: fixed values: a gloss in brackets, what joins the parts of a list, what parts a head from the rest
 _GLOSS, _JOINED, _OF = r"\(([^()]*)\)", r"(?i)\s+(?:and|vs\.?)\s+|\s*/\s*|\s*&\s*", r"(?i)\s+of\s+"
 
 
+def _label_parts(name: str) -> Iterator[tuple[str, int]]:
+    """Parts of a label and the least words each needs, the preferred spelling first."""
+    glosses = re.findall(_GLOSS, name)
+    for phrase in (*glosses, re.sub(_GLOSS, " ", name)):
+        sides = re.split(_OF, phrase, maxsplit=1)
+        yield phrase, 1
+        for whole, least in ((phrase, len(sides)), *((head, 2) for head in sides[:-1])):
+            listed = re.split(_JOINED, whole)
+            yield from ((part, least) for part in ([whole] if whole is not phrase else []) + listed)
+
+
 def derived_aliases(name: str) -> list[str]:
     """What else a label may be called: its glosses, itself without them, the parts of a list and what stands
     before "of"; parts of a label with "of" only where they have two words or more."""
-    seen, out = {k.plain_text(name)}, []
-
-    def add(part: str, words: int = 1) -> None:
-        part = part.strip(" ,;:-")
-        key = k.plain_text(part)
-        if len(key) >= ALIAS_CHARS and key not in seen and len(key.split(" ")) >= words:
-            seen.add(key)
-            out.append(part)
-
-    for phrase in [*re.findall(_GLOSS, name), re.sub(_GLOSS, " ", name)]:
-        add(phrase)
-        head, *rest = re.split(_OF, phrase, maxsplit=1)
-        least = 2 if rest else 1
-        for part in re.split(_JOINED, phrase):
-            add(part, least)
-        if rest:
-            for part in (head, *re.split(_JOINED, head)):
-                add(part, 2)
-    return out
+    first: dict[str, str] = {}
+    for part, least in _label_parts(name):
+        trimmed = part.strip(" ,;:-")
+        key = k.plain_text(trimmed)
+        if len(key) >= ALIAS_CHARS and key.count(" ") + 1 >= least:
+            first.setdefault(key, trimmed)
+    first.pop(k.plain_text(name), None)
+    return list(first.values())
 
 
 def topic_labels(topics: list[dict]) -> list[tuple[str, int, str, str]]:
