@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import facts, query, table, trigger_rows
-from .operators import components, concepts, decisions, entities, flow, matching, ordering, rules, strong
+from .operators import components, concepts, decisions, entities, flow, matching, ordering, planning, rules, strong
 from .plans import cached
 from .providers import Stub
 from .session import checkpoint_dir
@@ -174,3 +174,53 @@ def cached_results(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "text")
     cached.cached_stage(d.filter(F.length("text") % 2 == 0), path, "atomize", Stub(), "text", "doc_id", ("digest",))
     return cached.cached_stage(d, path, "atomize", Stub(), "text", "doc_id", ("digest",))[0].select("doc_id", F.get_json_object("result", "$.digest").alias("digest"), "from_version")
+
+
+#: Rule tables of the planned turns.
+PLANNING = planning.Planning(
+    templates={
+        "S01": planning.Template(("hook", "explanation", "check_question"), 120, False),
+        "S02": planning.Template(("hint", "check_question"), 60, True),
+        "S03": planning.Template(("explanation", "worked_solution", "recap"), 200),
+        "S04": planning.Template(("quiz_question", "quiz_answer_key"), 80, True),
+        "S05": planning.Template(("worked_solution",), 90, False),
+        "S06": planning.Template(("feedback", "steps", "next_question", "check_question"), 100),
+    },
+    supporting={"S01": ("explanation", False), "S02": ("hint", False), "S03": ("worked_solution", False), "S04": ("quiz_question", False), "S05": ("recap", False), "S06": ("feedback", True)},
+    blocks={
+        "hook": (), "explanation": (), "check_question": ("question",), "hint": ("hint",), "worked_solution": ("solution",), "recap": (),
+        "quiz_question": ("question",), "quiz_answer_key": ("solution", "answer_key"), "feedback": (), "steps": ("steps",), "next_question": ("question",),
+    },
+    wording={"beginner": "plain words", "advanced": "terms"},
+)
+
+
+@query("""WITH tpl(s, blocks, max_words, wait) AS (VALUES ('S01', ['hook', 'explanation', 'check_question'], 120, false), ('S02', ['hint', 'check_question'], 60, true),
+ ('S03', ['explanation', 'worked_solution', 'recap'], 200, NULL), ('S04', ['quiz_question', 'quiz_answer_key'], 80, true), ('S05', ['worked_solution'], 90, false),
+ ('S06', ['feedback', 'steps', 'next_question', 'check_question'], 100, NULL)),
+sup(s, block, replies) AS (VALUES ('S01', 'explanation', false), ('S02', 'hint', false), ('S03', 'worked_solution', false), ('S04', 'quiz_question', false), ('S05', 'recap', false), ('S06', 'feedback', true)),
+t AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, turn % 2 = 0 AS attempt, 'S0' || (n % 7 + 1) AS first, ['S0' || (n % 5 + 1), 'S0' || (n % 8 + 1), 'S0' || (turn % 6 + 1)] AS others, n % 3 <> 0 AS full_ok, n % 5 <> 0 AS direct_ok FROM conversations),
+k AS (SELECT row_number() OVER () AS id, t.*, tpl.*, coalesce(wait, attempt) AS waits FROM t LEFT JOIN tpl ON first = s),
+o AS (SELECT id, unnest(others) AS strategy, generate_subscripts(others, 1) AS pos FROM k WHERE blocks IS NOT NULL),
+x AS (SELECT o.id, o.pos, o.strategy, sup.block, sup.s IS NULL AS unknown, waits AND replies AS later, list_contains(blocks, sup.block) AS inside FROM o JOIN k USING (id) LEFT JOIN sup ON o.strategy = sup.s),
+a AS (SELECT id, block, 100 + min(pos) AS pos FROM x WHERE NOT unknown AND NOT inside AND NOT later GROUP BY ALL),
+b AS (SELECT id, unnest(blocks) AS block, generate_subscripts(blocks, 1) AS pos FROM k UNION ALL SELECT id, block, pos FROM a),
+f AS (SELECT b.*, block IN ('worked_solution', 'quiz_answer_key') AS solution, block LIKE '%question' AS question, full_ok, direct_ok, bool_or(block = 'hint') OVER (PARTITION BY id) AS hinted FROM b JOIN k USING (id)),
+g AS (SELECT *, CASE WHEN solution AND NOT full_ok THEN 'full_solution_withheld' WHEN solution AND NOT direct_ok THEN 'direct_answer_prohibited' WHEN block = 'quiz_answer_key' THEN 'quiz_answer_withheld'
+ WHEN hinted AND (solution OR block = 'steps') THEN 'hint_first_and_full_solution_same_turn' WHEN question AND row_number() OVER (PARTITION BY id, question ORDER BY pos) > 1 THEN 'max_questions' END AS gone FROM f),
+p AS (SELECT id, list(block ORDER BY question, pos) AS kept, bool_or(solution) AS states FROM g WHERE gone IS NULL GROUP BY id),
+r AS (SELECT k.*, coalesce(kept, [coalesce(list_filter(blocks, lambda z: z LIKE '%question')[1], 'single_check_question')]) AS plan, kept IS NULL AS bare, coalesce(states, false) AS states FROM k LEFT JOIN p USING (id)),
+n AS (SELECT id, gone || ' ' || block AS said FROM g WHERE gone IS NOT NULL UNION ALL SELECT id, 'unknown_supporting_strategy ' || strategy FROM x WHERE unknown UNION ALL SELECT id, 'deferred_to_next_turn ' || block FROM x WHERE later AND NOT inside
+ UNION ALL SELECT id, 'empty_structure_recovered ' || plan[1] FROM r WHERE bare AND blocks IS NOT NULL UNION ALL SELECT id, 'full_solution_not_stated_this_turn' FROM r WHERE full_ok AND NOT states AND blocks IS NOT NULL
+ UNION ALL SELECT id, 'no_template ' || first FROM k WHERE blocks IS NULL),
+m AS (SELECT id, list(said ORDER BY said) AS actions FROM n GROUP BY id)
+SELECT conv_id, turn, first AS primary_strategy, CASE WHEN blocks IS NOT NULL THEN array_to_string(plan, ' ') END AS structure, max_words, CASE WHEN blocks IS NOT NULL THEN waits END AS waits, blocks IS NOT NULL AND full_ok AND states AS full_solution,
+ CASE WHEN turn % 3 = 0 THEN 'terms' ELSE 'plain words' END AS wording, coalesce(array_to_string(actions, ', '), '') AS actions FROM r LEFT JOIN m USING (id)""")
+def response_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation turn's plan: strategies and constraints come from the turn's length and place."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    named = lambda c: F.concat(F.lit("S0"), (c + 1).cast("string"))
+    t = table(spark, sf, "conversations").select("conv_id", "turn", named(n % 7).alias("primary"), F.array(named(n % 5), named(n % 8), named(F.col("turn") % 6)).alias("supporting"), (n % 5 != 0).alias("direct"), (n % 3 != 0).alias("full"), (F.col("turn") % 2 == 0).alias("attempt"), F.when(F.col("turn") % 3 == 0, F.lit("advanced")).alias("level"))
+    said = F.array_sort(F.transform("actions", lambda a: F.concat_ws(" ", a["rule"], a["block"])))
+    p = planning.plan_responses(t, PLANNING)
+    return p.select("conv_id", "turn", F.col("primary").alias("primary_strategy"), F.when(F.col("structure").isNotNull(), F.concat_ws(" ", "structure")).alias("structure"), "max_words", "waits", "full_solution", "wording", F.concat_ws(", ", said).alias("actions"))
