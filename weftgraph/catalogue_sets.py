@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import facts, query, table, trigger_rows
-from .operators import components, concepts, decisions, entities, flow, matching, ordering, planning, rules, strong
+from .operators import components, concepts, decisions, entities, flow, integrity, matching, ordering, planning, rules, strong
 from .plans import cached
 from .providers import Stub
 from .session import checkpoint_dir
@@ -224,3 +224,30 @@ def response_plans(spark: SparkSession, sf: str) -> DataFrame:
     said = F.array_sort(F.transform("actions", lambda a: F.concat_ws(" ", a["rule"], a["block"])))
     p = planning.plan_responses(t, PLANNING)
     return p.select("conv_id", "turn", F.col("primary").alias("primary_strategy"), F.when(F.col("structure").isNotNull(), F.concat_ws(" ", "structure")).alias("structure"), "max_words", "waits", "full_solution", "wording", F.concat_ws(", ", said).alias("actions"))
+
+
+#: What the tables are held to here: some of it holds, some does not.
+DECLARED = integrity.Declared(
+    rows={"documents": "doc_id", "labels": "doc_id", "customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "conversations": "conv_id"},
+    keys=[("orders", "o_orderkey"), ("orders", "o_custkey"), ("conversations", "conv_id")],
+    references=[("documents", "doc_id", "labels", "doc_id"), ("customer", "c_custkey", "orders", "o_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey")],
+    allowed=[("orders", "o_orderstatus", ["F", "O"]), ("conversations", "role", ["user", "assistant"])],
+    required=[("documents", "text"), ("documents", "source"), ("conversations", "text")],
+)
+
+
+@query("""WITH k AS (SELECT 'orders' AS t, 'o_orderkey' AS c, CAST(o_orderkey AS VARCHAR) AS v, CAST(o_orderkey AS VARCHAR) AS r FROM orders UNION ALL SELECT 'orders', 'o_custkey', CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR) FROM orders
+ UNION ALL SELECT 'conversations', 'conv_id', CAST(conv_id AS VARCHAR), CAST(conv_id AS VARCHAR) FROM conversations),
+f AS (SELECT t, c, CASE WHEN v IS NULL THEN 'missing key' ELSE 'duplicate key' END AS p, v, count(*) AS n, min(r) AS r FROM k GROUP BY t, c, v HAVING v IS NULL OR count(*) > 1
+UNION ALL SELECT 'documents', 'doc_id', 'unknown in labels.doc_id', CAST(doc_id AS VARCHAR), count(*), CAST(doc_id AS VARCHAR) FROM documents d WHERE doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY doc_id
+UNION ALL SELECT 'customer', 'c_custkey', 'unknown in orders.o_custkey', CAST(c_custkey AS VARCHAR), count(*), CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_custkey
+UNION ALL SELECT 'lineitem', 'l_orderkey', 'unknown in orders.o_orderkey', CAST(l_orderkey AS VARCHAR), count(*), CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) GROUP BY l_orderkey
+UNION ALL SELECT 'orders', 'o_orderstatus', 'not allowed', o_orderstatus, count(*), min(CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_orderstatus NOT IN ('F', 'O', 'any') GROUP BY o_orderstatus
+UNION ALL SELECT 'conversations', 'role', 'not allowed', role, count(*), min(CAST(conv_id AS VARCHAR)) FROM conversations WHERE role NOT IN ('user', 'assistant', 'any') GROUP BY role
+UNION ALL SELECT 'documents', 'text', 'missing value', text, count(*), min(CAST(doc_id AS VARCHAR)) FROM documents WHERE text IS NULL OR trim(text) = '' GROUP BY text
+UNION ALL SELECT 'documents', 'source', 'missing value', source, count(*), min(CAST(doc_id AS VARCHAR)) FROM documents WHERE source IS NULL OR trim(source) = '' GROUP BY source
+UNION ALL SELECT 'conversations', 'text', 'missing value', text, count(*), min(CAST(conv_id AS VARCHAR)) FROM conversations WHERE text IS NULL OR trim(text) = '' GROUP BY text)
+SELECT t AS "table", c AS "column", p AS problem, v AS value, n AS n_rows, r AS first_row FROM f""")
+def table_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys, references, allowed and required values of six tables in one report."""
+    return integrity.table_findings({t: table(spark, sf, t) for t in DECLARED.rows}, DECLARED)
