@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalogue import facts, query, table, trigger_rows
 from .operators import components, concepts, decisions, entities, flow, integrity, matching, ordering, planning, rules, strong
-from .plans import cached
-from .providers import Stub
+from .plans import cached, mapping
+from .providers import Stub, WordStub
 from .session import checkpoint_dir
 from .streaming import fanout
 
@@ -176,6 +176,24 @@ def cached_results(spark: SparkSession, sf: str) -> DataFrame:
     return cached.cached_stage(d, path, "atomize", Stub(), "text", "doc_id", ("digest",))[0].select("doc_id", F.get_json_object("result", "$.digest").alias("digest"), "from_version")
 
 
+@query("""WITH t AS (SELECT conv_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{6,}') AS ws, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS u FROM conversations),
+w AS (SELECT conv_id, u, i, ws[i] AS word FROM t, unnest(range(1, len(ws) + 1)) AS r(i)),
+k AS (SELECT conv_id, lower(word) AS k, arg_min(word, u * 10000000 + i) AS name, min(u * 10000000 + i) AS first FROM w GROUP BY ALL),
+n AS (SELECT *, printf('C%03d', row_number() OVER (PARTITION BY conv_id ORDER BY first)) AS label FROM k)
+SELECT conv_id, label, name, NULL AS target FROM n
+UNION ALL SELECT DISTINCT a.conv_id, x.label, x.name, y.label FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.u = b.u AND b.i = a.i + 1
+JOIN n x ON x.conv_id = a.conv_id AND x.k = lower(a.word) JOIN n y ON y.conv_id = b.conv_id AND y.k = lower(b.word) WHERE x.label <> y.label""")
+def proposed_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Each conversation's map by the stub, concepts in batches of turns with a roster, then edges."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("course"), place.alias("ordinal"), F.col("turn").alias("chunk_id"), "text")
+    made = mapping.propose_map(turns, WordStub(), path, ("leads_to",))
+    nodes = made.nodes.select("course", "label", "name", F.lit(None).cast("string").alias("target"))
+    edges = made.edges.select("course", F.col("source").alias("label"), "target").join(made.nodes.select("course", "label", "name"), ["course", "label"])
+    return nodes.unionByName(edges).select(F.col("course").cast("long").alias("conv_id"), "label", "name", "target")
+
+
 #: Rule tables of the planned turns.
 PLANNING = planning.Planning(
     templates={

@@ -19,7 +19,13 @@ def empty_store(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], TOKENS), spark.createDataFrame([], NODES)
 
 
-def consolidate_concepts(concepts: DataFrame, tokens: DataFrame, nodes: DataFrame, key=tx.plain_text) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scoped(by: str | None, value: Column) -> Column:
+    """``value`` as a token of its ``by`` (null: of all); null where it is empty."""
+    full = F.when(F.coalesce(value, F.lit("")) != "", value)
+    return full if by is None else F.when(full.isNotNull(), F.to_json(F.array(F.col(by).cast("string"), full)))
+
+
+def consolidate_concepts(concepts: DataFrame, tokens: DataFrame, nodes: DataFrame, key=tx.plain_text, by: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A batch of ``pos, raw_id, name, name_th`` against what is stored: ``(assigned, tokens, nodes)``.
 
     A concept has three tokens, looked for in this order: its name, its other
@@ -30,14 +36,15 @@ def consolidate_concepts(concepts: DataFrame, tokens: DataFrame, nodes: DataFram
     ``pos, canonical`` (null where the name is empty); canonical numbers go on from
     the stored ones in order of ``pos``, which must rise from batch to batch.  A
     concept's other name is the first that any of its members has.
+    Names hold within a ``by`` where one is given.
     The result does not depend on how concepts are split into batches.
     """
     full = lambda c: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.col(c))
-    usable = cut(concepts.select("pos", "raw_id", full("name").alias("name"), full("name_th").alias("name_th")))
+    usable = cut(concepts.select("pos", *([by] if by else []), "raw_id", full("name").alias("name"), full("name_th").alias("name_th")))
     named = usable.filter("name is not null")
 
     def token(rank: int, kind: str, value: Column) -> Column:
-        return F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), value.alias("token"))
+        return F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), scoped(by, value).alias("token"))
 
     each = named.select("pos", F.explode(F.array(token(0, "key", key(F.col("name"))), token(1, "key", key(F.col("name_th"))), token(2, "id", F.col("raw_id").cast("string")))).alias("t")).select("pos", "t.*").filter("coalesce(token, '') <> ''")
     each = cut(each)

@@ -39,6 +39,19 @@ class Stub:
         return [k.hashed_vector(t) for t in texts]
 
 
+class WordStub:
+    """An offline model of maps: a passage's words of six Latin letters or more are its concepts, each leads to the next of its unit."""
+
+    def complete(self, system: str, user: str) -> tuple[str, int, int]:
+        passage = user.split("\n\nPassage\n", 1)[-1]
+        units = [re.findall("[A-Za-z]{6,}", u.partition("\n")[2]) for u in re.split(r"(?:^|\n\n)=== ", passage)[1:]]
+        if '"edges"' in system:
+            found = {"edges": [{"from_id": a, "to_id": b, "relation": "leads_to"} for ws in units for a, b in zip(ws, ws[1:])]}
+        else:
+            found = {"concepts": [{"id": "", "name": w} for ws in units for w in ws]}
+        return json.dumps(found), len(user.split()), len(passage.split())
+
+
 def call_stage(df: DataFrame, stage: str, provider: Completion, prompt: str, key: str, required: tuple[str, ...], attempts: int = 2, system: str = "") -> DataFrame:
     """A row per attempt: ``key, attempt_no, outcome, result, tokens``; the last one of a key is its outcome.
 
