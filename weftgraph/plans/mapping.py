@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import concepts as cs
-from ..operators.components import COPIES
 from ..operators.ordering import numbered
 from ..operators.segment import batches
 from ..providers import Completion
@@ -59,7 +58,7 @@ def _prompts(passages: DataFrame, labelled: DataFrame, how: str) -> DataFrame:
 
 def _resolved(ends: DataFrame, labelled: DataFrame, tokens: DataFrame, key) -> DataFrame:
     """``course, raw, label``: what each end names, by label, else by a concept's own id, else by name; null if nothing."""
-    keyed = cut(ends.withColumns({"_id": cs.scoped("course", F.col("raw")), "_key": cs.scoped("course", key(F.col("raw")))}))
+    keyed = ends.withColumns({"_id": cs.scoped("course", F.col("raw")), "_key": cs.scoped("course", key(F.col("raw")))})
     labels = labelled.select("course", F.col("label").alias("raw"), F.col("canonical").alias("_a"))
     ids, names = (tokens.filter(F.col("kind") == kind).select(F.col("token").alias(on), F.col("canonical").alias(to)) for kind, on, to in (("id", "_id", "_b"), ("key", "_key", "_c")))
     met = keyed.join(labels, ["course", "raw"], "left").join(ids, "_id", "left").join(names, "_key", "left")
@@ -67,10 +66,8 @@ def _resolved(ends: DataFrame, labelled: DataFrame, tokens: DataFrame, key) -> D
 
 
 def _with_end(edges: DataFrame, known: DataFrame, end: str, name: str) -> DataFrame:
-    """Adds an end's label; a concept that most edges name is met by several tasks."""
-    spread = edges.withColumn("_salt", F.pmod(F.xxhash64("batch", "place"), F.lit(COPIES)).cast("int"))
-    copies = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).select("course", F.col("raw").alias(end), F.col("label").alias(name), "_salt")
-    return spread.join(copies.hint("merge"), ["course", end, "_salt"]).drop("_salt")
+    """Adds an end's label.  Both sides are sorted, so that adaptive execution can split a concept that most edges name."""
+    return edges.join(known.select("course", F.col("raw").alias(end), F.col("label").alias(name)).hint("merge"), ["course", end])
 
 
 def propose_map(chunks: DataFrame, provider: Completion, path: str, relations: Sequence[str], budget: int = 2500, courses: DataFrame | None = None, model: str = "default", key=tx.plain_text) -> Proposed:
@@ -132,7 +129,7 @@ def propose_map(chunks: DataFrame, provider: Completion, path: str, relations: S
     sound = F.forall("es", lambda e: F.coalesce(e["relation"].isin(*relations) & e["from_id"].isNotNull() & e["to_id"].isNotNull(), F.lit(False)))
     replies = cut(replies.withColumn("es", F.when(sound, F.col("es"))))
     notes.append(note(replies.filter("es is null"), "KX004"))
-    raw = cut(replies.select("course", "batch", F.posexplode("es").alias("place", "e")).select("course", "batch", "place", "e.*"))
+    raw = replies.select("course", "batch", F.posexplode("es").alias("place", "e")).select("course", "batch", "place", "e.*")
     ends = raw.select("course", F.explode(F.array("from_id", "to_id")).alias("raw")).distinct()
     known = cut(_resolved(ends, labelled, tokens, key))
     judged = cut(_with_end(_with_end(raw, known, "from_id", "source"), known, "to_id", "target"))
