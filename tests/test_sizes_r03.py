@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from weftgraph import catalogue
-from weftgraph.operators import reasoner
+from weftgraph.operators import components, reasoner, strong
 
 def _join_rows(df):
     """Rows that came out of each join of a collected plan."""
@@ -52,3 +52,31 @@ def test_nearest_pairs_no_item_with_its_group(spark):
     assert len(got) == 6000 and sorted(got[0]) == [(1, 100), (2, 100), (3, 100)] and sorted(got[5000]) == [(0, 100), (1, 100), (2, 100)]
     joined = [m for m in _join_rows(near)]
     assert joined and max(joined) <= 10 * 6000
+
+
+def _ring_with_tails(n):
+    """A ring of n nodes with two chords, a tail in and a tail out, and a ring apart."""
+    ring = [(k, (k + 1) % n) for k in range(n)] + [(3, n // 2), (n // 2, 3)]
+    tails = [(1000 + k, 1001 + k) for k in range(40)] + [(1040, 0), (5, 2000)] + [(2000 + k, 2001 + k) for k in range(40)]
+    return ring + tails + [(3000 + k, 3000 + (k + 1) % n) for k in range(n)]
+
+
+def test_rounds_of_strong_components_grow_with_choices_not_with_nodes(spark, monkeypatch):
+    n = 300
+    e = spark.createDataFrame(_ring_with_tails(n), "source long, target long")
+    cuts, real = [], strong.cut
+    monkeypatch.setattr(strong, "cut", lambda df: cuts.append(1) or real(df))
+    got = {x.node: x.root for x in strong.strong_components(e, 10).collect()}
+    assert got == {k: 0 for k in range(n)} | {3000 + k: 3000 for k in range(n)}
+    assert len(cuts) < 90  # a step a node takes some 600
+
+
+def test_joins_of_hot_keys_are_joins(spark, monkeypatch):
+    monkeypatch.setattr(components, "PLAIN", 5)
+    many = spark.createDataFrame([(k % 3, "x" if k % 5 else "y", k) for k in range(60)] + [(None, "x", 1)], "a long, b string, v long")
+    one = many.dropna().select("a", "b").distinct().withColumn("w", F.col("a") * 10)
+    hot = components.hot_keys(many, ["a", "b"])
+    assert sorted(hot) == [(0, "x"), (1, "x"), (2, "x")] and components.hot_keys(many, ["a"], 5) == []
+    want = sorted(map(tuple, many.join(one, ["a", "b"]).select("a", "b", "v", "w").collect()))
+    for h in (None, [], hot):
+        assert sorted(map(tuple, components.join_spread(many, one, ["a", "b"], h).select("a", "b", "v", "w").collect())) == want

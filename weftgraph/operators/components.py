@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +17,32 @@ SALTS = 64
 HUB_BITS = 20
 #: Copies of the one side where all its keys are spread.
 COPIES = 16
+#: A key of up to this many rows is joined by one task.
+PLAIN = 1_000_000
+
+
+def hot_keys(many: DataFrame, keys: list[str], rows: int | None = None) -> list[tuple]:
+    """Keys with more than ``PLAIN`` rows: one in a million rows at most.  ``rows`` spares the look where there are no more in all."""
+    if rows is not None and rows <= PLAIN:
+        return []
+    return [tuple(r) for r in many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > PLAIN).select(*keys).collect()]
 
 
-def join_spread(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+def join_spread(many: DataFrame, one: DataFrame, keys: list[str], hot: list[tuple] | None = None) -> DataFrame:
     """``many`` joined with the small ``one``, which has a row per key: every key is dealt over ``COPIES`` tasks.
 
     For tables of links and groups, far smaller than the corpus, where a look for hubs would cost more.
+    Where ``hot`` names the keys with very many rows only those are dealt and copied, for loops over whole tables.
     Nothing is broadcast, however small it looks: loops of such joins would fill the driver.
     """
-    spread = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(COPIES)).cast("int"))
-    return spread.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).hint("merge"), [*keys, "_salt"]).drop("_salt")
+    salt = F.pmod(F.xxhash64(*many.columns), F.lit(COPIES)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(COPIES - 1))
+    if hot is not None:
+        if not hot:
+            return many.join(one.hint("merge"), keys)
+        marked = reduce(or_, (reduce(and_, (F.col(c) == F.lit(v) for c, v in zip(keys, key))) for key in hot))
+        salt, every = F.when(marked, salt).otherwise(0), F.when(marked, every).otherwise(F.array(F.lit(0)))
+    return many.withColumn("_salt", salt).join(one.withColumn("_salt", F.explode(every)).hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def join_hubs(many: DataFrame, one: DataFrame, keys: list[str], size: str = "n", how: str = "inner") -> DataFrame:
@@ -47,18 +66,19 @@ def join_hubs(many: DataFrame, one: DataFrame, keys: list[str], size: str = "n",
     return spread.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Link each larger neighbour of a node to the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.max("b").alias("most")).filter("most > a").drop("most")
-    return join_spread(both.filter("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    up = both.filter("b > a")
+    return join_spread(up, least, ["a"], hot_keys(up, ["a"], rows)).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Link a node's smaller neighbours, and itself, to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = join_spread(down, least, ["a"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = join_spread(down, least, ["a"], hot_keys(down, ["a"], rows)).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -76,7 +96,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        now = cut(_small_star(_large_star(now)).filter("a <> b").distinct())
+        now = cut(_small_star(_large_star(now, mark[0]), mark[0]).filter("a <> b").distinct())
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -93,10 +113,11 @@ def extend_components(roots: DataFrame, links: DataFrame) -> DataFrame:
     stored = roots.select(F.col("node"), F.col("root"))
     owner = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(stored, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNull().alias("fresh"))
     owner = cut(owner)
-    put = lambda df, c: join_spread(df, owner.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), [c])
+    n = ends.count()
+    put = lambda df, c: join_spread(df, owner.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), [c], hot_keys(ends, [c], n))
     contracted = put(put(ends, "a"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct()
     moved = cut(connected_components(contracted).filter("node <> root"))
-    touched = join_spread(stored, moved.select(F.col("node").alias("root"), F.col("root").alias("_new")), ["root"]).select("node", F.col("_new").alias("root"))
+    touched = join_spread(stored, moved.select(F.col("node").alias("root"), F.col("root").alias("_new")), ["root"], hot_keys(stored, ["root"])).select("node", F.col("_new").alias("root"))
     fresh = owner.filter("fresh").select("node").join(moved, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return touched.unionByName(fresh)
 

@@ -147,9 +147,11 @@ def cycles(edges: DataFrame, longest: int = 4, limit: int | None = 5) -> DataFra
     return out.limit(limit) if limit else out
 
 
-def core_edges(edges: DataFrame, local: int | None = None) -> DataFrame:
+def core_edges(edges: DataFrame, local: int | None = None, share: float = 1.0) -> DataFrame:
     """Edges ``source, target`` left when sources and sinks are peeled until nothing changes; none if acyclic.
 
+    With a ``share`` below 1 joins stop early, after one that leaves more than that.
+
     Above ``local`` edges a round is a join; below, the rest is peeled on the
     driver.  What stays when a join changes nothing is never collected.
     """
@@ -160,7 +162,7 @@ def core_edges(edges: DataFrame, local: int | None = None) -> DataFrame:
         sources, targets = e.select(F.col("source").alias("target")).distinct(), e.select(F.col("target").alias("source")).distinct()
         e = cut(e.join(targets, "source", "left_semi").join(sources, "target", "left_semi").select("source", "target"))
         was, n = n, e.count()
-        if n == was:
+        if n > local and n >= was * share:
             return e
     after, before = defaultdict(set), defaultdict(set)
     for a, b in e.collect():  # local edges at most
