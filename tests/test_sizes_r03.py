@@ -80,3 +80,9 @@ def test_joins_of_hot_keys_are_joins(spark, monkeypatch):
     want = sorted(map(tuple, many.join(one, ["a", "b"]).select("a", "b", "v", "w").collect()))
     for h in (None, [], hot):
         assert sorted(map(tuple, components.join_spread(many, one, ["a", "b"], h).select("a", "b", "v", "w").collect())) == want
+
+
+def test_star_contractions_copy_nothing_without_hot_keys(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(50)], "a long, b long")
+    for star in (components._large_star, components._small_star):
+        assert "_salt" not in star(edges, 50)._jdf.queryExecution().analyzed().toString()
