@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from weftgraph import catalogue
-from weftgraph.operators import components, reasoner, strong
+from weftgraph.operators import components, entities, reasoner, strong
 
 def _join_rows(df):
     """Rows that came out of each join of a collected plan."""
@@ -86,3 +86,17 @@ def test_star_contractions_copy_nothing_without_hot_keys(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(50)], "a long, b long")
     for star in (components._large_star, components._small_star):
         assert "_salt" not in star(edges, 50)._jdf.queryExecution().analyzed().toString()
+
+
+def test_quotes_leave_the_scan_with_their_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(entities, "QUOTE_BYTES", 40)
+    r = random.Random(4)
+    words = ["é", "ab", "c", "", "ñandú"]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 25))) for _ in range(60)] + [None, "", "a  b"]
+    quotes = [t[i : i + r.randint(1, 30)] for t in texts[:40] for i in [r.randrange(len(t) + 1)]] + ["", "x y z u v w", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").repartition(2)
+    q = spark.createDataFrame(list(enumerate(quotes)), "item_id long, q string")
+    met = entities.quotes_met(q, d, "item_id", "doc_id")
+    want = sorted((i, j, x, t) for i, x in enumerate(quotes) for j, t in enumerate(texts) if x is not None and t is not None and x in t)
+    assert sorted(map(tuple, met.collect())) == want
+    assert "xxhash64" not in met._jdf.queryExecution().optimizedPlan().toString()  # no row for each run of words
