@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph import catalogue
-from weftgraph.operators import components, entities, reasoner, strong
+from weftgraph.functions import text as tx
+from weftgraph.operators import components, entities, reasoner, retrieval, strong
 
 def _join_rows(df):
     """Rows that came out of each join of a collected plan."""
@@ -100,3 +102,23 @@ def test_quotes_leave_the_scan_with_their_texts_only(spark, monkeypatch):
     want = sorted((i, j, x, t) for i, x in enumerate(quotes) for j, t in enumerate(texts) if x is not None and t is not None and x in t)
     assert sorted(map(tuple, met.collect())) == want
     assert "xxhash64" not in met._jdf.queryExecution().optimizedPlan().toString()  # no row for each run of words
+
+
+def test_hybrid_topk_of_odd_vectors_in_tiles(spark, monkeypatch):
+    """Copies, missing vectors and parts, other lengths: ranked as the product of every pair ranks them, and no pair is a row."""
+    monkeypatch.setattr(retrieval, "TILE", 3)
+    r = random.Random(8)
+    vectors = [[r.uniform(-1, 1) for _ in range(4)] for _ in range(40)]
+    vectors += [vectors[0]] * 30 + [None, [0.5, None, 0.1, 0.2], [0.5, 0.5], [], [float("nan"), 0.0, 0.0, 1.0]] + vectors[5:10]
+    e = spark.createDataFrame([(k, v, k % 3) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").repartition(3)
+    q = e.filter("vec_id % 7 = 0 or vec_id >= 70").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("query_label"))
+    c = e.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    same = F.when(F.col("query_label") == F.col("label"), 1.0).otherwise(0.0)
+    pairs = q.crossJoin(c).select("query_id", "chunk_id", tx.dot(F.col("query_embedding"), F.col("embedding")).alias("cosine"), same.alias("keyword"))
+    near = pairs.withColumn("near", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id"))).filter("near <= 8")
+    score = near.withColumn("score", F.round(F.lit(0.75) * F.col("cosine") + F.lit(0.25) * F.col("keyword"), 6))
+    want = score.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "near"))).filter("rank <= 2")
+    columns = ["query_id", "chunk_id", "cosine", "keyword", "score", "rank"]
+    got = retrieval.hybrid_topk(q, c, 2, keyword=same)
+    assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()

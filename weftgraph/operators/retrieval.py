@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
 #: queries that are broadcast at once: some 5 MB of 64 floats
 BLOCK = 20_000
+#: queries whose products with a batch of chunks are held at once
+TILE = 64
 
 
 def scan(chunks: DataFrame, lang: str | None = None, topic: str | None = None) -> DataFrame:
@@ -28,8 +35,8 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, over: int = 4
     ``vector * cosine + (1 - vector) * keyword`` rounded to 6 places; ties keep
     the vector order.  Queries are broadcast in blocks of about ``block``, dealt
     by a hash of their id; each block scans the chunks once and only ``over * k``
-    rows a query and task leave the scan (the rank filter is pushed below the
-    exchange as a group limit).
+    rows a query and batch of chunks leave the scan.  Every query meets every chunk:
+    the products of a tile of both are added up in order, as ``text.dot`` adds them.
     """
     blocks = -(-queries.count() // block)
     if blocks > 1:
@@ -38,14 +45,86 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, over: int = 4
     return _topk(queries, chunks, k, over, vector, keyword)
 
 
+def _vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: rows and matrix of the vectors without nulls."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    full = np.nan_to_num(lengths, nan=0).astype(np.int64)
+    begins = np.cumsum(full) - full
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    holes = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+    sound = column.is_valid().to_numpy(zero_copy_only=False) & (holes[begins + full] == holes[begins])
+    out = {}
+    for size in np.unique(full[sound]).tolist():
+        rows = np.flatnonzero(sound & (full == size))
+        out[size] = rows, values[begins[rows][:, None] + np.arange(size)]
+    return out
+
+
+def _nearest(wanted: int, table, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``wanted`` nearest chunks of a batch to each query, ties by ``chunk_id``; missing products last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, queries = table.value
+        for b in batches:
+            b = b.take(pc.sort_indices(b, sort_keys=[("chunk_id", "ascending")], null_placement="at_start"))
+            have = _vectors(b.column("embedding"))
+            rest = b.select(names)
+            covered = []
+            for size, (numbers, q) in queries.items():
+                covered.append(numbers)
+                rows, c = have.get(size, (np.zeros(0, dtype=np.int64), np.zeros((0, size))))
+                for begin in range(0, len(numbers), TILE):
+                    part = q[begin : begin + TILE]
+                    sums, product = np.zeros((len(part), len(rows))), np.empty((len(part), len(rows)))
+                    for d in range(size):
+                        np.multiply(part[:, d : d + 1], c[:, d], out=product)
+                        sums += product
+                    found = []
+                    for i in range(len(part)):
+                        cosine = np.full(len(b), -np.inf)
+                        cosine[rows] = sums[i]
+                        found.append((numbers[begin + i], *_first(cosine, wanted)))
+                    yield _batch(found, rest, np.isin(np.arange(len(b)), rows))
+            blank = np.setdiff1d(np.arange(total), np.concatenate(covered) if covered else [])
+            for begin in range(0, len(blank), TILE):  # queries without a whole vector
+                head = np.arange(min(wanted, len(b)))
+                yield _batch([(i, head, np.zeros(len(head))) for i in blank[begin : begin + TILE]], rest, np.zeros(len(b), dtype=bool))
+
+    return run
+
+
+def _first(cosine: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    key = np.where(np.isnan(cosine), np.inf, cosine)
+    at = np.arange(len(key))
+    if wanted < len(key):
+        at = np.flatnonzero(key >= np.partition(key, len(key) - wanted)[len(key) - wanted])
+    at = at[np.argsort(-key[at], kind="stable")][:wanted]
+    return at, cosine[at]
+
+
+def _batch(found: list, rest: pa.RecordBatch, sound: np.ndarray) -> pa.RecordBatch:
+    at, cosine = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+    number = np.repeat(np.array([f[0] for f in found], dtype=np.int64), [len(f[1]) for f in found])
+    rows = rest.take(pa.array(at))
+    return pa.RecordBatch.from_arrays([pa.array(number), pa.array(cosine, mask=~sound[at]), *rows.columns], names=["_q", "cosine", *rest.schema.names])
+
+
 def _topk(queries: DataFrame, chunks: DataFrame, k: int, over: int, vector: float, keyword: Column | None) -> DataFrame:
-    pairs = chunks.join(F.broadcast(queries))
-    cosine = tx.dot(F.col("query_embedding"), F.col("embedding"))
-    word = keyword if keyword is not None else tx.overlap(F.col("query_features"), F.col("features"))
-    scored = pairs.select("query_id", "chunk_id", cosine.alias("cosine"), word.cast("double").alias("keyword"))
+    spark = chunks.sparkSession
+    asked = queries.toArrow().combine_chunks()  # a block
+    asked = asked.append_column("_q", pa.array(np.arange(len(asked))))
+    column = asked.column("query_embedding").combine_chunks()
+    table = spark.sparkContext.broadcast((len(asked), _vectors(column) if len(asked) else {}))
+    names = [c for c in chunks.columns if c != "embedding"]
+    schema = T.StructType([T.StructField("_q", T.LongType()), T.StructField("cosine", T.DoubleType()), *(chunks.schema[c] for c in names)])
+    met = chunks.repartition(spark.sparkContext.defaultParallelism, "chunk_id").mapInArrow(_nearest(over * k, table, names), schema)
+    facts = spark.createDataFrame(asked.drop_columns(["query_embedding"]), T.StructType([*(f for f in queries.schema if f.name != "query_embedding"), T.StructField("_q", T.LongType())]))
     near = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")
-    first = scored.withColumn("near", F.row_number().over(near)).filter(F.col("near") <= over * k)
-    blended = first.withColumn("score", F.round(F.lit(vector) * F.col("cosine") + F.lit(1 - vector) * F.col("keyword"), 6))
+    first = met.join(F.broadcast(facts), "_q").withColumn("near", F.row_number().over(near)).filter(F.col("near") <= over * k)
+    word = keyword if keyword is not None else tx.overlap(F.col("query_features"), F.col("features"))
+    scored = first.select("query_id", "chunk_id", "cosine", word.cast("double").alias("keyword"), "near")
+    blended = scored.withColumn("score", F.round(F.lit(vector) * F.col("cosine") + F.lit(1 - vector) * F.col("keyword"), 6))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "near")
     return blended.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("near")
 
