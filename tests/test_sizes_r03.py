@@ -122,3 +122,23 @@ def test_hybrid_topk_of_odd_vectors_in_tiles(spark, monkeypatch):
     got = retrieval.hybrid_topk(q, c, 2, keyword=same)
     assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_topk_in_tiles_shuffles_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CELLS", 60)
+    r = random.Random(6)
+    some = lambda n: sorted({r.choice("abcdefghijklmnop") for _ in range(r.randint(0, n))})
+    asked = [(k, some(9)) for k in range(13)] + [(20, []), (21, None), (22, ["zz"])]
+    docs = [(k, some(14)) for k in range(150)] + [(500, None), (501, ["q"])]
+    q = spark.createDataFrame(asked, "item_id long, fs array<string>")
+    d = spark.createDataFrame(docs, "doc_id long, fs array<string>").repartition(3)
+    want = []
+    for i, f in asked:
+        share = sorted(((-len(set(f or ()) & set(g or ())) / len(f) if f else -0.0, k) for k, g in docs))[:3]
+        want += [(i, k, -s + 0.0, n + 1) for n, (s, k) in enumerate(share)]
+    got = retrieval.overlap_topk(q, d, "item_id", "doc_id", 3)
+    assert sorted(map(tuple, got.select("item_id", "doc_id", "score", "rank").collect())) == sorted(want)
+    assert "count(1)" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    joined = retrieval.overlap_topk(q, d, "item_id", "doc_id", 3)
+    assert sorted(map(tuple, joined.select("item_id", "doc_id", "score", "rank").collect())) == sorted(want)

@@ -131,27 +131,81 @@ def _topk(queries: DataFrame, chunks: DataFrame, k: int, over: int, vector: floa
 
 #: Rows of a table that is broadcast once it has been counted.
 BROADCAST_ROWS = 500_000
+#: Counts of shared features that are held at once.
+CELLS = 1 << 21
 
 
 def overlap_topk(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
     """The ``k`` documents with the largest share of each query's distinct features ``fs``; ties by id.
 
     Queries of up to ``BROADCAST_ROWS`` features in all are broadcast after they are
-    counted, so that documents' features meet them where they are; more are joined
-    by shuffling both.  Shared features come from a join on the feature, counted before anything is
-    shuffled by pair.  Among the ``2 * k`` least ids there are ``k`` that share
+    counted; documents meet them in tiles of at most ``CELLS`` counts, and a batch of
+    documents sends its ``k`` best a query, so that no row of a pair is kept or
+    shuffled.  More are joined by shuffling both.  Among the ``2 * k`` least ids there are ``k`` that share
     nothing whenever fewer than ``k`` documents share something, so these
     stand in for all documents with score 0.
     """
     words = queries.select(query_id, F.size("fs").alias("_n"), F.explode("fs").alias("_f"))
-    words = F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
-    shared = docs.select(doc_id, F.explode("fs").alias("_f")).join(words, "_f").groupBy(query_id, doc_id).agg((F.count(F.lit(1)) / F.max("_n")).alias("score"))
+    if words.count() <= BROADCAST_ROWS:
+        shared = _shared(queries, docs, query_id, doc_id, k)
+    else:
+        shared = docs.select(doc_id, F.explode("fs").alias("_f")).join(words, "_f").groupBy(query_id, doc_id).agg((F.count(F.lit(1)) / F.max("_n")).alias("score"))
     none = queries.select(query_id).join(F.broadcast(docs.select(doc_id).orderBy(doc_id).limit(2 * k))).withColumn("score", F.lit(0.0))
     best = shared.unionByName(none).groupBy(query_id, doc_id).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _shared(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
+    """``query_id, doc_id, score`` of each batch's ``k`` documents with the largest share of a query, where it is over 0."""
+    asked = queries.filter("size(fs) > 0").select(query_id, "fs").toArrow().combine_chunks()
+    lists = asked.column("fs").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    code = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    owners = np.repeat(np.arange(len(sizes)), sizes)[order]
+    begins = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+    table = docs.sparkSession.sparkContext.broadcast((coded.dictionary, owners, begins, sizes, asked.column(query_id).combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, owners, begins, sizes, ids = table.value
+        n = len(sizes)
+        for b in batches if n else ():
+            b = b.take(pc.sort_indices(b, sort_keys=[(doc_id, "ascending")], null_placement="at_start"))
+            features = b.column("fs")
+            lengths = np.nan_to_num(pc.list_value_length(features).to_numpy(zero_copy_only=False)).astype(np.int64)
+            at = pc.fill_null(pc.index_in(features.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            row, at = np.repeat(np.arange(len(b)), lengths)[at >= 0], at[at >= 0]
+            many = begins[at + 1] - begins[at]
+            sums = np.concatenate([[0], np.cumsum(many)])
+            ends = np.searchsorted(row, np.arange(len(b)), side="right")
+            found, begin = [], 0
+            while begin < len(b):  # at most CELLS counts, and CELLS meetings or those of one document
+                first = ends[begin - 1] if begin else 0
+                end = min(begin + max(CELLS // n, 1), max(int(np.searchsorted(sums[ends], sums[first] + CELLS, side="right")), begin + 1), len(b))
+                last = ends[end - 1]
+                m = many[first:last]
+                posting = np.arange(sums[last] - sums[first]) + np.repeat(begins[at[first:last]] - (sums[first:last] - sums[first]), m)
+                counts = np.bincount(np.repeat(row[first:last] - begin, m) * n + owners[posting], minlength=(end - begin) * n).reshape(-1, n)
+                for _ in range(min(k, end - begin)):
+                    best = counts.argmax(axis=0)
+                    top = counts[best, np.arange(n)]
+                    asks = np.flatnonzero(top)
+                    found.append(np.stack([asks, top[asks], best[asks] + begin]))
+                    counts[best, np.arange(n)] = 0
+                begin = end
+            q, top, where = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+            order = np.lexsort([where, -top, q])
+            q, top, where = q[order], top[order], where[order]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, top, where = q[kept], top[kept], where[kept]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column(doc_id).take(pa.array(where)), pa.array(top / sizes[q])], names=[query_id, doc_id, "score"])
+
+    schema = T.StructType([queries.schema[query_id], docs.schema[doc_id], T.StructField("score", T.DoubleType())])
+    return docs.select(doc_id, "fs").mapInArrow(run, schema)
+
+
 def upsert(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Chunks keyed by chunk_id, the batch wins; a batch with an empty source is refused whole."""
     if not batch.filter("source_ref is null or source_ref = ''").isEmpty():
