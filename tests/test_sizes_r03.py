@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftgraph import catalogue
+from weftgraph import catalogue, providers
 from weftgraph.functions import text as tx
 from weftgraph.operators import components, entities, reasoner, retrieval, strong
 
@@ -142,3 +142,12 @@ def test_overlap_topk_in_tiles_shuffles_no_pair(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
     joined = retrieval.overlap_topk(q, d, "item_id", "doc_id", 3)
     assert sorted(map(tuple, joined.select("item_id", "doc_id", "score", "rank").collect())) == sorted(want)
+
+
+def test_calls_hand_replies_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(providers, "REPLY_BYTES", 300)
+    asked = spark.createDataFrame([(k, f"p{k}") for k in range(40)], "id int, prompt string").repartition(2)
+    calls = providers.call_stage(asked, "s", providers.Stub({"p7": "no"}), "prompt", "id", ("digest",))
+    rows = sorted(map(tuple, calls.select("id", "attempt_no", "outcome").collect()))
+    assert rows == sorted([(k, 1, "ok") for k in range(40) if k != 7] + [(7, 1, "invalid"), (7, 2, "invalid")])
+    assert "MapInArrow" in calls._jdf.queryExecution().executedPlan().toString()  # no frame of all texts of a batch

@@ -9,10 +9,15 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .functions import kernels as k
 
+#: Replies that a worker gathers before it hands them on.
+REPLY_BYTES = 4 << 20
+
 
 class Completion(Protocol):
     """A model call: prompt in, text and token counts out."""
@@ -56,13 +61,24 @@ def call_stage(df: DataFrame, stage: str, provider: Completion, prompt: str, key
     """A row per attempt: ``key, attempt_no, outcome, result, tokens``; the last one of a key is its outcome.
 
     A reply must be JSON (one code fence allowed) with the required keys;
-    otherwise the call is repeated with the reason added.
+    otherwise the call is repeated with the reason added.  A worker holds the prompts of
+    one batch as they came, one of them as a string, and replies of ``REPLY_BYTES``.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for item, text in zip(pdf[key], pdf[prompt]):
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, stage string, attempt_no int, outcome string, result string, input_tokens long, output_tokens long"
+    df = df.select(key, prompt)
+    names = [key, "stage", "attempt_no", "outcome", "result", "input_tokens", "output_tokens"]
+    types = [to_arrow_type(df.schema[key].dataType), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, size = [], 0
+            for item, text in zip(b.column(0), b.column(1)):  # one text at a time becomes a string
+                item, text = item.as_py(), text.as_py()
                 ask = text
                 for n in range(1, attempts + 1):
                     reply, used, made = provider.complete(system, ask)
@@ -74,13 +90,17 @@ def call_stage(df: DataFrame, stage: str, provider: Completion, prompt: str, key
                     except ValueError as e:
                         reason = f"not JSON: {e}"[:300]
                     rows.append((item, stage, n, "invalid" if reason else "ok", None if reason else bare, used, made))
+                    size += len(bare) + 100
                     if not reason:
                         break
                     ask = f"{text}\n\nThe reply was refused: {reason}"
-            yield pd.DataFrame(rows, columns=[key, "stage", "attempt_no", "outcome", "result", "input_tokens", "output_tokens"])
+                if size > REPLY_BYTES:
+                    yield packed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield packed(rows)
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, prompt).mapInPandas(run, f"{key} {kind}, stage string, attempt_no int, outcome string, result string, input_tokens long, output_tokens long")
+    return df.mapInArrow(run, schema)
 
 
 def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = 96) -> DataFrame:
