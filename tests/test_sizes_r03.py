@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import catalogue, providers
 from weftgraph.functions import text as tx
-from weftgraph.operators import components, entities, reasoner, retrieval, strong
+from weftgraph.operators import components, concepts, entities, reasoner, retrieval, strong
 
 def _join_rows(df):
     """Rows that came out of each join of a collected plan."""
@@ -151,3 +151,14 @@ def test_calls_hand_replies_on_in_parts(spark, monkeypatch):
     rows = sorted(map(tuple, calls.select("id", "attempt_no", "outcome").collect()))
     assert rows == sorted([(k, 1, "ok") for k in range(40) if k != 7] + [(7, 1, "invalid"), (7, 2, "invalid")])
     assert "MapInArrow" in calls._jdf.queryExecution().executedPlan().toString()  # no frame of all texts of a batch
+
+
+def test_concepts_copy_nothing_without_hot_keys(spark, monkeypatch):
+    plans = []
+    for module in (components, concepts):
+        monkeypatch.setattr(module, "cut", lambda df, real=module.cut: plans.append(df._jdf.queryExecution().analyzed().toString()) or real(df))
+    batch = spark.createDataFrame([(k, "", f"n{k % 3}", f"m{k % 4}") for k in range(8)], "pos long, raw_id string, name string, name_th string")
+    assigned, _, _ = concepts.consolidate_concepts(batch, *concepts.empty_store(spark), key=lambda c: c)
+    # n0..n2 and m0..m3 are linked by positions 0, 3, 4 and on; each looks for its name first
+    assert {x.pos: x.canonical for x in assigned.collect()} == {0: 1, 1: 2, 2: 3, 3: 1, 4: 2, 5: 3, 6: 1, 7: 2}
+    assert plans and not any("_salt" in p for p in plans)

@@ -28,7 +28,7 @@ def hot_keys(many: DataFrame, keys: list[str], rows: int | None = None) -> list[
     return [tuple(r) for r in many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > PLAIN).select(*keys).collect()]
 
 
-def join_spread(many: DataFrame, one: DataFrame, keys: list[str], hot: list[tuple] | None = None) -> DataFrame:
+def join_spread(many: DataFrame, one: DataFrame, keys: list[str], hot: list[tuple] | None = None, how: str = "inner") -> DataFrame:
     """``many`` joined with the small ``one``, which has a row per key: every key is dealt over ``COPIES`` tasks.
 
     For tables of links and groups, far smaller than the corpus, where a look for hubs would cost more.
@@ -39,10 +39,10 @@ def join_spread(many: DataFrame, one: DataFrame, keys: list[str], hot: list[tupl
     every = F.sequence(F.lit(0), F.lit(COPIES - 1))
     if hot is not None:
         if not hot:
-            return many.join(one.hint("merge"), keys)
-        marked = reduce(or_, (reduce(and_, (F.col(c) == F.lit(v) for c, v in zip(keys, key))) for key in hot))
+            return many.join(one.hint("merge"), keys, how)
+        marked = F.coalesce(reduce(or_, (reduce(and_, (F.col(c) == F.lit(v) for c, v in zip(keys, key))) for key in hot)), F.lit(False))
         salt, every = F.when(marked, salt).otherwise(0), F.when(marked, every).otherwise(F.array(F.lit(0)))
-    return many.withColumn("_salt", salt).join(one.withColumn("_salt", F.explode(every)).hint("merge"), [*keys, "_salt"]).drop("_salt")
+    return many.withColumn("_salt", salt).join(one.withColumn("_salt", F.explode(every)).hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def join_hubs(many: DataFrame, one: DataFrame, keys: list[str], size: str = "n", how: str = "inner") -> DataFrame:
@@ -128,10 +128,11 @@ def last_of(ups: DataFrame) -> DataFrame:
     Each round joins the steps taken so far, so rounds are logarithmic in the longest way.
     """
     now = cut(ups.select("node", "up"))
+    n = now.count()
     while True:
-        salted = now.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(COPIES)).cast("int"))
-        onward = now.select(F.col("node").alias("up"), F.col("up").alias("_next"), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("_salt")).hint("merge")
-        moved = cut(salted.join(onward, ["up", "_salt"], "left").select("node", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")))
+        onward = now.select(F.col("node").alias("up"), F.col("up").alias("_next"))
+        ahead = join_spread(now, onward, ["up"], hot_keys(now, ["up"], n), "left")
+        moved = cut(ahead.select("node", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")))
         now = moved.select("node", "up")
         if not moved.filter("_moved").take(1):
             return now

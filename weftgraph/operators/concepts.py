@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import cut
-from .components import COPIES, last_of
+from .components import hot_keys, join_spread, last_of
 from .ordering import numbered
 
 TOKENS = "kind string, token string, canonical long"
@@ -50,8 +50,7 @@ def consolidate_concepts(concepts: DataFrame, tokens: DataFrame, nodes: DataFram
     each = cut(each)
     # what a token names: a stored concept, else the first of the batch
     firsts = each.groupBy("kind", "token").agg(F.min("pos").alias("first")).join(tokens, ["kind", "token"], "left")
-    spread = each.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(COPIES)).cast("int"))
-    met = spread.join(firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).hint("merge"), ["kind", "token", "_salt"])
+    met = join_spread(each, firsts, ["kind", "token"], hot_keys(each, ["kind", "token"], each.count()))
     known = met.filter("canonical is not null or first < pos")
     owner = known.groupBy("pos").agg(F.min(F.struct("rank", "canonical", "first")).alias("o")).select("pos", "o.canonical", F.when(F.col("o.canonical").isNull(), F.col("o.first")).alias("up"))
     placed = cut(named.select("pos", "name").join(owner, "pos", "left"))
@@ -63,8 +62,7 @@ def consolidate_concepts(concepts: DataFrame, tokens: DataFrame, nodes: DataFram
     roots = ends.filter("root = pos").select("root", "canonical", "name")
     new = numbered(roots.filter("canonical is null").select("root", "name"), "root", name="canonical", start=next_id)
     settled = cut(roots.filter("canonical is not null").select("root", "canonical").unionByName(new.select("root", "canonical")))
-    one = settled.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).hint("merge")
-    assigned = cut(ends.select("pos", "root").withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(COPIES)).cast("int")).join(one, ["root", "_salt"]).select("pos", "canonical"))
+    assigned = cut(join_spread(ends.select("pos", "root"), settled, ["root"], hot_keys(ends, ["root"], ends.count())).select("pos", "canonical"))
     first_token = firsts.filter("canonical is null").select("kind", "token", F.col("first").alias("pos")).join(assigned, "pos").select("kind", "token", "canonical")
     other = named.filter("name_th is not null").join(assigned, "pos").groupBy("canonical").agg(F.min_by("name_th", "pos").alias("_th"))
     all_nodes = nodes.unionByName(new.select("canonical", F.trim("name").alias("name"), F.lit(None).cast("string").alias("name_th"), F.col("root").cast("long").alias("first")))
