@@ -153,6 +153,41 @@ def test_calls_hand_replies_on_in_parts(spark, monkeypatch):
     assert "MapInArrow" in calls._jdf.queryExecution().executedPlan().toString()  # no frame of all texts of a batch
 
 
+def _least(edges):
+    up = {x: x for e in edges if e[0] != e[1] for x in e}
+    while True:
+        was = dict(up)
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+        if up == was:
+            return up
+
+
+def test_few_edges_are_searched_without_rounds(spark, monkeypatch):
+    edges = [((k * 37) % 301, ((k + 1) * 37) % 301) for k in range(300)] + [(400, 400), (500, 450)]
+    cuts, real = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(1) or real(df))
+    assert {x.node: x.root for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == _least(edges)
+    assert len(cuts) <= 3  # a round of joins at a time takes some ten
+    assert components.connected_components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).collect() == []
+
+
+def test_rounds_of_components_read_fewer_edges_each_time(spark, monkeypatch):
+    r = random.Random(3)
+    n = 600
+    edges = [(k, r.randrange(n)) for k in range(n)] + [(700, 800 + k) for k in range(40)] + [(900 + k, 901 + k) for k in range(30)] + [(1000 + k, 990) for k in range(9)]
+    named = [(f"é{a:04}" if a % 2 else f"z{a:04}", f"é{b:04}" if b % 2 else f"z{b:04}") for a, b in edges]
+    sizes, real = [], components._pruned
+    monkeypatch.setattr(components, "_pruned", lambda df, rows: sizes.append(rows) or real(df, rows))
+    monkeypatch.setattr(components, "PLAIN", 20)
+    for rows, kind in ((edges, "long"), (named, "string")):
+        sizes.clear()
+        found = components.connected_components(spark.createDataFrame(rows, f"a {kind}, b {kind}"), 0).collect()
+        assert len(found) == len({x.node for x in found}) and {x.node: x.root for x in found} == _least(rows)
+        assert len(sizes) > 1 and all(y <= x / 2 for x, y in zip(sizes, sizes[1:]))
+
+
 def test_concepts_copy_nothing_without_hot_keys(spark, monkeypatch):
     plans = []
     for module in (components, concepts):

@@ -80,7 +80,8 @@ def growing_components(spark: SparkSession, sf: str) -> DataFrame:
     links = p.join(F.broadcast(n), how="cross").select("a", ((F.col("a") * F.col("s") + 7) % F.col("_n")).alias("b"))
     roots = spark.createDataFrame([], "node long, root long")
     for k in range(3):
-        roots = components.cut(entities.replace_by_key(roots, components.extend_components(roots, links.filter(F.col("a") % 3 == k)), "node"))
+        change = components.cut(components.extend_components(roots, links.filter(F.col("a") % 3 == k)))
+        roots = components.cut(entities.replace_by_key(roots, change, "node"))
     return roots
 
 

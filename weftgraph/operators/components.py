@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ HUB_BITS = 20
 COPIES = 16
 #: A key of up to this many rows is joined by one task.
 PLAIN = 1_000_000
+#: Up to this many edges a component search is ended by one task.
+LOCAL = 200_000
 
 
 def hot_keys(many: DataFrame, keys: list[str], rows: int | None = None) -> list[tuple]:
@@ -82,23 +86,60 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _pruned(edges: DataFrame, rows: int) -> DataFrame:
+    """``a, b, leaf`` for edges with ``a > b``: a leaf is the greater end of its only edge, so no root and on no way between others."""
+    ends = edges.select("a", F.col("b").alias("up")).unionByName(edges.select(F.col("b").alias("a"), F.lit(None).cast(edges.schema["b"].dataType).alias("up")))
+    leaves = ends.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), F.min("up").alias("_up")).filter("_n = 1 and _up is not null").select("a", F.lit(True).alias("_leaf"))
+    return join_spread(edges, leaves, ["a"], hot_keys(edges, ["a"], rows), "left").select("a", "b", F.col("_leaf").isNotNull().alias("leaf"))
+
+
+def _least_reachable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``node, root`` for the nodes of a few edges that aren't roots."""
+    up: dict = {}
+
+    def end(x):
+        while x in up:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    for df in frames:
+        for a, b in zip(df["a"].tolist(), df["b"].tolist()):
+            x, y = end(a), end(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"node": list(up), "root": [end(x) for x in list(up)]}, dtype=None if up else object)
+
+
+def _below_roots(edges: DataFrame, local: int | None = None) -> DataFrame:
+    """``node, root`` for every node of ``edges(a, b)`` from which a lesser one is reachable: root is the least."""
+    local = LOCAL if local is None else local
+    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    leaves = []
+    while (n := now.count()) > local:
+        stars = cut(_small_star(cut(_large_star(now, n)), n).filter("a <> b").distinct())  # each step reads the one before more than once
+        marked = cut(_pruned(stars, n))
+        leaves.append((marked.filter("leaf").select(F.col("a").alias("node"), F.col("b").alias("up")), n))
+        now = marked.filter("not leaf").select("a", "b")
+    kind = edges.schema["a"].dataType.simpleString()
+    found = cut(now.coalesce(1).mapInPandas(_least_reachable, f"node {kind}, root {kind}"))  # local edges at most
+    for cast, n in reversed(leaves):
+        onward = found.select(F.col("node").alias("up"), "root")
+        hung = join_spread(cast, onward, ["up"], hot_keys(cast, ["up"], n), "left").select("node", F.coalesce("root", "up").alias("root"))
+        found = found.unionByName(cut(hung))
+    return found
+
+
+def connected_components(edges: DataFrame, local: int | None = None) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``: root is the least node reachable.
 
-    The number of rounds is logarithmic in the number of nodes.  A round only
-    moves two longs per edge; hubs are pre-aggregated and their edges spread over
-    tasks, and only a count and a checksum reach the driver.
+    A round links nodes to lesser ones by stars and takes off the leaves, which get the root
+    of what they hung on at the end, so that rounds read fewer edges each time.  The number of
+    rounds is logarithmic in the number of nodes at most; with at most ``local`` edges left, one
+    task ends the search.  A round only moves two longs per edge; hubs are pre-aggregated and
+    their edges spread over tasks, and only counts reach the driver.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
-            break
-        seen = mark
-        now = cut(_small_star(_large_star(now, mark[0]), mark[0]).filter("a <> b").distinct())
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    below = _below_roots(edges, local)
+    return below.unionByName(below.select(F.col("root").alias("node"), "root").distinct())
 
 
 def extend_components(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -115,8 +156,7 @@ def extend_components(roots: DataFrame, links: DataFrame) -> DataFrame:
     owner = cut(owner)
     n = ends.count()
     put = lambda df, c: join_spread(df, owner.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), [c], hot_keys(ends, [c], n))
-    contracted = put(put(ends, "a"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct()
-    moved = cut(connected_components(contracted).filter("node <> root"))
+    moved = _below_roots(put(put(ends, "a"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     touched = join_spread(stored, moved.select(F.col("node").alias("root"), F.col("root").alias("_new")), ["root"], hot_keys(stored, ["root"])).select("node", F.col("_new").alias("root"))
     fresh = owner.filter("fresh").select("node").join(moved, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return touched.unionByName(fresh)
