@@ -184,7 +184,9 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
             return spark.read.parquet(path).distinct()
         # at most 20 * 4**level masks, whatever the input
         used = sorted(r.mask for r in crowded.select("mask").distinct().collect())
-        table = spark.createDataFrame([(m, [_signed(f) for f in finer_masks(m % (1 << 64), radius)]) for m in used], "mask long, finer array<long>")
+        finer = [[_signed(f) for f in finer_masks(m % (1 << 64), radius)] for m in used]
+        # as an Arrow table: rows of a list would start Python workers of another kind
+        table = spark.createDataFrame(pa.table({"mask": pa.array(used, pa.int64()), "finer": pa.array(finer, pa.list_(pa.int64()))}))
         keyed = crowded.join(F.broadcast(table), "mask").select("fp", *_COORDINATES, F.explode("finer").alias("mask")).distinct()
 
 

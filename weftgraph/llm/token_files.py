@@ -51,8 +51,9 @@ SHARD_BYTES = 16 << 20
 REMEMBERED = 400_000
 #: Pieces that are remembered one by one before they are packed.
 LOOSE = 20_000
-#: Bytes of text encoded at once.
-BLOCK = 2 << 20
+#: Bytes of text encoded at once.  A worker keeps the pages of its largest block until it ends (some 30 times its
+#: bytes), through all later stages; larger blocks are no faster.
+BLOCK = 256 << 10
 
 _memory: dict[int, "Encoder"] = {}
 
@@ -282,7 +283,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
         rows.append((shard, base, n_docs, n_tokens))
         base += n_tokens
     _put(fs, f"{root}/manifest.json", iter([json.dumps({"shards": rows, "n_tokens": base, "end_id": end_id}).encode()]))
-    return spark.createDataFrame(rows, "shard int, base long, n_docs long, n_tokens long")
+    # as an Arrow table: rows of a list would pass through Python workers of another kind, which stay beside the encoding ones
+    kinds = [("shard", pa.int32()), ("base", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)}))
 
 
 class Shard:
