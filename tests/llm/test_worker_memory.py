@@ -3,13 +3,14 @@
 import random
 import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark import SparkContext
 from pyspark.sql import functions as F
 
-from weftgraph.llm import simhash_pivots, token_files, words
+from weftgraph.llm import quality_fm, simhash_pivots, token_files, words
 
 from . import edge
 
@@ -78,3 +79,37 @@ def test_a_block_takes_little_memory(monkeypatch):
     assert most < 32 << 20
     monkeypatch.setattr(token_files, "BLOCK", 2 << 20)
     assert b"".join(ids()) == b"".join(found)
+
+
+def test_a_scored_block_takes_little_memory(spark):
+    r = random.Random(4)
+    known = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(20000)]
+    column = pa.array([" ".join(r.choices(known, k=300)) for _ in range(1400)])
+    chars = np.full(len(column), 1800.0)
+    machine = quality_fm.Machine()
+    machine.w = np.random.default_rng(1).normal(0, 0.1, len(machine.w))
+    seen = []
+
+    class Watched(quality_fm.Machine):
+        def score(self, text, n_chars):
+            seen.append(text.nbytes)
+            return machine.score(text, n_chars)
+
+    class Docs:
+        columns = ["text"]
+        sparkSession = spark
+
+    whole = machine.score(column, chars)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_fm, "train", lambda *_, **__: Watched())
+        m.setattr(quality_fm.F, "arrow_udf", lambda _: lambda f: lambda *_: f)
+        m.setattr(type(spark.sparkContext), "broadcast", lambda _, x: type("B", (), {"value": x}))
+        run = quality_fm._scored(Docs, None, "quality", (3, 1), "doc_id", "text", "n_chars")
+    tracemalloc.start()
+    try:
+        (found,) = run(iter([(column, pa.array(chars))]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.to_numpy().tobytes() == whole.tobytes()
+    assert max(seen) < 512 << 10 and most < 24 << 20

@@ -42,6 +42,8 @@ PER_CLASS = 3000
 EPOCHS = 6
 HOLD_OUT = (3, 1)
 THRESHOLD = 0.5
+#: Bytes of text scored at once: a worker keeps the pages of its largest block until it ends.
+BLOCK = 256 << 10
 
 _KINDS = np.zeros(256, np.uint8)  # kinds of bytes
 _KINDS[65:91], _KINDS[97:123], _KINDS[128:], _KINDS[48:58] = 1, 2, 2, 3
@@ -159,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", hold_out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in words.slices(b.column(0), words.BLOCK):
+            for lo, hi in words.slices(b.column(0), BLOCK):
                 at, i, x, stats = features(b.column(0).slice(lo, hi - lo), _chars(b.column(1))[lo:hi])
                 ends = list(zip(at[:-1], at[1:]))
                 yield pa.record_batch([b.column(2).slice(lo, hi - lo), pa.array([i[p:q].astype(np.uint16).tobytes() for p, q in ends], pa.binary()), pa.array([x[p:q].astype(np.float32).tobytes() for p, q in ends], pa.binary()), pa.array([r.tobytes() for r in stats], pa.binary())], schema=out)
@@ -185,7 +187,7 @@ def _scored(docs: DataFrame, labels: DataFrame, label: str, hold_out: tuple[int,
             if isinstance(machine, float):
                 yield pa.array(np.full(len(text), machine))
                 continue
-            parts = [machine.score(text.slice(lo, hi - lo), _chars(chars.slice(lo, hi - lo))) for lo, hi in words.slices(text, words.BLOCK)]
+            parts = [machine.score(text.slice(lo, hi - lo), _chars(chars.slice(lo, hi - lo))) for lo, hi in words.slices(text, BLOCK)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return run(F.col(text_col).cast("string"), _with_length(docs, chars_col))
